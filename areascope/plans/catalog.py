@@ -1,8 +1,9 @@
 """Registered queries: name -> callable(spark, sf_dir) -> DataFrame.
 
-Each query reads the driver's tables (through the feed adapter) so its work
-grows with them. Doubles are rounded to a fixed scale so engines that sum in a
-different order still agree on values.
+Each query reads the driver's tables (through the feed adapter in
+``sources.testdata``), so its work grows with them. Double columns are rounded
+to 4 decimals so engines that add in another order agree on values.
+Model-run queries share one materialised run per session and data folder.
 """
 
 from __future__ import annotations
@@ -11,10 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import master as M
+from .. import constants as K
+from ..functions import title_case
+from ..operators import clean as CL
+from ..operators import features as FE
+from ..operators import master as MA
+from ..operators import models as MO
+from ..operators import outputs as OU
+from ..operators import profile as PR
+from ..operators import ranking as RK
+from ..operators import reports as RE
+from ..operators import trends as TR
 from ..sources import testdata as TD
+from . import runs as RU
 
 SCALE = 4
+QUERIES: dict = {}
 
 
 def rounded(df: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -23,18 +36,448 @@ def rounded(df: DataFrame, scale: int = SCALE) -> DataFrame:
                       else F.col(f.name) for f in df.schema.fields])
 
 
+def query(name: str):
+    def deco(fn):
+        QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir))
+        QUERIES[name].__doc__ = fn.__doc__
+        return fn
+    return deco
+
+
+# ----------------------------------------------------------------- inputs
+
+def raw(spark, sf_dir) -> dict:
+    return TD.raw_feeds(spark, sf_dir)
+
+
+def valid(spark, sf_dir):
+    return TD.valid_states(spark, sf_dir)
+
+
 def master_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.build_master(TD.raw_feeds(spark, sf_dir), valid_states=TD.valid_states(spark, sf_dir))
+    return MA.build_master(raw(spark, sf_dir), valid_states=valid(spark, sf_dir))
+
+
+def report_base(spark, sf_dir) -> DataFrame:
+    """The master as the reports read it: numeric nulls -> 0."""
+    return master_table(spark, sf_dir).fillna(0)
+
+
+def typed_feed(spark, sf_dir, feed: str) -> DataFrame:
+    """Raw feed with common measure names and integer counts (for profiles)."""
+    df = CL.rename_measures(raw(spark, sf_dir)[feed], feed)
+    return df.withColumns({m: CL.coerce_count(m) for m in CL.measures_of(feed)})
+
+
+_RUNS: dict = {}
+
+
+def model_result(spark, sf_dir) -> RU.ModelRun:
+    """One model run per session and folder; later queries read its checkpoint."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RUNS:
+        _RUNS[key] = RU.model_run(master_table(spark, sf_dir))
+    return _RUNS[key]
+
+
+# ----------------------------------------------------------------- cleaning
+
+@query("build_master")
+def q_build_master(spark, sf_dir):
+    """Cleaning run: three raw feeds -> 20-column master (one shuffle)."""
+    return master_table(spark, sf_dir)
+
+
+@query("merge_feeds")
+def q_merge_feeds(spark, sf_dir):
+    """Per-feed cleaning, then two full outer joins on the four keys."""
+    r, v = raw(spark, sf_dir), valid(spark, sf_dir)
+    feeds = {f: CL.clean_feed(r[f], f, v) for f in MA.FEEDS}
+    return MA.merge_feeds(feeds["bio"], feeds["demo"], feeds["enrol"])
+
+
+@query("clean_feed_bio")
+def q_clean_feed_bio(spark, sf_dir):
+    """Cleaned monthly table of one feed."""
+    return CL.clean_feed(raw(spark, sf_dir)["bio"], "bio", valid(spark, sf_dir))
+
+
+@query("rollup_period_week")
+def q_rollup_week(spark, sf_dir):
+    """A2: weekly (Monday) roll-up of the capped demographic feed."""
+    d = CL.standardise_feed(raw(spark, sf_dir)["demo"], "demo", valid(spark, sf_dir))
+    ms = CL.measures_of("demo")
+    return CL.rollup_period(CL.cap_at_percentile(d, ms), ms, "week")
+
+
+@query("cleaning_counters")
+def q_cleaning_counters(spark, sf_dir):
+    """Cleaning counters of the demographic feed."""
+    return CL.cleaning_counters(raw(spark, sf_dir)["demo"], "demo", valid(spark, sf_dir))
+
+
+@query("top_invalid_states")
+def q_top_invalid(spark, sf_dir):
+    """Most frequent invalid state values of the biometric feed."""
+    return CL.top_invalid_states(raw(spark, sf_dir)["bio"], "bio", valid_states=valid(spark, sf_dir))
+
+
+@query("dedup_feed")
+def q_dedup(spark, sf_dir):
+    """One row per (date, area) of the raw biometric feed."""
+    return CL.dedup_feed(raw(spark, sf_dir)["bio"])
+
+
+@query("cleaning_report")
+def q_cleaning_report(spark, sf_dir):
+    """Per dataset counts, state list, month range, quality, activity."""
+    m = master_table(spark, sf_dir)
+    return MA.cleaning_report({f: MA.feed_from_master(m, f) for f in MA.FEEDS}, m)
+
+
+@query("cleaning_comparison")
+def q_cleaning_comparison(spark, sf_dir):
+    """Rows, states, districts before (raw) and after cleaning."""
+    r = raw(spark, sf_dir)
+    m = master_table(spark, sf_dir)
+    return MA.cleaning_comparison(r, {f: MA.feed_from_master(m, f) for f in MA.FEEDS})
+
+
+# ----------------------------------------------------------------- profile
+
+@query("numeric_profile")
+def q_numeric_profile(spark, sf_dir):
+    """A3/A4/A5: nulls, min, max, mean, median, std, zeros, percentiles."""
+    return PR.numeric_profile(typed_feed(spark, sf_dir, "demo"), CL.measures_of("demo"))
+
+
+@query("outlier_counts")
+def q_outlier_counts(spark, sf_dir):
+    """rows above p95 and p99 per measure."""
+    return PR.outlier_counts(typed_feed(spark, sf_dir, "enrol"), CL.measures_of("enrol"))
+
+
+@query("top_values")
+def q_top_values(spark, sf_dir):
+    """Five largest distinct values of a measure."""
+    return PR.top_values(typed_feed(spark, sf_dir, "demo"), "updates_age_5_17", 5)
+
+
+@query("coverage")
+def q_coverage(spark, sf_dir):
+    """Distinct states, districts, pincodes, months of the master."""
+    return PR.coverage(master_table(spark, sf_dir), ("state", "district", "pincode", "year_month"))
+
+
+@query("duplicate_rows")
+def q_duplicate_rows(spark, sf_dir):
+    """Full-row duplicates of the raw demographic feed."""
+    return PR.duplicate_rows(raw(spark, sf_dir)["demo"])
+
+
+@query("key_duplicates")
+def q_key_duplicates(spark, sf_dir):
+    """Rows and groups repeating (date, state, district, pincode)."""
+    return PR.key_duplicates(raw(spark, sf_dir)["demo"], ["date", "state", "district", "pincode"])
+
+
+@query("column_duplicates")
+def q_column_duplicates(spark, sf_dir):
+    """A10: per column, rows whose value repeats."""
+    return PR.column_duplicates(raw(spark, sf_dir)["bio"])
+
+
+@query("case_variants")
+def q_case_variants(spark, sf_dir):
+    """State spellings differing by case or edge blanks."""
+    return PR.case_variants(raw(spark, sf_dir)["bio"], "state")
+
+
+@query("area_pairs")
+def q_area_pairs(spark, sf_dir):
+    """Records per raw (state, district) pair."""
+    return PR.area_pairs(raw(spark, sf_dir)["bio"])
+
+
+@query("date_coverage")
+def q_date_coverage(spark, sf_dir):
+    """First and last date and span of the raw biometric feed."""
+    return PR.date_coverage(raw(spark, sf_dir)["bio"])
+
+
+@query("date_counts")
+def q_date_counts(spark, sf_dir):
+    """Records per calendar date."""
+    return PR.date_counts(raw(spark, sf_dir)["bio"])
+
+
+@query("missing_dates")
+def q_missing_dates(spark, sf_dir):
+    """Calendar days without records."""
+    return PR.missing_dates(raw(spark, sf_dir)["bio"])
+
+
+@query("null_counts")
+def q_null_counts(spark, sf_dir):
+    """Nulls per column of the raw biometric feed."""
+    return PR.null_counts(raw(spark, sf_dir)["bio"])
+
+
+@query("region_counts")
+def q_region_counts(spark, sf_dir):
+    """Rows per pincode region."""
+    return PR.region_counts(raw(spark, sf_dir)["enrol"])
+
+
+@query("key_violations")
+def q_key_violations(spark, sf_dir):
+    """empty districts, null and malformed pincodes with examples."""
+    return PR.key_violations(raw(spark, sf_dir)["bio"])
+
+
+@query("whitespace_issues")
+def q_whitespace(spark, sf_dir):
+    """State values with blank problems."""
+    return PR.whitespace_issues(raw(spark, sf_dir)["bio"], "state")
+
+
+@query("suspicious_states")
+def q_suspicious(spark, sf_dir):
+    """City names in the state column."""
+    return PR.suspicious_states(raw(spark, sf_dir)["demo"], "state")
+
+
+@query("deprecated_names")
+def q_deprecated(spark, sf_dir):
+    """Deprecated state names."""
+    return PR.deprecated_names(raw(spark, sf_dir)["enrol"], "state")
+
+
+@query("state_audit")
+def q_state_audit(spark, sf_dir):
+    """Distinct raw states across feeds and the feeds holding them."""
+    return PR.state_audit(raw(spark, sf_dir))
+
+
+# ----------------------------------------------------------------- features / trends
+
+@query("build_features")
+def q_features(spark, sf_dir):
+    """The fifteen model features per master row."""
+    f = FE.build_features(master_table(spark, sf_dir))
+    return f.select(*K.KEYS, *K.FEATURE_COLUMNS)
+
+
+@query("district_stats")
+def q_district_stats(spark, sf_dir):
+    """District mean, sample std, sum of total activity, feed means."""
+    f = FE.activity_totals(FE.validate_master(master_table(spark, sf_dir)))
+    return FE.district_stats(f)
+
+
+@query("analyze_trends")
+def q_trends(spark, sf_dir):
+    """District z-scores, drop/spike/z flags and trend status."""
+    t = TR.analyze_trends(FE.build_features(master_table(spark, sf_dir)))
+    return t.select(*K.KEYS, *[f"{c}_zscore" for c in TR.Z_METRICS], "drop_alert", "spike_alert",
+                    "zscore_anomaly", "trend_status")
+
+
+@query("scale_features")
+def q_scale(spark, sf_dir):
+    """ML1: standardised features (population std, zero variance -> 0)."""
+    f = FE.build_features(master_table(spark, sf_dir))
+    s = MO.apply_scaler(f, MO.fit_scaler(f, K.FEATURE_COLUMNS), K.FEATURE_COLUMNS)
+    return s.select(*K.KEYS, *[f"{c}_scaled" for c in K.FEATURE_COLUMNS])
+
+
+@query("rank_pct")
+def q_rank_pct(spark, sf_dir):
+    """Average-tie percentile rank of a master measure (distributed)."""
+    m = master_table(spark, sf_dir).select(*K.KEYS, "total_activity_demo")
+    return RK.rank_pct(m, "total_activity_demo", "rank_pct")
+
+
+# ----------------------------------------------------------------- portal reports
+
+@query("title_case_names")
+def q_title_case(spark, sf_dir):
+    """Display names of every (state, district) pair."""
+    m = master_table(spark, sf_dir).select("state", "district").distinct()
+    return m.select("state", "district", title_case("state").alias("state_title"),
+                    title_case("district").alias("district_title"))
+
+
+@query("kpis")
+def q_kpis(spark, sf_dir):
+    """Headline totals."""
+    return RE.kpis(report_base(spark, sf_dir))
+
+
+@query("monthly_trend")
+def q_monthly_trend(spark, sf_dir):
+    """Monthly sums."""
+    return RE.monthly_trend(report_base(spark, sf_dir))
+
+
+@query("monthly_summary")
+def q_monthly_summary(spark, sf_dir):
+    """Wide monthly table."""
+    return RE.monthly_summary(report_base(spark, sf_dir))
+
+
+@query("district_summary")
+def q_district_summary(spark, sf_dir):
+    """District summary by activity."""
+    return RE.district_summary(report_base(spark, sf_dir))
+
+
+@query("state_report")
+def q_state_report(spark, sf_dir):
+    """State summary report."""
+    return RE.state_report(report_base(spark, sf_dir))
+
+
+@query("pincode_summary")
+def q_pincode_summary(spark, sf_dir):
+    """Pincode summary by activity."""
+    return RE.pincode_summary(report_base(spark, sf_dir))
+
+
+@query("age_bands")
+def q_age_bands(spark, sf_dir):
+    """Seven age-band totals, long form."""
+    return RE.age_bands(report_base(spark, sf_dir))
+
+
+@query("activity_split")
+def q_activity_split(spark, sf_dir):
+    """Three activity types and shares."""
+    return RE.activity_split(report_base(spark, sf_dir))
+
+
+@query("pct_change")
+def q_pct_change(spark, sf_dir):
+    """Month-over-month percent changes of the monthly trend."""
+    m = RE.monthly_trend(report_base(spark, sf_dir))
+    return RE.pct_change(m, ["total_activity_bio", "total_activity_demo", "total_enrollments"]).select(
+        "year_month", "total_activity_bio_change", "total_activity_demo_change", "total_enrollments_change")
+
+
+@query("growth_class")
+def q_growth_class(spark, sf_dir):
+    """First-to-last growth class per area."""
+    b = report_base(spark, sf_dir).withColumn(
+        "total_activity", F.col("total_activity_bio") + F.col("total_activity_demo") + F.col("enrollments_age_0_5")
+        + F.col("enrollments_age_5_17") + F.col("enrollments_age_18_plus"))
+    return RE.growth_class(b)
+
+
+@query("overall_change")
+def q_overall_change(spark, sf_dir):
+    """First-to-last change of monthly activity."""
+    return RE.overall_change(RE.monthly_summary(report_base(spark, sf_dir)))
+
+
+@query("peak_months")
+def q_peak_months(spark, sf_dir):
+    """Peak and lowest month and mean monthly activity."""
+    return RE.peak_months(RE.monthly_summary(report_base(spark, sf_dir)))
+
+
+@query("linear_trend")
+def q_linear_trend(spark, sf_dir):
+    """Least-squares trend of monthly activity."""
+    return RE.linear_trend(RE.monthly_summary(report_base(spark, sf_dir)))
+
+
+@query("top_states")
+def q_top_states(spark, sf_dir):
+    """Master rows of the 15 most active states, summed per state."""
+    b = report_base(spark, sf_dir).withColumn("total_activity", F.col("total_activity_bio")
+                                              + F.col("total_activity_demo"))
+    return RE.top_states(b, 15).groupBy("state").agg(F.count(F.lit(1)).alias("rows"),
+                                                     F.sum("total_activity").alias("total_activity"))
+
+
+@query("quality_histogram")
+def q_quality_hist(spark, sf_dir):
+    """30-bin histogram of the biometric quality score."""
+    m = MA.feed_from_master(master_table(spark, sf_dir), "bio")
+    return RE.histogram(m, "data_quality_score", 30)
+
+
+@query("correlation")
+def q_correlation(spark, sf_dir):
+    """Pearson correlation of the first ten features."""
+    f = FE.build_features(master_table(spark, sf_dir))
+    return RE.correlation(f, K.FEATURE_COLUMNS[:10])
+
+
+@query("headlines")
+def q_headlines(spark, sf_dir):
+    """Headline sentences."""
+    return RE.headlines(report_base(spark, sf_dir))
+
+
+@query("pincode_months")
+def q_pincode_months(spark, sf_dir):
+    """Every area's months with labels, newest first."""
+    b = report_base(spark, sf_dir)
+    return b.select("year_month", "state", "district", "pincode",
+                    RE.month_label("year_month").alias("month_label"),
+                    (F.col("enrollments_age_0_5") + F.col("enrollments_age_5_17")
+                     + F.col("enrollments_age_18_plus")).alias("total_enrollments"))
+
+
+# ----------------------------------------------------------------- model run (rows-only)
+
+def _ml(name, fn, doc):
+    def run(spark, sf_dir):
+        return fn(model_result(spark, sf_dir).result)
+    run.__doc__ = doc
+    QUERIES[name] = lambda spark, sf_dir: rounded(run(spark, sf_dir))
+
+
+_ml("ml_full_output", OU.full_output, "26-column model output per master row.")
+_ml("cluster_summary", OU.cluster_summary, "A18: cluster summary.")
+_ml("high_risk_regions", OU.high_risk, "F4/T3: CRITICAL and HIGH rows.")
+_ml("monthly_alerts", OU.monthly_alerts, "F5: alert rows.")
+_ml("state_summary", OU.state_summary, "A19/P32: state summary with risk score.")
+_ml("risk_distribution", lambda d: OU.distribution(d, "risk_category", K.RISK_LEVELS), "A21.")
+_ml("trend_distribution", lambda d: OU.distribution(d, "trend_status", K.TREND_LEVELS), "A21.")
+_ml("profile_distribution", lambda d: OU.distribution(d, "cluster_profile"), "A21.")
+_ml("risk_counts", RE.risk_counts, "A30.")
+_ml("risk_pivot", RE.risk_pivot, "A31/T7.")
+_ml("trend_counts", RE.trend_counts, "A32.")
+_ml("state_profile_crosstab", lambda d: RE.crosstab_pct(d, "state", "cluster_profile"), "A33.")
+_ml("profile_risk_crosstab", lambda d: RE.crosstab_pct(d, "cluster_profile", "risk_category"), "A33.")
+_ml("normalised_cluster_means", RE.normalised_cluster_means, "A34.")
+_ml("cluster_profiles", RE.cluster_profiles, "A35.")
+_ml("anomaly_histogram", lambda d: RE.histogram(d, "anomaly_score", 50, "is_anomaly"), "A36.")
+_ml("box_stats", lambda d: RE.box_stats(d, "cluster_profile", "total_activity"), "A39.")
+_ml("alert_timeline", RE.alert_timeline, "A40.")
+_ml("state_anomalies", RE.state_anomalies, "A41/T4.")
+_ml("top_critical_state", RE.top_critical_state, "T12.")
+_ml("risk_report", lambda d: RE.risk_report(d, None, "CRITICAL"), "F6.")
+_ml("full_export", lambda d: RE.full_export(OU.full_output(d)), "F7.")
+
+
+def q_run_metadata(spark, sf_dir):
+    run = model_result(spark, sf_dir)
+    return OU.run_metadata(run.result, run.run_timestamp)
 
 
-def q_master(spark, sf_dir):
-    return rounded(master_table(spark, sf_dir))
+def q_choose_k(spark, sf_dir):
+    run = model_result(spark, sf_dir)
+    return spark.createDataFrame([(k, float(s), k == run.best_k) for k, s in run.silhouettes],
+                                 "k int, silhouette double, chosen boolean")
 
 
-QUERIES = {
-    "build_master": q_master,
-}
+QUERIES["run_metadata"] = q_run_metadata
+QUERIES["choose_k"] = q_choose_k
 
 
 def flagship(spark, sf_dir):
-    return q_master(spark, sf_dir)
+    """State summary of the master: activity per state (cleaning run end to end)."""
+    return QUERIES["state_report"](spark, sf_dir)
