@@ -17,10 +17,13 @@ def _col(c) -> Column:
 
 
 def _squash(c) -> Column:
-    """lower -> strip -> collapse runs of blanks to one space."""
-    c = F.lower(_col(c))
-    c = F.regexp_replace(c, _EDGE_BLANKS, "")
-    return F.regexp_replace(c, _INNER_BLANKS, " ")
+    """lower -> strip -> collapse runs of blanks to one space.
+
+    Collapsing every (Unicode) blank run to one space first makes the strip a
+    plain trim of spaces: one regex per value instead of two.
+    """
+    c = F.regexp_replace(F.lower(_col(c)), _INNER_BLANKS, " ")
+    return F.trim(c)
 
 
 def normalise_state(c) -> Column:
@@ -45,7 +48,7 @@ def normalise_district(c, final_trim: bool = False) -> Column:
     The original keeps the blank left in front of a removed '*'
     ('Dhalai  *' -> 'dhalai '); ``final_trim=True`` strips it.
     """
-    c = F.regexp_replace(_squash(c), r"\*", "")
+    c = F.replace(_squash(c), F.lit("*"), F.lit(""))
     if final_trim:
         c = F.regexp_replace(c, _EDGE_BLANKS, "")
     return c

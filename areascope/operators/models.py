@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import KMeans
@@ -37,7 +38,10 @@ def assemble(df: DataFrame, cols, out: str = "features") -> DataFrame:
 
 
 def _fit_one(vectors: DataFrame, k: int, seed: int, max_iter: int, features: str):
-    return KMeans(k=k, seed=seed, maxIter=max_iter, tol=1e-4, featuresCol=features,
+    # Convergence as in the original: the summed squared centre shift of all k
+    # centres below 1e-4 (standardised features) <=> each centre moves less
+    # than 0.01 / sqrt(k); MLlib checks every centre's own shift.
+    return KMeans(k=k, seed=seed, maxIter=max_iter, tol=0.01 / math.sqrt(k), featuresCol=features,
                   predictionCol="cluster_id").fit(vectors)
 
 

@@ -5,6 +5,7 @@ insights -> result tables)."""
 from __future__ import annotations
 
 import datetime as _dt
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -33,6 +34,7 @@ class ModelRun:
     kmeans: object
     forest: DataFrame
     scaler: DataFrame
+    stage_seconds: dict = field(default_factory=dict)
     run_timestamp: str = field(default_factory=lambda: _dt.datetime.now().strftime("%Y-%m-%d_%H-%M-%S"))
 
     def tables(self) -> dict:
@@ -56,6 +58,14 @@ def cleaning_run(raw: dict, valid_states=None, aliases=None) -> dict:
 def model_run(master: DataFrame, n_init: int = K.KMEANS_N_INIT, k_min: int = K.MIN_CLUSTERS,
               k_max: int = K.MAX_CLUSTERS, seed: int = K.KMEANS_SEED, n_trees: int = K.FOREST_TREES,
               district_by=("district",)) -> ModelRun:
+    clock = {"t": time.time()}
+    stages = {}
+
+    def lap(name):
+        now = time.time()
+        stages[name] = round(now - clock["t"], 3)
+        clock["t"] = now
+
     feats = FE.build_features(master, district_by)
     scaler = cut_lineage(MO.fit_scaler(feats, K.FEATURE_COLUMNS))
     keep = K.KEYS + ["total_activity", "total_bio_updates", "total_demo_updates", "total_enrollments",
@@ -66,12 +76,15 @@ def model_run(master: DataFrame, n_init: int = K.KMEANS_N_INIT, k_min: int = K.M
     # Every k-means fit rescans the vectors: materialise them once in the
     # shared checkpoint folder (survives executor loss, cuts the lineage).
     vectors = cut_lineage(MO.assemble(scaled, SCALED)).persist()
+    lap("features_and_scaling")
     best_k, model, sil = MO.choose_k(vectors, k_min, k_max, n_init, seed)
+    lap("choose_k")
     assigned = model.transform(vectors).drop("features")
     nodes, psi = IF.fit_iforest(assigned, SCALED, K.KEYS, n_trees=n_trees, seed=K.FOREST_SEED)
     nodes = cut_lineage(nodes)
     scored = IF.decision_scores(IF.score_samples(assigned, nodes, psi, SCALED))
     scored = cut_lineage(scored.drop(*SCALED))
+    lap("isolation_forest")
     ranked = RK.rank_pct(scored, "anomaly_score", "risk_percentile")
     ranked = ranked.withColumn("risk_category", risk_category())
     trends = TR.analyze_trends(ranked, district_by)
@@ -79,4 +92,5 @@ def model_run(master: DataFrame, n_init: int = K.KMEANS_N_INIT, k_min: int = K.M
     labelled = MO.label_profiles(trends, mapping)
     result = cut_lineage(IN.generate_insights(labelled))
     vectors.unpersist()
-    return ModelRun(result, best_k, sil, model, nodes, scaler)
+    lap("risk_trends_insights")
+    return ModelRun(result, best_k, sil, model, nodes, scaler, stages)

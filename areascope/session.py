@@ -34,6 +34,10 @@ def get_session(master: str | None = None, app: str = "areascope",
     settings = dict(DEFAULT_CONF)
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if (master or "").startswith("local"):
+        # Wide generated methods (many expressions fused by whole-stage codegen)
+        # exceed HotSpot's 8000-byte JIT limit and would run interpreted.
+        settings["spark.driver.extraJavaOptions"] = "-XX:-DontCompileHugeMethods"
     settings.update(conf or {})
     for k, v in settings.items():
         builder = builder.config(k, v)
