@@ -332,3 +332,19 @@ def headlines(df: DataFrame) -> DataFrame:
          .otherwise(F.lit("Adult enrolments dominate")).alias("enrolment_headline"),
         F.format_string("%,d biometric and %,d demographic updates", F.col("bio").cast("bigint"),
                         F.col("demo").cast("bigint")).alias("volume_text"))
+
+
+def display(df: DataFrame, names: dict) -> DataFrame:
+    """Select and rename columns for display, in the listed order."""
+    return df.select([F.col(c).alias(a) for c, a in names.items()])
+
+
+def head(df: DataFrame, n: int, order) -> DataFrame:
+    """T5: first n rows in an explicit order (Spark tables have no stored order)."""
+    return df.orderBy(*([order] if isinstance(order, str) else order)).limit(n)
+
+
+def temporal_coverage(df: DataFrame, measures) -> DataFrame:
+    """Rows per month and the month's measure totals."""
+    return df.groupBy("year_month").agg(F.count(F.lit(1)).alias("records"),
+                                        *[F.sum(m).alias(m) for m in measures])

@@ -24,6 +24,7 @@ from ..operators import ranking as RK
 from ..operators import reports as RE
 from ..operators import trends as TR
 from ..sources import testdata as TD
+from ..sources.files import file_inventory, scan_feed
 from ..session import checkpoint_dir
 from . import runs as RU
 
@@ -448,6 +449,39 @@ def q_pincode_months(spark, sf_dir):
                      + F.col("enrollments_age_18_plus")).alias("total_enrollments"))
 
 
+@query("temporal_coverage")
+def q_temporal_coverage(spark, sf_dir):
+    """Rows per month and measure totals of the cleaned enrolment feed."""
+    m = MA.feed_from_master(master_table(spark, sf_dir), "enrol")
+    return RE.temporal_coverage(m, CL.measures_of("enrol"))
+
+
+@query("display_report")
+def q_display_report(spark, sf_dir):
+    """The district table with display names, 15 most active."""
+    d = RE.district_summary(report_base(spark, sf_dir))
+    d = d.withColumn("total_activity_text", F.format_number("total_activity", 0))
+    shown = RE.display(d, {"district": "District", "pincodes": "Pincodes", "biometric": "Biometric",
+                           "demographic": "Demographic", "total_enrollments": "Total Enrollments",
+                           "total_activity": "Total Activity", "total_activity_text": "Total Activity Text"})
+    return RE.head(shown, 15, [F.desc("Total Activity"), F.asc("District")])
+
+
+@query("scan_feed_csv")
+def q_scan_feed_csv(spark, sf_dir):
+    """The biometric feed written as CSV parts, scanned back as one
+    feed (text schema, null tokens) and cleaned to its monthly table."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/feeds-{abs(hash(sf_dir))}/bio"
+    if (spark.sparkContext.applicationId, path) not in _FEEDS:
+        raw(spark, sf_dir)["bio"].write.mode("overwrite").option("header", True).csv(path)
+        _FEEDS.add((spark.sparkContext.applicationId, path))
+    scanned = scan_feed(spark, path, "bio")
+    return CL.clean_feed(scanned, "bio", valid(spark, sf_dir))
+
+
+_FEEDS: set = set()
+
+
 # ----------------------------------------------------------------- model run (rows-only)
 
 def _ml(name, fn, doc):
@@ -458,6 +492,7 @@ def _ml(name, fn, doc):
 
 
 _ml("ml_full_output", OU.full_output, "26-column model output per master row.")
+_ml("cluster_stats", MO.cluster_stats, "A15: per cluster statistics, half-even rounding.")
 _ml("cluster_summary", OU.cluster_summary, "A18: cluster summary.")
 _ml("high_risk_regions", OU.high_risk, "F4/T3: CRITICAL and HIGH rows.")
 _ml("monthly_alerts", OU.monthly_alerts, "F5: alert rows.")
@@ -496,6 +531,16 @@ QUERIES["run_metadata"] = q_run_metadata
 QUERIES["choose_k"] = q_choose_k
 
 
+def q_file_inventory(spark, sf_dir):
+    """Per part file rows, size, nulls and duplicates of the scanned CSV feed."""
+    QUERIES["scan_feed_csv"](spark, sf_dir).limit(1).collect()  # makes sure the parts exist
+    path = f"{checkpoint_dir(spark).rstrip('/')}/feeds-{abs(hash(sf_dir))}/bio"
+    return file_inventory(scan_feed(spark, path, "bio", with_file=True))
+
+
+QUERIES["file_inventory"] = q_file_inventory
+
+
 def flagship(spark, sf_dir):
     """State summary of the master: activity per state (cleaning run end to end)."""
     return QUERIES["state_report"](spark, sf_dir)

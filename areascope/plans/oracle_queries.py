@@ -343,4 +343,15 @@ ORACLE = {
     "pincode_months": wb(
         "SELECT year_month, state, district, pincode, strftime(CAST(year_month || '-01' AS DATE), '%B %Y') AS month_label, "
         + _r(ENR, "total_enrollments") + " FROM base"),
+    "temporal_coverage": with_master(
+        "SELECT year_month, count(*) AS records, " + ", ".join(_r(f"sum({c})", c) for c in
+        ("enrollments_age_0_5", "enrollments_age_5_17", "enrollments_age_18_plus")) + " FROM q_enrol GROUP BY year_month"),
+    "display_report": wb(
+        ", d AS (SELECT district, count(DISTINCT pincode) AS pincodes, sum(total_activity_bio) AS b, "
+        f"sum(total_activity_demo) AS dm, sum({ENR}) AS e FROM base GROUP BY district) "
+        'SELECT district AS "District", pincodes AS "Pincodes", round(b, 4) AS "Biometric", round(dm, 4) AS "Demographic", '
+        'round(e, 4) AS "Total Enrollments", round(b + dm + e, 4) AS "Total Activity", '
+        """format('{:,.0f}', round(b + dm + e, 0)) AS "Total Activity Text" """
+        'FROM d ORDER BY b + dm + e DESC, district LIMIT 15'),
 }
+ORACLE["scan_feed_csv"] = ORACLE["clean_feed_bio"]

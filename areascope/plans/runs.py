@@ -94,3 +94,14 @@ def model_run(master: DataFrame, n_init: int = K.KMEANS_N_INIT, k_min: int = K.M
     vectors.unpersist()
     lap("risk_trends_insights")
     return ModelRun(result, best_k, sil, model, nodes, scaler, stages)
+
+
+def write_model_outputs(run: ModelRun, path: str, fmt: str = "csv") -> None:
+    """The five result tables, the JSON run metadata and the models."""
+    from ..sources.sinks import save_models, write_outputs, write_report
+    base = path.rstrip("/")
+    write_outputs(run.tables(), f"{base}/outputs", fmt)
+    write_report(OU.run_metadata(run.result, run.run_timestamp), f"{base}/ml_metadata")
+    spark = run.result.sparkSession
+    features = spark.createDataFrame([(i, c) for i, c in enumerate(K.FEATURE_COLUMNS)], "position int, feature string")
+    save_models(f"{base}/models", run.kmeans, {"scaler": run.scaler, "forest": run.forest, "feature_columns": features})

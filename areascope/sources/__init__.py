@@ -1,9 +1,9 @@
 """Sources and sinks: CSV feed folders, tables, reports, models."""
 
-from .files import (RAW_SCHEMAS, file_inventory, require_columns, scan_feed, scan_table,
-                    select_existing)
+from .files import (RAW_SCHEMAS, cached, file_inventory, refresh, require_columns, scan_feed,
+                    scan_table, select_existing)
 from .sinks import export_report, save_models, write_outputs, write_report, write_table
 
-__all__ = ["RAW_SCHEMAS", "file_inventory", "require_columns", "scan_feed", "scan_table",
+__all__ = ["RAW_SCHEMAS", "cached", "refresh", "file_inventory", "require_columns", "scan_feed", "scan_table",
            "select_existing", "export_report", "save_models", "write_outputs", "write_report",
            "write_table"]

@@ -81,3 +81,17 @@ def file_inventory(df: DataFrame, file_col: str = "file_name", size_col: str = "
     dups = (df.groupBy(file_col, *data_cols).count()
             .groupBy(file_col).agg(F.sum(F.col("count") - 1).alias("duplicate_rows")))
     return base.join(dups, file_col, "left")
+
+
+def cached(df: DataFrame) -> DataFrame:
+    """Keep a table in executor memory (spilling to disk) for repeated queries.
+
+    Lost blocks are recomputed from lineage, so executor loss is survivable.
+    """
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def refresh(spark: SparkSession) -> None:
+    """Drop every cached table (the "refresh data cache" action)."""
+    spark.catalog.clearCache()
