@@ -30,7 +30,7 @@ def fill_master(df: DataFrame) -> DataFrame:
 
 
 def build_master(raw: dict, valid_states=None, aliases=None, final_trim: bool = False,
-                 cap_accuracy: int | None = None) -> DataFrame:
+                 cap_accuracy: int | None = None, daily_hook=None) -> DataFrame:
     """Raw feeds -> master table with ONE shuffle.
 
     Equivalent to cleaning each feed, rolling each up to months and joining the
@@ -50,6 +50,8 @@ def build_master(raw: dict, valid_states=None, aliases=None, final_trim: bool =
             F.date_format("date", "yyyy-MM").alias("year_month"), "state", "district", "pincode",
             *[(own[c] if c in own else F.lit(None).cast("double")).alias(c) for c in all_measures]))
     daily = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    if daily_hook is not None:
+        daily = daily_hook(daily)
     capped = cap_at_percentile(daily, all_measures, accuracy=cap_accuracy)
     capped = capped.filter(" AND ".join(f"{k} IS NOT NULL" for k in K.KEYS))
     monthly = capped.groupBy(*K.KEYS).agg(*[F.sum(c).alias(c) for c in all_measures])
@@ -62,6 +64,32 @@ def build_master(raw: dict, valid_states=None, aliases=None, final_trim: bool =
     return fill_master(monthly.select(*master_columns()))
 
 
+def write_master(raw: dict, path: str, valid_states=None, aliases=None, final_trim: bool = False,
+                 partition_by=None) -> str:
+    """Build the master and write it as Parquet, reading the raw feeds once.
+
+    The validated daily union feeds two consumers (the p99 aggregate and the
+    roll-up); it is persisted (memory, spilling to disk; lost blocks are
+    recomputed) for the duration of the write instead of parsing the raw
+    feeds twice, then released.
+    """
+    from pyspark import StorageLevel
+    held = []
+
+    def keep(df):
+        held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return held[-1]
+
+    master = build_master(raw, valid_states, aliases, final_trim, daily_hook=keep)
+    w = master.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.parquet(path)
+    for df in held:
+        df.unpersist()
+    return path
+
+
 def merge_feeds(bio: DataFrame, demo: DataFrame, enrol: DataFrame) -> DataFrame:
     """J1 + J2 + P14 on already cleaned monthly feeds: full outer joins on the
     four keys, suffixing the colliding bio/demo columns first."""

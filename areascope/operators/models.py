@@ -41,7 +41,7 @@ def _fit_one(vectors: DataFrame, k: int, seed: int, max_iter: int, features: str
     # Convergence as in the original: the summed squared centre shift of all k
     # centres below 1e-4 (standardised features) <=> each centre moves less
     # than 0.01 / sqrt(k); MLlib checks every centre's own shift.
-    return KMeans(k=k, seed=seed, maxIter=max_iter, tol=0.01 / math.sqrt(k), featuresCol=features,
+    return KMeans(k=k, seed=seed, maxIter=max_iter, tol=0.01 / math.sqrt(k), featuresCol=features, solver="block",
                   predictionCol="cluster_id").fit(vectors)
 
 

@@ -72,7 +72,7 @@ def master_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MASTERS:
         path = f"{checkpoint_dir(spark).rstrip('/')}/master-{len(_MASTERS)}"
-        fresh_master(spark, sf_dir).write.mode("overwrite").parquet(path)
+        MA.write_master(raw(spark, sf_dir), path, valid_states=valid(spark, sf_dir))
         _MASTERS[key] = path
     return spark.read.parquet(_MASTERS[key])
 

@@ -47,9 +47,16 @@ class ModelRun:
         }
 
 
-def cleaning_run(raw: dict, valid_states=None, aliases=None) -> dict:
-    """Raw feeds -> {'master', 'bio', 'demo', 'enrol'} (cleaned monthly tables)."""
-    master = MA.build_master(raw, valid_states, aliases)
+def cleaning_run(raw: dict, valid_states=None, aliases=None, path: str | None = None) -> dict:
+    """Raw feeds -> {'master', 'bio', 'demo', 'enrol'} (cleaned monthly tables).
+
+    With ``path`` the master is written there once (raw feeds parsed once) and
+    every returned table reads that Parquet copy."""
+    if path:
+        spark = next(iter(raw.values())).sparkSession
+        master = spark.read.parquet(MA.write_master(raw, path, valid_states, aliases))
+    else:
+        master = MA.build_master(raw, valid_states, aliases)
     out = {"master": master}
     out.update({f: MA.feed_from_master(master, f) for f in MA.FEEDS})
     return out
