@@ -141,22 +141,31 @@ def region_counts(df: DataFrame, col: str = "pincode") -> DataFrame:
         F.count(F.lit(1)).alias("records"))
 
 
-def key_violations(df: DataFrame) -> DataFrame:
+def key_violations(df: DataFrame, examples: int = 10) -> DataFrame:
     """empty/null districts, null pincodes, pincodes not 6 long, out of
-    range, with up to 10 distinct examples of each pincode problem."""
+    range, with up to ``examples`` distinct examples of each pincode problem.
+
+    Examples come from a distributed top-k over the distinct bad values
+    (TakeOrderedAndProject), never from a set of all bad values in one buffer.
+    """
     p = F.col("pincode")
     num = p.cast("string").try_cast("bigint")
     bad_fmt = F.length(p.cast("string")) != 6
     bad_rng = (num < 100000) | (num > 999999)
-    return df.agg(
+    counts = df.agg(
         F.count_if(F.col("district").isNull() | (F.col("district") == "")).alias("empty_districts"),
         F.count_if(p.isNull()).alias("null_pincodes"),
         F.count_if(bad_fmt).alias("bad_format_pincodes"),
         F.count_if(bad_rng).alias("out_of_range_pincodes"),
-        F.slice(F.sort_array(F.collect_set(F.when(bad_fmt, p.cast("string")))), 1, 10).alias("bad_format_examples"),
-        F.slice(F.sort_array(F.collect_set(F.when(bad_rng, num))), 1, 10).alias("out_of_range_examples"),
     )
 
+    def first_k(cond, value, name):
+        top = df.filter(cond).select(value.alias("v")).distinct().orderBy("v").limit(examples)
+        return top.agg(F.sort_array(F.collect_list("v")).alias(name))  # at most `examples` values
+
+    return (counts.crossJoin(first_k(bad_fmt, p.cast("string"), "bad_format_examples"))
+            .crossJoin(first_k(bad_rng, num, "out_of_range_examples")))
+
 
 def suspicious_states(df: DataFrame, col: str = "state") -> DataFrame:
     """State values containing a city or area name (case-sensitive substring)."""
