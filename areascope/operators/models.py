@@ -89,6 +89,21 @@ def choose_k(vectors: DataFrame, k_min: int = K.MIN_CLUSTERS, k_max: int = K.MAX
     return best_k, best[best_k], sorted(sil)
 
 
+def choose_k_batched(vectors: DataFrame, cols, id_cols, k_min: int = K.MIN_CLUSTERS,
+                     k_max: int = K.MAX_CLUSTERS, n_init: int = K.KMEANS_N_INIT, seed: int = K.KMEANS_SEED,
+                     max_iter: int = 300, tol: float = 1e-4, threads: int = 6):
+    """ML2 + ML4 with every (k, seed) run sharing each pass over the data
+    (``kmeans_batch.MultiKMeans``: k-means++ seeding, Lloyd iterations, the
+    original's relative tolerance). Silhouettes score the best run per k.
+    Returns (best_k, fitted MultiKMeans, [(k, silhouette)])."""
+    from .kmeans_batch import MultiKMeans, assign
+    ks = list(range(k_min, k_max + 1))
+    mk = MultiKMeans(ks, n_init, seed, max_iter, tol).fit(vectors, cols, id_cols)
+    sil = _parallel(lambda k: (k, silhouette(assign(vectors, cols, mk.centers_of(k)))), ks, threads)
+    best_k = max(sil, key=lambda kv: (kv[1], -kv[0]))[0]
+    return best_k, mk, sorted(sil)
+
+
 def cluster_stats(df: DataFrame) -> DataFrame:
     """Per cluster activity mean/sum/count and feed means, rounded half-even to 2."""
     r = lambda c: F.bround(c, 2)
@@ -116,20 +131,26 @@ def profile_mapping(df: DataFrame, accuracy: int | None = 100_000) -> DataFrame:
                 else F.percentile_approx(c, p, accuracy).cast("double"))
     means = df.groupBy("cluster_id").agg(F.avg("total_activity").alias("_act"),
                                          F.avg("update_to_enrol_ratio").alias("_ratio"),
-                                         F.avg("total_activity_volatility").alias("_vol"))
+                                         F.avg("total_activity_volatility").alias("_vol")).collect()  # k rows
     glob = df.agg(q("update_to_enrol_ratio", 0.5).alias("_med_ratio"),
                   q("total_activity_volatility", 0.75).alias("_p75_vol"),
-                  q("total_activity", 0.25).alias("_p25_act"))
-    # k <= 8 rows: an unpartitioned window over them is trivial.
-    ranked = means.withColumn("_i", F.row_number().over(Window.orderBy(F.desc("_act"), "cluster_id")) - 1)
-    ranked = ranked.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
-    ranked = ranked.crossJoin(F.broadcast(glob))
-    pid = (F.when(F.col("_i") < F.col("_n") * K.PROFILE_TOP_SHARE, 0)
-           .when(F.col("_ratio") > F.col("_med_ratio"), 1)
-           .when(F.col("_vol") > F.col("_p75_vol"), 4)
-           .when(F.col("_act") < F.col("_p25_act"), 3)
-           .otherwise(2))
-    return ranked.select("cluster_id", pid.alias("cluster_profile_id"))
+                  q("total_activity", 0.25).alias("_p25_act")).first()  # one row
+    ranked = sorted(means, key=lambda r: (-r["_act"], r["cluster_id"]))
+    n = len(ranked)
+    mapping = []
+    for i, r in enumerate(ranked):
+        if i < n * K.PROFILE_TOP_SHARE:
+            pid = 0
+        elif r["_ratio"] > glob["_med_ratio"]:
+            pid = 1
+        elif r["_vol"] > glob["_p75_vol"]:
+            pid = 4
+        elif r["_act"] < glob["_p25_act"]:
+            pid = 3
+        else:
+            pid = 2
+        mapping.append((int(r["cluster_id"]), pid))
+    return df.sparkSession.createDataFrame(mapping, "cluster_id int, cluster_profile_id int")
 
 
 def label_profiles(df: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -128,8 +128,10 @@ def activity_split(df: DataFrame) -> DataFrame:
                   F.sum("total_activity_demo").alias("Demographic Updates"),
                   F.sum(_enrol_total()).alias("New Enrollments"))
     long = wide.unpivot([], wide.columns, "activity_type", "total")
-    tot = F.sum("total").over(Window.partitionBy(F.lit(1)))  # three rows
-    return long.withColumn("share_pct", F.when(tot > 0, F.col("total") * 100.0 / tot))
+    tot = wide.select(sum((F.col(f"`{c}`") for c in wide.columns), F.lit(0)).alias("_tot"))
+    out = long.crossJoin(F.broadcast(tot))  # one-row total
+    return out.select("activity_type", "total",
+                      F.when(F.col("_tot") > 0, F.col("total") * 100.0 / F.col("_tot")).alias("share_pct"))
 
 
 def pct_change(df: DataFrame, cols, order: str = "year_month") -> DataFrame:
@@ -248,8 +250,9 @@ def normalised_cluster_means(df: DataFrame) -> DataFrame:
     """Cluster means of three activities divided by each column's max (k rows)."""
     cols = ["total_bio_updates", "total_demo_updates", "total_enrollments"]
     g = df.groupBy("cluster_id").agg(*[F.avg(c).alias(c) for c in cols])
-    w = Window.partitionBy(F.lit(1))
-    return g.select("cluster_id", *[safe_ratio(F.col(c), F.max(c).over(w)).alias(f"{c}_norm") for c in cols])
+    mx = g.agg(*[F.max(c).alias(f"_max_{c}") for c in cols])  # one row
+    g = g.crossJoin(F.broadcast(mx))
+    return g.select("cluster_id", *[safe_ratio(F.col(c), F.col(f"_max_{c}")).alias(f"{c}_norm") for c in cols])
 
 
 def cluster_profiles(df: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def cleaning_run(raw: dict, valid_states=None, aliases=None, path: str | None =
 
 def model_run(master: DataFrame, n_init: int = K.KMEANS_N_INIT, k_min: int = K.MIN_CLUSTERS,
               k_max: int = K.MAX_CLUSTERS, seed: int = K.KMEANS_SEED, n_trees: int = K.FOREST_TREES,
-              district_by=("district",)) -> ModelRun:
+              district_by=("district",), kmeans_engine: str = "batched") -> ModelRun:
     clock = {"t": time.time()}
     stages = {}
 
@@ -82,11 +82,21 @@ def model_run(master: DataFrame, n_init: int = K.KMEANS_N_INIT, k_min: int = K.M
     scaled = MO.apply_scaler(feats, scaler, K.FEATURE_COLUMNS).select(*keep, *SCALED)
     # Every k-means fit rescans the vectors: materialise them once in the
     # shared checkpoint folder (survives executor loss, cuts the lineage).
-    vectors = cut_lineage(MO.assemble(scaled, SCALED)).persist()
+    vec = MO.assemble(scaled, SCALED)
+    par = master.sparkSession.sparkContext.defaultParallelism
+    if vec.rdd.getNumPartitions() < par:  # every k-means pass should use every core
+        vec = vec.repartition(par)
+    vectors = cut_lineage(vec).persist()
     lap("features_and_scaling")
-    best_k, model, sil = MO.choose_k(vectors, k_min, k_max, n_init, seed)
-    lap("choose_k")
-    assigned = model.transform(vectors).drop("features")
+    if kmeans_engine == "mllib":
+        best_k, model, sil = MO.choose_k(vectors, k_min, k_max, n_init, seed)
+        lap("choose_k")
+        assigned = model.transform(vectors).drop("features")
+    else:
+        from ..operators.kmeans_batch import assign
+        best_k, model, sil = MO.choose_k_batched(vectors, SCALED, K.KEYS, k_min, k_max, n_init, seed)
+        lap("choose_k")
+        assigned = assign(vectors, SCALED, model.centers_of(best_k)).drop("features")
     nodes, psi = IF.fit_iforest(assigned, SCALED, K.KEYS, n_trees=n_trees, seed=K.FOREST_SEED)
     nodes = cut_lineage(nodes)
     scored = IF.decision_scores(IF.score_samples(assigned, nodes, psi, SCALED))
@@ -111,4 +121,9 @@ def write_model_outputs(run: ModelRun, path: str, fmt: str = "csv") -> None:
     write_report(OU.run_metadata(run.result, run.run_timestamp), f"{base}/ml_metadata")
     spark = run.result.sparkSession
     features = spark.createDataFrame([(i, c) for i, c in enumerate(K.FEATURE_COLUMNS)], "position int, feature string")
-    save_models(f"{base}/models", run.kmeans, {"scaler": run.scaler, "forest": run.forest, "feature_columns": features})
+    tables = {"scaler": run.scaler, "forest": run.forest, "feature_columns": features}
+    mllib = run.kmeans if hasattr(run.kmeans, "write") else None
+    if mllib is None:
+        from ..operators.kmeans_batch import centers_table
+        tables["kmeans_centers"] = centers_table(spark, run.kmeans, run.best_k, SCALED)
+    save_models(f"{base}/models", mllib, tables)

@@ -67,3 +67,27 @@ def test_model_run_invariants(spark):
     assert means.cluster_profile == K.CLUSTER_PROFILES[0][0]
     reasons = r.filter("is_anomaly = 0 AND drop_alert = 0 AND spike_alert = 0").select("risk_reason").distinct().collect()
     assert [x.risk_reason for x in reasons] == [K.REASON_NONE]
+
+
+def test_batched_kmeans_finds_blobs_and_beats_single_runs(spark):
+    from pyspark.ml.clustering import KMeans
+
+    from areascope.operators.kmeans_batch import MultiKMeans, assign
+    rng = np.random.default_rng(3)
+    centres = np.array([[0.0, 0.0], [8.0, 8.0], [-8.0, 6.0]])
+    pts = np.vstack([c + rng.normal(scale=0.5, size=(300, 2)) for c in centres])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "id int, x double, y double")
+    df = df.repartition(4)
+    mk = MultiKMeans([2, 3, 4], n_init=3, seed=1).fit(df, ["x", "y"], ["id"])
+    got = mk.centers_of(3)
+    for c in centres:
+        assert np.min(np.linalg.norm(got - c, axis=1)) < 0.2
+    labels = assign(df, ["x", "y"], got).groupBy("cluster_id").count().collect()
+    assert sorted(r["count"] for r in labels) == [300, 300, 300]
+    assert mk.inertia_of(3) < mk.inertia_of(2)
+    vec = MO.assemble(df, ["x", "y"])
+    mllib = KMeans(k=3, seed=1).fit(vec).summary.trainingCost
+    assert mk.inertia_of(3) <= mllib * (1 + 1e-6)
+    # same seed, same result
+    again = MultiKMeans([3], n_init=3, seed=1).fit(df, ["x", "y"], ["id"])
+    assert np.allclose(np.sort(again.centers_of(3), axis=0), np.sort(got, axis=0))

@@ -82,4 +82,4 @@ def test_write_model_outputs(spark):
             for line in open(f"{d}/ml_metadata/{fn}")]
     assert meta[0]["statistics"]["total_locations"] == run.result.count()
     assert meta[0]["configuration"]["n_clusters"] == 3
-    assert os.path.isdir(f"{d}/models/kmeans") and os.path.isdir(f"{d}/models/forest")
+    assert os.path.isdir(f"{d}/models/kmeans_centers") and os.path.isdir(f"{d}/models/forest")
