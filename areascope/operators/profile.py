@@ -114,6 +114,14 @@ def date_counts(df: DataFrame, date_col: str = "date", parse: bool = True) -> Da
         F.count(F.lit(1)).alias("records"))
 
 
+def date_extremes(df: DataFrame, n: int = 3, date_col: str = "date", parse: bool = True) -> DataFrame:
+    """The n earliest and n latest dates with their record counts."""
+    c = date_counts(df, date_col, parse)
+    first = c.orderBy("date").limit(n).withColumn("end", F.lit("earliest"))
+    last = c.orderBy(F.desc("date")).limit(n).withColumn("end", F.lit("latest"))
+    return first.unionByName(last)
+
+
 def missing_dates(df: DataFrame, date_col: str = "date", parse: bool = True) -> DataFrame:
     """Calendar days between the first and last date without any record.
 

@@ -230,6 +230,18 @@ def q_date_counts(spark, sf_dir):
     return PR.date_counts(raw(spark, sf_dir)["bio"])
 
 
+@query("date_extremes")
+def q_date_extremes(spark, sf_dir):
+    """Three earliest and three latest dates with record counts."""
+    return PR.date_extremes(raw(spark, sf_dir)["demo"])
+
+
+@query("list_states")
+def q_list_states(spark, sf_dir):
+    """Sorted distinct states of the master (pick list)."""
+    return RE.list_values(master_table(spark, sf_dir), "state")
+
+
 @query("missing_dates")
 def q_missing_dates(spark, sf_dir):
     """Calendar days without records."""

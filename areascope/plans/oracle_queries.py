@@ -355,3 +355,9 @@ ORACLE = {
         'FROM d ORDER BY b + dm + e DESC, district LIMIT 15'),
 }
 ORACLE["scan_feed_csv"] = ORACLE["clean_feed_bio"]
+ORACLE["date_extremes"] = raw_only(
+    ", c AS (SELECT CAST(try_strptime(date, '%d-%m-%Y') AS DATE) AS date, count(*) AS records FROM demo_raw "
+    "WHERE try_strptime(date, '%d-%m-%Y') IS NOT NULL GROUP BY 1) "
+    "SELECT * FROM (SELECT date, records, 'earliest' AS \"end\" FROM c ORDER BY date LIMIT 3) "
+    "UNION ALL SELECT * FROM (SELECT date, records, 'latest' AS \"end\" FROM c ORDER BY date DESC LIMIT 3)")
+ORACLE["list_states"] = with_master("SELECT DISTINCT state FROM master WHERE state IS NOT NULL ORDER BY state")
