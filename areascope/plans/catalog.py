@@ -103,8 +103,9 @@ def model_result(spark, sf_dir) -> RU.ModelRun:
 
 @query("build_master")
 def q_build_master(spark, sf_dir):
-    """Cleaning run: three raw feeds -> 20-column master (one shuffle)."""
-    return fresh_master(spark, sf_dir)
+    """Cleaning run: three raw feeds -> 20-column master (one shuffle), written
+    once to the shared folder (raw feeds parsed once) and read back."""
+    return master_table(spark, sf_dir)
 
 
 @query("merge_feeds")

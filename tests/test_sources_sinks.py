@@ -65,6 +65,9 @@ def test_cleaning_run_writes_master_once(spark):
     out = RU.cleaning_run(TD.raw_feeds(spark, SF), TD.valid_states(spark, SF), path=f"{d}/master")
     assert out["master"].count() == C.fresh_master(spark, SF).count()
     assert out["master"].columns == MA.master_columns()
+    # master rows >= largest feed and <= sum of feeds (full outer merge of unique keys)
+    sizes = [out[f].count() for f in MA.FEEDS]
+    assert max(sizes) <= out["master"].count() <= sum(sizes)
     # per-feed tables recovered from the master conserve each feed's total
     for f in MA.FEEDS:
         s = MA.SUFFIX[f]
