@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .. import constants as K
-from .oracle_sql import RAW_CTES, _count, _district, _monthly, _state, _std, with_master, _BIO, _DEMO, _ENROL
+from .oracle_sql import _DEMO, _ENROL, RAW_CTES, _count, _state, with_master
 
 R = 4
 

@@ -9,7 +9,6 @@ import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import risk_category
