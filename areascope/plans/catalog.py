@@ -417,6 +417,13 @@ def q_peak_months(spark, sf_dir):
     return RE.peak_months(RE.monthly_summary(report_base(spark, sf_dir)))
 
 
+@query("monthly_table")
+def q_monthly_table(spark, sf_dir):
+    """Monthly table with month labels, newest first (sorted by date)."""
+    m = RE.monthly_summary(report_base(spark, sf_dir))
+    return RE.monthly_table(m).select("year_month", "month_label", "total_activity", "pincodes")
+
+
 @query("linear_trend")
 def q_linear_trend(spark, sf_dir):
     """Least-squares trend of monthly activity."""

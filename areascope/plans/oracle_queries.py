@@ -360,4 +360,9 @@ ORACLE["date_extremes"] = raw_only(
     "WHERE try_strptime(date, '%d-%m-%Y') IS NOT NULL GROUP BY 1) "
     "SELECT * FROM (SELECT date, records, 'earliest' AS \"end\" FROM c ORDER BY date LIMIT 3) "
     "UNION ALL SELECT * FROM (SELECT date, records, 'latest' AS \"end\" FROM c ORDER BY date DESC LIMIT 3)")
+ORACLE["monthly_table"] = wb(
+    ", m AS (SELECT year_month, count(DISTINCT pincode) AS pincodes, "
+    f"sum(total_activity_bio) + sum(total_activity_demo) + sum({ENR}) AS t FROM base GROUP BY year_month) "
+    "SELECT year_month, strftime(CAST(year_month || '-01' AS DATE), '%B %Y') AS month_label, round(t, 4) AS total_activity, "
+    "pincodes FROM m ORDER BY year_month DESC")
 ORACLE["list_states"] = with_master("SELECT DISTINCT state FROM master WHERE state IS NOT NULL ORDER BY state")
