@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import ship_package
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, size int"
 _MASK52 = (1 << 52) - 1
@@ -76,6 +77,7 @@ def fit_iforest(df: DataFrame, feature_cols, id_cols, n_trees: int = K.FOREST_TR
                 max_samples: int = K.FOREST_MAX_SAMPLES, seed: int = K.FOREST_SEED,
                 oversample: float = 2.0) -> tuple[DataFrame, int]:
     """Returns (node table, psi)."""
+    ship_package(df.sparkSession)
     n = df.count()
     psi = max(1, min(max_samples, n))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
@@ -142,6 +144,7 @@ def path_lengths(X: np.ndarray, forest: dict) -> np.ndarray:
 
 def score_samples(df: DataFrame, nodes: DataFrame, psi: int, feature_cols, out: str = "iforest_score") -> DataFrame:
     """Attach s(x) = -2 ** (-E[h(x)] / c(psi)); lower is more anomalous."""
+    ship_package(df.sparkSession)
     forest = _forest_arrays(nodes.toPandas())  # bounded: trees * (2 psi - 1) rows
     bc = df.sparkSession.sparkContext.broadcast(forest)
     norm = float(average_path_length([psi])[0]) or 1.0

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 _MASK52 = (1 << 52) - 1
 
 
@@ -124,6 +126,7 @@ class MultiKMeans:
 
     # -------------------------------------------------------------- fit
     def fit(self, df: DataFrame, cols, id_cols) -> "MultiKMeans":
+        ship_package(df.sparkSession)
         data = df.select(F.xxhash64(*[F.col(c) for c in id_cols]).alias("_h"), *cols)
         var = df.agg(*[F.var_pop(c).alias(c) for c in cols]).first()
         scale = float(np.mean([v or 0.0 for v in var])) or 1.0
@@ -168,6 +171,7 @@ class MultiKMeans:
 
 def assign(df: DataFrame, cols, centers: np.ndarray, out: str = "cluster_id") -> DataFrame:
     """Nearest-centre label per row (Arrow-batched, centres are k x dims)."""
+    ship_package(df.sparkSession)
     C = np.asarray(centers, dtype=float)
 
     @F.pandas_udf("int")
