@@ -81,13 +81,16 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``areascope`` importable in executor Python workers (once per context).
 
     Functions run by ``mapInPandas`` / ``applyInPandas`` / ``pandas_udf`` are
-    pickled by reference to this package; like ``--py-files``, a zip of the
-    package is added to the context and shipped to every executor.
+    pickled by reference to this package. On a cluster the package is shipped
+    at submit time (``spark-submit --py-files areascope.zip`` or installed in
+    the executor image), so nothing is done there. In local mode (tests, the
+    driver's checks) a zip of the package is added to the context, exactly
+    what ``--py-files`` would do.
     """
     import zipfile
 
     sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED or not sc.master.startswith("local"):
         return
     root = os.path.dirname(os.path.abspath(__file__))
     parent = os.path.dirname(root)
