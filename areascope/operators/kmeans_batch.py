@@ -126,7 +126,21 @@ class MultiKMeans:
 
     # -------------------------------------------------------------- fit
     def fit(self, df: DataFrame, cols, id_cols) -> "MultiKMeans":
-        ship_package(df.sparkSession)
+        spark = df.sparkSession
+        ship_package(spark)
+        # Larger Arrow batches: each batch is one vectorised step over all runs.
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = spark.conf.get(key, None)
+        spark.conf.set(key, "50000")
+        try:
+            return self._fit(df, cols, id_cols)
+        finally:
+            if before is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, before)
+
+    def _fit(self, df: DataFrame, cols, id_cols) -> "MultiKMeans":
         data = df.select(F.xxhash64(*[F.col(c) for c in id_cols]).alias("_h"), *cols)
         var = df.agg(*[F.var_pop(c).alias(c) for c in cols]).first()
         scale = float(np.mean([v or 0.0 for v in var])) or 1.0
