@@ -21,20 +21,31 @@ def _union(frames):
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def numeric_profile(df: DataFrame, cols) -> DataFrame:
-    """A3 + A4 + A5 + F9: one row per column, all from one aggregate per column."""
+def numeric_profile(df: DataFrame, cols, accuracy: int | None = None) -> DataFrame:
+    """A3 + A4 + A5 + F9: one row per column, all from one aggregate per column.
+
+    Percentiles are exact with linear interpolation (a value -> count map: right
+    for integer counts); ``accuracy`` switches to ``percentile_approx`` for
+    continuous columns at scale.
+    """
     rows = []
     for c in cols:
         x = F.col(c).cast("double")
+        if accuracy:
+            med = F.percentile_approx(x, 0.5, accuracy).cast("double")
+            pcts = F.percentile_approx(x, PERCENTILES, accuracy)
+        else:
+            med = F.percentile(x, F.lit(0.5))
+            pcts = F.percentile(x, F.array(*[F.lit(p) for p in PERCENTILES]))
         rows.append(df.agg(
             F.lit(c).alias("column"),
             F.count_if(x.isNull()).alias("nulls"),
             F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"),
-            F.percentile(x, F.lit(0.5)).alias("median"), F.stddev_samp(x).alias("std"),
+            med.alias("median"), F.stddev_samp(x).alias("std"),
             F.count_if(x < 0).alias("negatives"),
             F.count_if(x == 0).alias("zeros"),
             (F.count_if(x == 0) * 100.0 / F.count(F.lit(1))).alias("zero_pct"),
-            F.percentile(x, F.array(*[F.lit(p) for p in PERCENTILES])).alias("percentiles"),
+            pcts.alias("percentiles"),
             F.count_if(x > 1000).alias("above_1000"),
         ))
     out = _union(rows)
@@ -59,8 +70,10 @@ def top_values(df: DataFrame, col: str, k: int = 5) -> DataFrame:
     return df.select(F.col(col).cast("double").alias("value")).distinct().orderBy(F.desc("value")).limit(k)
 
 
-def coverage(df: DataFrame, cols=("state", "district", "pincode")) -> DataFrame:
-    """Distinct non-null counts."""
+def coverage(df: DataFrame, cols=("state", "district", "pincode"), approx_rsd: float | None = None) -> DataFrame:
+    """Distinct non-null counts (exact; ``approx_rsd`` opts into HyperLogLog++)."""
+    if approx_rsd:
+        return df.agg(*[F.approx_count_distinct(c, approx_rsd).alias(f"unique_{c}") for c in cols])
     return df.agg(*[F.countDistinct(c).alias(f"unique_{c}") for c in cols])
 
 
