@@ -243,6 +243,26 @@ def q_list_states(spark, sf_dir):
     return RE.list_values(master_table(spark, sf_dir), "state")
 
 
+@query("events_date_coverage")
+def q_events_date_coverage(spark, sf_dir):
+    """A13 on the event stream table: first/last day and span."""
+    return PR.date_coverage(TD.table(spark, sf_dir, "events"), "ts", parse=False)
+
+
+@query("events_missing_dates")
+def q_events_missing_dates(spark, sf_dir):
+    """J5 on the event stream table: days without any event."""
+    return PR.missing_dates(TD.table(spark, sf_dir, "events"), "ts", parse=False)
+
+
+@query("events_daily_change")
+def q_events_daily_change(spark, sf_dir):
+    """W7 by day: day-over-day percent change of event counts and values."""
+    daily = (TD.table(spark, sf_dir, "events").groupBy(F.col("ts").cast("date").alias("day"))
+             .agg(F.count(F.lit(1)).cast("double").alias("events"), F.sum("value").alias("value")))
+    return RE.pct_change(daily, ["events", "value"], order="day").select("day", "events_change", "value_change")
+
+
 @query("missing_dates")
 def q_missing_dates(spark, sf_dir):
     """Calendar days without records."""

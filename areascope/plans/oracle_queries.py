@@ -365,4 +365,20 @@ ORACLE["monthly_table"] = wb(
     f"sum(total_activity_bio) + sum(total_activity_demo) + sum({ENR}) AS t FROM base GROUP BY year_month) "
     "SELECT year_month, strftime(CAST(year_month || '-01' AS DATE), '%B %Y') AS month_label, round(t, 4) AS total_activity, "
     "pincodes FROM m ORDER BY year_month DESC")
+ORACLE["events_date_coverage"] = (
+    "SELECT min(CAST(ts AS DATE)) AS first_date, max(CAST(ts AS DATE)) AS last_date, "
+    "CAST(datediff('day', min(CAST(ts AS DATE)), max(CAST(ts AS DATE))) AS INTEGER) AS span_days "
+    "FROM events WHERE ts IS NOT NULL")
+ORACLE["events_missing_dates"] = (
+    "WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events WHERE ts IS NOT NULL), "
+    "cal AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM d) "
+    "SELECT date FROM cal WHERE date NOT IN (SELECT date FROM d)")
+ORACLE["events_daily_change"] = (
+    "WITH d AS (SELECT CAST(ts AS DATE) AS day, CAST(count(*) AS DOUBLE) AS e, sum(value) AS v FROM events GROUP BY 1), "
+    "c AS (SELECT day, " + ", ".join(
+        f"CASE WHEN lag({x}) OVER (ORDER BY day) = 0 THEN CASE WHEN {x} = 0 THEN NULL ELSE 'Infinity'::DOUBLE END "
+        f"ELSE ({x} - lag({x}) OVER (ORDER BY day)) / lag({x}) OVER (ORDER BY day) * 100 END AS {n}"
+        for x, n in (("e", "events_change"), ("v", "value_change"))) + " FROM d) "
+    "SELECT day, round(events_change, 4) AS events_change, round(value_change, 4) AS value_change FROM c "
+    "WHERE events_change IS NOT NULL AND value_change IS NOT NULL")
 ORACLE["list_states"] = with_master("SELECT DISTINCT state FROM master WHERE state IS NOT NULL ORDER BY state")
