@@ -72,15 +72,16 @@ def model_run(master: DataFrame, n_init: int = K.KMEANS_N_INIT, k_min: int = K.M
         stages[name] = round(now - clock["t"], 3)
         clock["t"] = now
 
-    feats = FE.build_features(master, district_by)
-    scaler = cut_lineage(MO.fit_scaler(feats, K.FEATURE_COLUMNS))
     keep = K.KEYS + ["total_activity", "total_bio_updates", "total_demo_updates", "total_enrollments",
                      "bio_ratio", "demo_ratio", "enrol_ratio", "update_to_enrol_ratio",
                      "activity_vs_district_mean", "district_total_activity_mean",
-                     "total_activity_mom_growth", "total_activity_volatility", "total_bio_updates_mom_growth"]
+                     "total_activity_mom_growth", "total_activity_volatility"]
+    feature_cols = [c for c in K.FEATURE_COLUMNS if c not in keep]
+    # The features (one window shuffle of the master) feed the scaler statistics
+    # and the scaling: materialise them once instead of evaluating them twice.
+    feats = cut_lineage(FE.build_features(master, district_by).select(*keep, *feature_cols))
+    scaler = cut_lineage(MO.fit_scaler(feats, K.FEATURE_COLUMNS))
     scaled = MO.apply_scaler(feats, scaler, K.FEATURE_COLUMNS).select(*keep, *SCALED)
-    # Every k-means fit rescans the vectors: materialise them once in the
-    # shared checkpoint folder (survives executor loss, cuts the lineage).
     vec = MO.assemble(scaled, SCALED)
     par = master.sparkSession.sparkContext.defaultParallelism
     if vec.rdd.getNumPartitions() < par:  # every k-means pass should use every core
