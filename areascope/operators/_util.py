@@ -23,3 +23,10 @@ def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Data
 def one_row_broadcast(df: DataFrame) -> DataFrame:
     """Broadcast a global aggregate (no grouping keys: exactly one row)."""
     return F.broadcast(df)
+
+
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a global aggregate (exactly one row, no grouping
+    keys) to every row of ``df``: a scalar broadcast, each row meets one row,
+    no pairs are emitted."""
+    return df.crossJoin(F.broadcast(one_row))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import (apply_aliases, coerce_count, normalise_district, normalise_state,
                          parse_date, row_sum, valid_pincode)
-from ._util import bounded_broadcast, one_row_broadcast
+from ._util import bounded_broadcast, with_scalars
 
 
 def measures_of(feed: str) -> list:
@@ -70,7 +70,7 @@ def cap_at_percentile(df: DataFrame, cols, p: float = K.CAP_PERCENTILE,
             return F.percentile_approx(c, p, accuracy).cast("double")
         return F.percentile(F.col(c), F.lit(p))
     caps = df.agg(*[pct(c).alias(f"_cap_{c}") for c in cols])
-    out = df.crossJoin(one_row_broadcast(caps))
+    out = with_scalars(df, caps)
     out = out.withColumns({c: F.when(F.col(c).isNotNull(),
                                      F.coalesce(F.least(F.col(c).cast("double"), F.col(f"_cap_{c}")),
                                                 F.col(c).cast("double")))
@@ -149,9 +149,9 @@ def cleaning_counters(raw: DataFrame, feed: str, valid_states=None, aliases=None
         F.count_if(ok).alias("output_rows"),
         *[F.percentile(F.when(ok, F.col(m)), F.lit(K.CAP_PERCENTILE)).alias(f"_p99_{m}") for m in ms],
     )
-    above = df.filter(ok).crossJoin(one_row_broadcast(base.select([f"_p99_{m}" for m in ms]))).agg(
+    above = with_scalars(df.filter(ok), base.select([f"_p99_{m}" for m in ms])).agg(
         *[F.count_if(F.col(m) > F.col(f"_p99_{m}")).alias(f"above_p99_{m}") for m in ms])
-    return base.drop(*[f"_p99_{m}" for m in ms]).crossJoin(above)
+    return with_scalars(base.drop(*[f"_p99_{m}" for m in ms]), above)
 
 
 def dedup_feed(df: DataFrame, keys=("date", "state", "district", "pincode"), order=None) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..session import ship_package
+from ._util import with_scalars
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, size int"
 _MASK52 = (1 << 52) - 1
@@ -168,6 +169,6 @@ def decision_scores(df: DataFrame, contamination: float = K.FOREST_CONTAMINATION
     q = (F.percentile(F.col(score_col), F.lit(contamination)) if accuracy is None
          else F.percentile_approx(score_col, contamination, accuracy))
     offset = df.agg(q.cast("double").alias("_offset"))
-    out = df.crossJoin(F.broadcast(offset)).withColumn("anomaly_score", F.col(score_col) - F.col("_offset"))
+    out = with_scalars(df, offset).withColumn("anomaly_score", F.col(score_col) - F.col("_offset"))
     out = out.withColumn("anomaly_prediction", F.when(F.col("anomaly_score") < 0, -1).otherwise(1))
     return out.withColumn("is_anomaly", (F.col("anomaly_prediction") == -1).cast("int")).drop("_offset")

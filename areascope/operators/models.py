@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import finite_or_zero, profile_field
+from ._util import with_scalars
 
 
 def fit_scaler(df: DataFrame, cols) -> DataFrame:
@@ -24,7 +25,7 @@ def fit_scaler(df: DataFrame, cols) -> DataFrame:
 
 def apply_scaler(df: DataFrame, scaler: DataFrame, cols, suffix: str = "_scaled") -> DataFrame:
     """ML1 apply: (x - mean) / std; zero variance -> 0. One broadcast row."""
-    out = df.crossJoin(F.broadcast(scaler))
+    out = with_scalars(df, scaler)
     out = out.withColumns({
         f"{c}{suffix}": F.when(F.col(f"{c}__std") > 0,
                                (finite_or_zero(c) - F.col(f"{c}__mean")) / F.col(f"{c}__std"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..sources.files import select_existing
+from ._util import with_scalars
 
 FULL_OUTPUT_COLUMNS = [
     "year_month", "state", "district", "pincode",
@@ -75,7 +76,7 @@ def distribution(df: DataFrame, col: str, levels=None) -> DataFrame:
         spark = df.sparkSession
         lv = spark.createDataFrame([(x,) for x in levels], f"{col} string")
         counts = lv.join(counts, col, "full").fillna(0, subset=["count"])
-    counts = counts.crossJoin(F.broadcast(total))
+    counts = with_scalars(counts, total)
     return counts.select(col, "count", (F.col("count") * 100.0 / F.col("_n")).alias("pct"))
 
 
@@ -99,9 +100,9 @@ def run_metadata(df: DataFrame, run_timestamp: str, feature_cols=K.FEATURE_COLUM
         F.sum("spike_alert").cast("bigint").alias("spike_alert_count"),
     )
     # Each distribution has a handful of keys (profiles, risk levels, trends).
-    dists = (_as_map(df, "cluster_profile").crossJoin(_as_map(df, "risk_category"))
-             .crossJoin(_as_map(df, "trend_status")))
-    row = stats.crossJoin(dists)
+    dists = with_scalars(with_scalars(_as_map(df, "cluster_profile"), _as_map(df, "risk_category")),
+                         _as_map(df, "trend_status"))
+    row = with_scalars(stats, dists)
     return row.select(
         F.lit(run_timestamp).alias("run_timestamp"),
         F.lit(K.DATA_VERSION).alias("data_version"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import parse_date, pincode_region, visible_blanks, whitespace_issue
+from ._util import with_scalars
 
 PERCENTILES = [0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
@@ -59,7 +60,7 @@ def outlier_counts(df: DataFrame, cols) -> DataFrame:
     for c in cols:
         x = F.col(c).cast("double")
         q = df.agg(F.percentile(x, F.lit(0.95)).alias("_p95"), F.percentile(x, F.lit(0.99)).alias("_p99"))
-        rows.append(df.crossJoin(F.broadcast(q)).agg(
+        rows.append(with_scalars(df, q).agg(
             F.lit(c).alias("column"), F.first("_p95").alias("p95"), F.first("_p99").alias("p99"),
             F.count_if(x > F.col("_p95")).alias("above_p95"), F.count_if(x > F.col("_p99")).alias("above_p99")))
     return _union(rows)
@@ -184,8 +185,8 @@ def key_violations(df: DataFrame, examples: int = 10) -> DataFrame:
         top = df.filter(cond).select(value.alias("v")).distinct().orderBy("v").limit(examples)
         return top.agg(F.sort_array(F.collect_list("v")).alias(name))  # at most `examples` values
 
-    return (counts.crossJoin(first_k(bad_fmt, p.cast("string"), "bad_format_examples"))
-            .crossJoin(first_k(bad_rng, num, "out_of_range_examples")))
+    return with_scalars(with_scalars(counts, first_k(bad_fmt, p.cast("string"), "bad_format_examples")),
+                        first_k(bad_rng, num, "out_of_range_examples"))
 
 
 def suspicious_states(df: DataFrame, col: str = "state") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import month_label, month_start, safe_ratio, title_case
+from ._util import with_scalars
 
 ENROL = ["enrollments_age_0_5", "enrollments_age_5_17", "enrollments_age_18_plus"]
 ALL_SENTINELS = ("All States", "All Districts", "All Pincodes", "All", None)
@@ -129,7 +130,7 @@ def activity_split(df: DataFrame) -> DataFrame:
                   F.sum(_enrol_total()).alias("New Enrollments"))
     long = wide.unpivot([], wide.columns, "activity_type", "total")
     tot = wide.select(sum((F.col(f"`{c}`") for c in wide.columns), F.lit(0)).alias("_tot"))
-    out = long.crossJoin(F.broadcast(tot))  # one-row total
+    out = with_scalars(long, tot)  # one-row total
     return out.select("activity_type", "total",
                       F.when(F.col("_tot") > 0, F.col("total") * 100.0 / F.col("_tot")).alias("share_pct"))
 
@@ -236,7 +237,7 @@ def trend_counts(df: DataFrame) -> DataFrame:
     """Rows per trend status plus drop and spike totals."""
     c = df.groupBy("trend_status").agg(F.count(F.lit(1)).alias("count"))
     t = df.agg(F.sum("drop_alert").alias("drop_alerts"), F.sum("spike_alert").alias("spike_alerts"))
-    return c.crossJoin(F.broadcast(t))
+    return with_scalars(c, t)
 
 
 def crosstab_pct(df: DataFrame, row: str, col: str) -> DataFrame:
@@ -251,7 +252,7 @@ def normalised_cluster_means(df: DataFrame) -> DataFrame:
     cols = ["total_bio_updates", "total_demo_updates", "total_enrollments"]
     g = df.groupBy("cluster_id").agg(*[F.avg(c).alias(c) for c in cols])
     mx = g.agg(*[F.max(c).alias(f"_max_{c}") for c in cols])  # one row
-    g = g.crossJoin(F.broadcast(mx))
+    g = with_scalars(g, mx)
     return g.select("cluster_id", *[safe_ratio(F.col(c), F.col(f"_max_{c}")).alias(f"{c}_norm") for c in cols])
 
 
@@ -267,7 +268,7 @@ def cluster_profiles(df: DataFrame) -> DataFrame:
 def histogram(df: DataFrame, col: str, bins: int, by: str | None = None) -> DataFrame:
     """Equal-width bins between the global min and max (last bin closed)."""
     mm = df.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
-    x = df.crossJoin(F.broadcast(mm))
+    x = with_scalars(df, mm)
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when(width > 0, F.least(F.floor((F.col(col) - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0)
     keys = [by] if by else []
