@@ -30,3 +30,15 @@ def test_entry_and_python_workers_from_foreign_cwd(tmp_path):
     out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True,
                          text=True, timeout=600)
     assert "CONTRACT-OK" in out.stdout, out.stderr[-3000:]
+
+
+def test_command_line_clean_and_model(tmp_path):
+    env = dict(os.environ, PYTHONPATH=REPO)
+    out = str(tmp_path / "run")
+    for cmd in (["clean", "--tables", "/root/testdata/sf0.001"], ["model"]):
+        res = subprocess.run([sys.executable, "-m", "areascope", *cmd, "--out", out, "--master", "local[2]"],
+                             cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
+        assert res.returncode == 0, res.stderr[-3000:]
+    for name in ("master", "bio_cleaned", "outputs/ml_full_output", "outputs/state_summary", "ml_metadata",
+                 "models/forest", "models/scaler"):
+        assert os.path.isdir(os.path.join(out, name)), name
