@@ -15,6 +15,7 @@ from __future__ import annotations
 import argparse
 import json
 
+from . import constants as K
 from .operators import master as MA
 from .plans import runs as RU
 from .session import get_session
@@ -31,6 +32,8 @@ def main(argv=None) -> None:
     ap.add_argument("--tables", help="folder with the TPC-H-style test tables instead of feeds")
     ap.add_argument("--master", help="Spark master, e.g. local[8]; unset on a cluster")
     ap.add_argument("--format", default="csv", choices=["csv", "parquet"], help="result table format")
+    ap.add_argument("--n-init", type=int, default=K.KMEANS_N_INIT, help="k-means seeds per k")
+    ap.add_argument("--trees", type=int, default=K.FOREST_TREES, help="isolation-forest trees")
     args = ap.parse_args(argv)
     spark = get_session(args.master)
     out = args.out.rstrip("/")
@@ -46,7 +49,7 @@ def main(argv=None) -> None:
             write_table(tables[f], f"{out}/{f}_cleaned", fmt=args.format)
         print(json.dumps({"master": f"{out}/master", "rows": tables["master"].count()}))
     else:
-        run = RU.model_run(spark.read.parquet(f"{out}/master"))
+        run = RU.model_run(spark.read.parquet(f"{out}/master"), n_init=args.n_init, n_trees=args.trees)
         RU.write_model_outputs(run, out, fmt=args.format)
         print(json.dumps({"best_k": run.best_k, "silhouettes": run.silhouettes, "stages": run.stage_seconds}))
 

@@ -35,7 +35,7 @@ def test_entry_and_python_workers_from_foreign_cwd(tmp_path):
 def test_command_line_clean_and_model(tmp_path):
     env = dict(os.environ, PYTHONPATH=REPO)
     out = str(tmp_path / "run")
-    for cmd in (["clean", "--tables", "/root/testdata/sf0.001"], ["model"]):
+    for cmd in (["clean", "--tables", "/root/testdata/sf0.001"], ["model", "--n-init", "1", "--trees", "10"]):
         res = subprocess.run([sys.executable, "-m", "areascope", *cmd, "--out", out, "--master", "local[2]"],
                              cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
         assert res.returncode == 0, res.stderr[-3000:]
