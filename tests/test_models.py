@@ -91,3 +91,27 @@ def test_batched_kmeans_finds_blobs_and_beats_single_runs(spark):
     # same seed, same result
     again = MultiKMeans([3], n_init=3, seed=1).fit(df, ["x", "y"], ["id"])
     assert np.allclose(np.sort(again.centers_of(3), axis=0), np.sort(got, axis=0))
+
+
+def test_vectorised_path_lengths_match_row_walk():
+    import pandas as pd
+    rng = np.random.default_rng(11)
+    X = rng.normal(size=(300, 4))
+    trees = []
+    for t in range(5):
+        sample = X[rng.choice(len(X), 64, replace=False)]
+        feat, thr, left, right, size = IF.grow_tree(sample, np.random.default_rng([1, t]), 6)
+        trees.append(pd.DataFrame({"tree": t, "node": range(len(feat)), "feature": feat, "threshold": thr,
+                                   "left": left, "right": right, "size": size}))
+    nodes = pd.concat(trees, ignore_index=True)
+    got = IF.path_lengths(X, IF._forest_arrays(nodes))
+
+    def walk(x, tree):
+        node, depth = 0, 0
+        while tree.feature[node] >= 0:
+            node = tree.left[node] if x[tree.feature[node]] <= tree.threshold[node] else tree.right[node]
+            depth += 1
+        return depth + IF.average_path_length([tree["size"][node]])[0]
+
+    expect = [np.mean([walk(x, t.reset_index(drop=True)) for t in trees]) for x in X]
+    assert np.allclose(got, expect)
