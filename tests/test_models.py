@@ -115,3 +115,20 @@ def test_vectorised_path_lengths_match_row_walk():
 
     expect = [np.mean([walk(x, t.reset_index(drop=True)) for t in trees]) for x in X]
     assert np.allclose(got, expect)
+
+
+def test_lloyd_pass_matches_numpy_step(spark):
+    from areascope.operators.kmeans_batch import MultiKMeans
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(500, 3))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(X)], "id int, a double, b double, c double")
+    data = df.select(F.xxhash64("id").alias("_h"), "a", "b", "c").repartition(3)
+    mk = MultiKMeans([2, 3], n_init=1)
+    centers = {0: X[:2].copy(), 1: X[10:13].copy()}
+    got = mk._lloyd_pass(data, ["a", "b", "c"], centers, [0, 1])
+    for r, C in centers.items():
+        d = ((X[:, None, :] - C[None, :, :]) ** 2).sum(-1)
+        lab = d.argmin(1)
+        new = np.array([X[lab == j].mean(0) if (lab == j).any() else C[j] for j in range(len(C))])
+        assert np.allclose(got[r][0], new)
+        assert got[r][1] == pytest.approx(d.min(1).sum())
