@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from . import decontaminate, html_text, jaccard_join, language, mixing, neighbour_quality, quality_rules, suffix_dedup
 from . import toxicity, url_rules
 from .common import held_out, table
+from .oracle import ORACLE
+
+__all__ = ["QUERIES", "ORACLE"]
 
 #: Rules of op9: host, path, verdict.
 URL_RULES = [
@@ -90,4 +93,3 @@ QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_suffix_dedup, op3_quality, op4_jaccard_join, op5_quality_rules, op6_decontaminate, op7_language,
     op8_html_text, op9_url_rules, op10_mixing)}
 
-ORACLE: dict = {}

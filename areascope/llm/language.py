@@ -1,7 +1,7 @@
 """Language identification by the nearest of several centroids for each language.
 
 Documents are unit TF-IDF vectors over hashed byte n-grams of the lower-cased
-text. For each language a bounded sample is clustered by spherical k-means,
+letters of the text. For each language a bounded sample is clustered by spherical k-means,
 one task a language; a document gets the language of the centroid with the
 largest cosine. A document that lies further from that centroid than nearly
 all of the centroid's own members did is marked as rejected.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import cut_lineage, hash_fraction, schema_of, ship_package
-from .ngram import document_frequencies, gram_counts, term_weights, text_bytes, unit
+from .ngram import document_frequencies, gram_counts, letter_bytes, term_weights, unit
 
 DIMS = 2048
 _LETTER = re.compile(r"[^\W\d_]")
@@ -54,7 +54,7 @@ class Model:
 
 
 def features(text: str | None) -> np.ndarray:
-    return term_weights(gram_counts(text_bytes(text, lower=True), DIMS, (1, 2, 3)))
+    return term_weights(gram_counts(letter_bytes(text), DIMS, (2, 3)))
 
 
 def cluster(x: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:

@@ -70,5 +70,13 @@ def document_frequencies(docs: DataFrame, vector: Callable, dims: int) -> np.nda
     return (np.log((1 + df[dims]) / (1 + df[:dims])) + 1).astype(np.float32)
 
 
-def text_bytes(text: str | None, lower: bool) -> np.ndarray:
-    return byte_array(text.lower() if text and lower else text)
+_LETTERS = np.full(256, 32, np.uint8)
+_LETTERS[97:123] = np.arange(97, 123)
+_LETTERS[128:] = np.arange(128, 256)
+
+
+def letter_bytes(text: str | None) -> np.ndarray:
+    """The lower-cased letters (and whatever else lies beyond ASCII) of a text, with one space for all between."""
+    data = _LETTERS[byte_array(" " + text.lower() + " " if text else text)]
+    gap = data == 32
+    return data[~gap | np.concatenate(([True], ~gap[:-1]))] if len(data) else data

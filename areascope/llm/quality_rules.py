@@ -24,7 +24,7 @@ from .common import map_rows, schema_of, utf8
 
 SYMBOLS = "#*$%&|<>"
 _BLANK = " \t\n\x0b\x0c\r"
-_SEPARATORS = re.compile(r"[|»›•·]|(?:^|\s)[>/](?=\s)")
+_SEPARATORS = re.compile(r"[|»›•·]")
 _END = re.compile(r"""[.!?…:;。！？][)"'»”’\]]*$""")
 _MARK = re.compile(r"[.!?…,:;。！？、]")
 _RUN = re.compile(r"[!?]{2,}")
@@ -55,11 +55,8 @@ class LineRules:
     max_lost: float = 0.5           # document: share of its words lost with its lines
 
 
-def line_verdict(line: str, rules: LineRules) -> str:
-    """'' if the line stays, else the rule that it fails."""
-    n = len(line.split())
-    if n == 0:
-        return ""
+def line_verdict(line: str, n: int, rules: LineRules) -> str:
+    """'' if the line of ``n`` words stays, else the rule that it fails."""
     if len(_SEPARATORS.findall(line)) > rules.max_separator_share * n:
         return "navigation"
     if n <= rules.boilerplate_words and _BOILERPLATE.search(line):
@@ -118,7 +115,7 @@ def judge(text: str | None, rules: LineRules) -> tuple:
         again = line in seen
         n_dup += again
         seen.add(line)
-        if again or line_verdict(line, rules):
+        if again or line_verdict(line, size, rules):
             n_bad, lost = n_bad + 1, lost + size
         else:
             kept.append(line)

@@ -206,11 +206,9 @@ def fit(labelled: DataFrame, options: Options = Options()) -> Model:
                 w = logistic(x[~out], y[~out], ridge, steps)
             else:
                 w = np.append(np.zeros(x.shape[1]), -30.0)
-            rest = pd.DataFrame({"row": pdf["row"][out], "p": _sigmoid(x[out] @ w[:-1] + w[-1])})
-            head = pd.DataFrame({"row": [None], "p": [None]})
-            both = pd.concat([rest, head], ignore_index=True)
-            both["row"] = both["row"].astype("Int64")
-            return both.assign(model=model, w=[None] * len(rest) + [w])
+            p = _sigmoid(x[out] @ w[:-1] + w[-1])
+            row = pd.array([*pdf["row"][out], None], dtype="Int64")  # the last row carries the weights
+            return pd.DataFrame({"row": row, "p": np.append(p, 0.0), "model": model, "w": [None] * len(p) + [w]})
 
         fitted = written(copies.groupBy("model").applyInPandas(one, "row long, p double, model int, w array<double>"),
                          "toxicity-chain")
