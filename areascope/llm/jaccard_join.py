@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import byte_array, mix64, release, schema_of, ship_package, small_enough, written
+from .common import byte_array, discard, mix64, release, schema_of, ship_package, small_enough, written
 from .components import components
 from .suffix_dedup import Fingerprints, arrow_rows
 
@@ -204,19 +204,28 @@ def verify(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, perc
     keys = F.broadcast(keys) if small_enough(keys, WANTED) else keys
     found = texts.join(keys, "t0", "left_semi").dropDuplicates(["t0"])
     have = written(wanted.join(found, "t0").select("sid", "text"), "wanted-texts")
+    del found, keys
+    release(pairs.sparkSession)
     left = pairs.join(have.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(have.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b")
     schema = T.StructType.fromDDL("a long, b long")
-    last: dict = {}
 
-    def one(a, b, text_a, text_b):
-        if last.get("id") != b:
-            last["id"], last["set"] = b, shingles(text_b, words)
-        x, y = shingles(text_a, words), last["set"]
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        return [([a], [b])] if 100 * common >= percent * (len(x) + len(y) - common) else []
+    def task():
+        last: dict = {}  # rows come in the order of b, whose set is kept
 
-    return written(arrow_rows(both.select("a", "b", "text_a", "text_b"), one, schema), "links")
+        def one(a, b, text_a, text_b):
+            if last.get("id") != b:
+                last["id"], last["set"] = b, shingles(text_b, words)
+            x, y = shingles(text_a, words), last["set"]
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            return [([a], [b])] if 100 * common >= percent * (len(x) + len(y) - common) else []
+        return one
+
+    links = written(arrow_rows(both.select("a", "b", "text_a", "text_b"), task, schema), "links")
+    discard(have)
+    del both, left
+    release(pairs.sparkSession)
+    return links
 
 
 def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -226,7 +235,7 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     texts = docs.select(F.xxhash64("text").alias("t0"), "text")
     often, classes = frequent_shingles(docs, words)
     told = written(prefix_rows(docs, words, percent, often, classes), "prefixes")
-    rows = told.filter("kind = 0").select("doc_id", "t0", "gid", "sid", "n")
+    rows = written(told.filter("kind = 0").select("doc_id", "t0", "gid", "sid", "n"), "sets-of-documents")
     entries = told.filter("kind = 1").select("token", "gid", "n", "pos")
     members = written(rows.filter("n > 0").groupBy("sid", "gid", "n").agg(F.min("t0").alias("t0")), "members")
     sets = members.select("sid", "t0")
@@ -236,6 +245,8 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         entries.withColumns({"low": F.min("gid").over(by_token), "high": F.max("gid").over(by_token),
                              "size": F.count("*").over(by_token)})
         .filter("low != high").select("token", "gid", "n", "pos", "size"), "shared-prefixes")
+    discard(told)
+    del told, entries
     release(spark)
 
     # First round: each group asks a few of its buckets for the group whose shingles are most common.
@@ -245,6 +256,7 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         "turn": F.row_number().over(by_group.orderBy(F.desc("size"), "token"))})
         .filter(F.col("turn") <= VOTES).select("token", "gid", "weight"))
     asked = written(asked, "votes")
+    release(spark)
     centre = asked.groupBy("token").agg(F.max(F.struct("weight", "gid")).alias("c")).select("token", F.col("c.gid").alias("to"))
     votes = (asked.join(centre, "token").filter("gid != to").groupBy("gid", "to").count()
              .groupBy("gid").agg(F.max(F.struct("count", "to")).alias("v")).select("gid", F.col("v.to").alias("to")))
@@ -269,8 +281,8 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     open_ = written(bucket.join(apart.select("token"), "token", "left_semi").distinct(), "open-buckets")
     x, y = open_.alias("x"), open_.alias("y")
     small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    # 1 + what may follow behind the shared shingle, against the overlap that the similarity asks for
-    rest = 1 + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) - 1
+    # the shared shingle and what follows it, against the overlap that the similarity asks for
+    rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     passes = (small * 100 >= large * percent) & (rest * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
     more = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid"))
                    & (F.col("x.root") != F.col("y.root")) & passes)

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import byte_array, map_rows, mix64, release, schema_of, scratch_path, sha, ship_package, shuffle_parts, utf8, written
+from .common import byte_array, discard, map_rows, mix64, release, schema_of, scratch_path, sha, ship_package, shuffle_parts, utf8, written
 
 LENGTH = 400
 GRAM = 96
@@ -133,7 +133,10 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterato
 
 
 def arrow_rows(df: DataFrame, fn, schema: T.StructType) -> DataFrame:
-    """Any number of output rows for each input row; ``fn`` gives a list of tuples of equally long columns."""
+    """Any number of output rows for each input row.
+
+    ``fn()`` gives each task a function of its own from the values of a row to a list of tuples of equally long columns.
+    """
     ship_package(df.sparkSession)
     arrow = to_arrow_schema(schema)
 
@@ -142,9 +145,9 @@ def arrow_rows(df: DataFrame, fn, schema: T.StructType) -> DataFrame:
             [pa.array(np.concatenate(c), type=f.type) for c, f in zip(zip(*held), arrow)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
+        held, rows, one = [], 0, fn()
         for values in (v for b in batches for v in zip(*(c.to_pylist() for c in b.columns))):
-            for columns in fn(*values):
+            for columns in one(*values):
                 held.append(columns)
                 rows += len(columns[0])
             if rows > 100_000:
@@ -171,19 +174,29 @@ def unpack(place: np.ndarray) -> tuple:
 
 
 def suffix_entries(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """t0, t1 (text), suffix key ``k``, fingerprint of the surroundings ``c``, ``place``: a row for each anchor."""
+    """t0, t1 (text), suffix key ``k``, fingerprint of the surroundings ``c``, ``place``: a row for each anchor.
+
+    A task that meets a text again tells its anchors twice, which makes them repeats, and not a third time.
+    """
     schema = T.StructType.fromDDL("t0 long, t1 long, k long, c long, place long")
 
-    def one(t0, t1, text):
-        rows = []
-        for s, prints, at, first, last in anchors(byte_array(text), length, gram):
-            with np.errstate(over="ignore"):
-                c = prints.of(first, last + length, 1) ^ mix64(pack(at, first, last) - (at << (2 * _REACH)))
-            rows.append((np.full(len(at), t0), np.full(len(at), t1), prints.of(at, at + gram).view(np.int64),
-                         c.view(np.int64), pack(at + s, first + s, last + s)))
-        return rows
+    def task():
+        met: dict = {}  # texts of this partition
+
+        def one(t0, t1, text):
+            met[t0, t1] = times = met.get((t0, t1), 0) + 1
+            rows = []
+            if times > 2:
+                return rows
+            for s, prints, at, first, last in anchors(byte_array(text), length, gram):
+                with np.errstate(over="ignore"):
+                    c = prints.of(first, last + length, 1) ^ mix64(pack(at, first, last) - (at << (2 * _REACH)))
+                rows.append((np.full(len(at), t0), np.full(len(at), t1), prints.of(at, at + gram).view(np.int64),
+                             c.view(np.int64), pack(at + s, first + s, last + s)))
+            return rows
+        return one
 
-    return arrow_rows(texts, one, schema)
+    return arrow_rows(texts, task, schema)
 
 
 class SuffixIndex:
@@ -314,7 +327,7 @@ def compare_windows(kinds: DataFrame, length: int) -> DataFrame:
         return [(prints.of(start, start + length).view(np.int64), prints.of(start, start + length, 1).view(np.int64),
                  np.full(len(start), t0), np.full(len(start), t1), first + start)]
 
-    each = arrow_rows(kinds.select("t0", "t1", "place", "around"), one, schema)
+    each = arrow_rows(kinds.select("t0", "t1", "place", "around"), lambda: one, schema)
     twice = each.groupBy("w0", "w1").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     return each.join(twice, ["w0", "w1"], "left_semi").select("t0", "t1", "first", F.col("first").alias("last"))
 
@@ -336,6 +349,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     entries = written(suffix_entries(texts, length, gram), "suffix-entries")
     keys = matched_keys(entries, batches)
     near = written(entries.join(keys, "k", "left_semi"), "suffix-near")
+    discard(entries)
     release(spark)
     # Surroundings that occur twice repeat with all their windows.
     same = written(near.groupBy("k", "c").agg(F.count("*").alias("n"), F.min(F.struct("t0", "t1", "place")).alias("e")),
@@ -356,7 +370,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
         return out
 
     # Equal texts are fetched once for each copy; one row of each kind is left.
-    fetched = arrow_rows(texts.join(by_text, ["t0", "t1"]).select("t0", "t1", "text", "es"), fetch, schema)
+    fetched = arrow_rows(texts.join(by_text, ["t0", "t1"]).select("t0", "t1", "text", "es"), lambda: fetch, schema)
     around = written(fetched.dropDuplicates(["k", "t0", "t1", "place"]), "suffix-around")
     release(spark)
     few = around.filter(F.col("kinds") <= max_kinds)
