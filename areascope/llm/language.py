@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import cut_lineage, hash_fraction, schema_of, ship_package
+from .common import cut_lineage, hash_fraction, schema_of, ship_package, small_enough
 from .ngram import document_frequencies, gram_counts, letter_bytes, term_weights, unit
 
 DIMS = 2048
+#: Languages whose counts may be broadcast; beyond, they meet the texts in a shuffle.
+MAX_LANGUAGES = 100_000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -77,6 +79,7 @@ def fit(docs: DataFrame, labelled: DataFrame, options: Options = Options()) -> M
     idf = document_frequencies(docs, features, DIMS)
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     each = cut_lineage(known.groupBy("lang").count().select(F.col("lang").alias("of"), F.col("count").alias("n")))
+    each = F.broadcast(each) if small_enough(each, MAX_LANGUAGES) else each  # else texts would meet by language
     draw = hash_fraction(F.lit(7), F.col("doc_id"))
     sample = known.join(each, F.col("lang") == F.col("of")).filter(
         draw * F.col("n") < options.per_language).select("lang", "doc_id", "text")

@@ -35,7 +35,7 @@ from .ngram import document_frequencies, gram_counts, term_weights, unit
 
 GRAMS, BINS = 1024, 8
 #: Tasks that share the bounded sample when the axes are fitted.
-FIT_PARTS = 12
+FIT_PARTS = 6
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[np.frombuffer(b"#*$%&|<>{}[]=_^~\\/@", np.uint8)] = True
 MEASURES = 9
@@ -84,7 +84,6 @@ class Model:
     mean: np.ndarray
     voters: np.ndarray   # rows of unit vectors
     labels: np.ndarray
-    prior: float
 
 
 @dataclass(frozen=True)
@@ -164,9 +163,10 @@ def fit(docs: DataFrame, labelled: DataFrame, options: Options = Options()) -> M
     held = chosen.select("text", F.col("label").cast("int").alias("label")).mapInArrow(place, voter_schema).toPandas()
     if held.empty:
         return None
-    held = held.assign(key=[v.tobytes() for v in held["v"]]).sort_values(["key", "label"])  # no order of arrival
-    return Model(idf, axes, mean.astype(np.float32), np.stack(held["v"].to_numpy()).reshape(-1, rank),
-                 held["label"].to_numpy(np.float32), float(held["label"].mean()))
+    voters = np.array(held["v"].tolist(), np.float32).reshape(-1, rank)
+    labels = held["label"].to_numpy(np.float32)
+    order = np.lexsort((labels, *voters.T))  # not the order of arrival
+    return Model(idf, axes, mean.astype(np.float32), voters[order], labels[order])
 
 
 def vote(x: np.ndarray, model: Model, options: Options) -> np.ndarray:
