@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,14 +27,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (u, v) -> u, root: every node that has an edge to another, with the least node of its component.
 
-    Each round is a few aggregates and joins over the edges, cut by a checkpoint; the number of rounds grows with
+    Each round is a few aggregates and joins over the edges and ends in a written table; the number of rounds grows with
     the logarithm of the longest chain. Node sums decide when nothing changes.
     """
-    now = cut_lineage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-                      .filter("u != v").distinct())
+    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+                  .filter("u != v").distinct(), "edges")
     mark = None
     while True:
-        now = cut_lineage(_star(_star(now, large=True), large=False))
+        now = written(_star(_star(now, large=True), large=False), "edges")
         row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (row[0], row[1]) == mark:
             return now.select("u", F.col("v").alias("root"))

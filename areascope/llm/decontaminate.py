@@ -73,7 +73,7 @@ def _windows(lens: list[int]) -> Column:
 
 
 def scan(docs: DataFrame, windows: DataFrame, max_set: int = MAX_SET) -> DataFrame:
-    """The columns of ``docs`` without the text, n_words and ``hits``: array<struct<pos, len, win>> of candidates."""
+    """The columns of ``docs`` (__row, text) without the text, n_words and ``hits``: array<struct<pos, len, win>>."""
     lens = sorted(r[0] for r in windows.select("len").distinct().collect())  # 13 numbers at most
     rest = [c for c in docs.columns if c != "text"]
     base = docs.select(*rest, words_of(F.col("text")).alias("w"))
@@ -106,9 +106,9 @@ def judge(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, hit_share: int
     Rows without a candidate never leave their task; those with one are verified against the benchmark's windows.
     """
     windows = cut_lineage(benchmark_windows(benchmark, n))
-    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct([c for c in docs.columns if c != "text"]).alias("__row"), "text")
     # The scan is kept: its candidates are read twice.
-    seen = cut_lineage(scan(docs, windows, max_set).withColumn("row", F.monotonically_increasing_id()))
+    seen = cut_lineage(scan(rows, windows, max_set).withColumn("row", F.monotonically_increasing_id()))
     near = seen.filter(F.size("hits") > 0).select("row", F.explode("hits").alias("s")).select("row", "s.*")
     sure = near.join(windows.select("win", "item_id"), "win").select("row", "pos", "len", "item_id")
     items = sure.select("row", "item_id").distinct().groupBy("row").agg(
@@ -125,7 +125,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, hit_share: int
     out = seen.drop("hits").join(items.join(spans, "row"), "row", "left")
     out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")),
                            "items": F.coalesce("items", F.array().cast("array<string>"))})
-    return out.select(*rest, "n_words", "n_hit", "items", "spans",
+    return out.select("__row.*", "n_words", "n_hit", "items", "spans",
                       ((F.col("n_hit") > 0) & (F.col("n_hit") * hit_share >= F.col("n_words"))).alias("contaminated"))
 
 

@@ -5,9 +5,9 @@ similarity ``t`` or more must share a shingle among the first
 ``n - ceil(t n) + 1`` of each (its prefix), in any order that all sets keep;
 here frequent shingles come last, so that passages which many documents share
 are in few prefixes. Documents with an equal prefix and size form one group;
-groups meet by prefix shingle, group pairs pass the size and the position
-filter, and what is left is expanded to member sets and verified on the whole
-texts.
+groups meet by prefix shingle, pairs pass the size filter and the count filter
+(similar sets share many prefix shingles, not just one), and what is left is
+expanded to member sets and verified on the whole texts.
 
 Components need no more links than span them. A first round therefore verifies
 one partner of each group, the member of its buckets whose shingles are most
@@ -48,6 +48,8 @@ PERCENT = 75
 STRETCH, TOLD, FREQUENT = 1 << 21, 4, 1 << 20
 #: Buckets of each group that are asked for a centre in the first round.
 VOTES = 8
+#: Of these, how many must name the same centre.
+AGREED = 3
 #: Keys of wanted texts that may be broadcast (8 bytes each); beyond, they are joined by shuffle.
 WANTED = 500_000
 
@@ -145,14 +147,14 @@ def _ordered(tokens: np.ndarray, often: np.ndarray, classes: np.ndarray) -> np.n
 
 
 def prefix_rows(docs: DataFrame, words: int, percent: int, often: np.ndarray, classes: np.ndarray) -> DataFrame:
-    """Two kinds of rows: documents (kind 0: doc_id, t0, gid, sid, n) and prefix shingles (kind 1: token, gid, n, pos).
+    """Two kinds of rows: documents (kind 0: doc_id, t0, gid, sid, n) and prefix shingles (kind 1: token, gid, n).
 
     The prefix shingles of a group are told once in a task.
     """
     spark = docs.sparkSession
     ship_package(spark)
     table = spark.sparkContext.broadcast((often, classes))  # at most FREQUENT entries of 9 bytes
-    schema = schema_of(docs, ["doc_id"], "t0 long, gid long, sid long, n int, token long, pos int, kind int")
+    schema = schema_of(docs, ["doc_id"], "t0 long, gid long, sid long, n int, token long, kind int")
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +163,7 @@ def prefix_rows(docs: DataFrame, words: int, percent: int, often: np.ndarray, cl
         for whole in batches:
             for s in range(0, whole.num_rows, 500):
                 batch = whole.slice(s, 500)
-                gid, sid, size, tokens, owner, place = [], [], [], [], [], []
+                gid, sid, size, tokens, owner = [], [], [], [], []
                 for text in batch.column(2).to_pylist():
                     t = _ordered(shingles(text, words), often, classes)
                     n = len(t)
@@ -176,20 +178,19 @@ def prefix_rows(docs: DataFrame, words: int, percent: int, often: np.ndarray, cl
                         told.add(g)
                         tokens.append(prefix.view(np.int64))
                         owner.append(np.full(len(prefix), len(gid) - 1))
-                        place.append(np.arange(len(prefix)))
                 k = batch.num_rows
                 gid, size = np.array(gid, np.int64), np.array(size, np.int32)
                 none = pa.nulls(k, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).cast(arrow.field(0).type), batch.column(1), pa.array(gid), pa.array(sid, pa.int64()),
-                     pa.array(size), none, none.cast(pa.int32()), pa.array(np.zeros(k, np.int32))], schema=arrow)
+                     pa.array(size), none, pa.array(np.zeros(k, np.int32))], schema=arrow)
                 if tokens:
-                    tokens, owner, place = np.concatenate(tokens), np.concatenate(owner), np.concatenate(place)
+                    tokens, owner = np.concatenate(tokens), np.concatenate(owner)
                     k = len(tokens)
                     none = pa.nulls(k, pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [pa.nulls(k, arrow.field(0).type), none, pa.array(gid[owner]), none, pa.array(size[owner]),
-                         pa.array(tokens), pa.array(place.astype(np.int32)), pa.array(np.ones(k, np.int32))], schema=arrow)
+                         pa.array(tokens), pa.array(np.ones(k, np.int32))], schema=arrow)
 
     return docs.select("doc_id", F.xxhash64("text").alias("t0"), "text").mapInArrow(run, schema)
 
@@ -236,7 +237,7 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     often, classes = frequent_shingles(docs, words)
     told = written(prefix_rows(docs, words, percent, often, classes), "prefixes")
     rows = written(told.filter("kind = 0").select("doc_id", "t0", "gid", "sid", "n"), "sets-of-documents")
-    entries = told.filter("kind = 1").select("token", "gid", "n", "pos")
+    entries = told.filter("kind = 1").select("token", "gid", "n")
     members = written(rows.filter("n > 0").groupBy("sid", "gid", "n").agg(F.min("t0").alias("t0")), "members")
     sets = members.select("sid", "t0")
     # Buckets with one group only can link nothing.
@@ -244,21 +245,25 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     shared = written(
         entries.withColumns({"low": F.min("gid").over(by_token), "high": F.max("gid").over(by_token),
                              "size": F.count("*").over(by_token)})
-        .filter("low != high").select("token", "gid", "n", "pos", "size"), "shared-prefixes")
+        .filter("low != high").dropDuplicates(["token", "gid"]).select("token", "gid", "n", "size"), "shared-prefixes")
     discard(told)
     del told, entries
     release(spark)
 
-    # First round: each group asks a few of its buckets for the group whose shingles are most common.
+    # First round: each group asks a few of its buckets, drawn by hash, for the group whose shingles are most common.
+    # A good share of them must name the same group, of a size that can be similar; the others wait for the second round.
     by_group = Window.partitionBy("gid")
     asked = (shared.withColumns({
         "weight": F.sum(F.log2(F.col("size"))).over(by_group) / F.col("n"),
-        "turn": F.row_number().over(by_group.orderBy(F.desc("size"), "token"))})
-        .filter(F.col("turn") <= VOTES).select("token", "gid", "weight"))
+        "turn": F.row_number().over(by_group.orderBy("token"))})
+        .filter(F.col("turn") <= VOTES).select("token", "gid", "n", "weight"))
     asked = written(asked, "votes")
     release(spark)
-    centre = asked.groupBy("token").agg(F.max(F.struct("weight", "gid")).alias("c")).select("token", F.col("c.gid").alias("to"))
-    votes = (asked.join(centre, "token").filter("gid != to").groupBy("gid", "to").count()
+    centre = asked.groupBy("token").agg(F.max(F.struct("weight", "gid", "n")).alias("c")).select("token", "c")
+    votes = (asked.join(centre, "token").groupBy("gid", F.col("c.gid").alias("to"))
+             .agg(F.count("*").alias("count"), F.max("n").alias("n"), F.max("c.n").alias("to_n"))
+             .filter((F.col("gid") != F.col("to")) & (F.col("count") >= AGREED)
+                     & (F.least("n", "to_n") * 100 >= F.greatest("n", "to_n") * percent))
              .groupBy("gid").agg(F.max(F.struct("count", "to")).alias("v")).select("gid", F.col("v.to").alias("to")))
     first_of = members.groupBy("gid").agg(F.min("sid").alias("sid"), F.count("*").alias("k"))
     own = first_of.select("gid", F.col("sid").alias("first"))
@@ -275,18 +280,22 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     placed = written(members.join(roots, members["sid"] == roots["u"], "left")
                      .select("gid", "sid", F.coalesce("root", "sid").alias("root")), "placed")
     whole_groups = first_of.filter("k > 1").select(F.col("gid").alias("token"), "gid").join(
-        members.select("gid", "n").distinct(), "gid").select("token", "gid", "n", F.lit(0).alias("pos"))
-    bucket = shared.select("token", "gid", "n", "pos").unionByName(whole_groups).join(placed, "gid")
+        members.select("gid", "n").distinct(), "gid").select("token", "gid", "n")
+    bucket = shared.select("token", "gid", "n").unionByName(whole_groups).join(placed, "gid")
     apart = bucket.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
     open_ = written(bucket.join(apart.select("token"), "token", "left_semi").distinct(), "open-buckets")
+    # Sets of n and m shingles that are similar have ``overlap`` in common, of which all but need(max) - 1 lie in both
+    # prefixes: pairs that share fewer prefix shingles go before any text is read.
     x, y = open_.alias("x"), open_.alias("y")
     small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    # the shared shingle and what follows it, against the overlap that the similarity asks for
-    rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    passes = (small * 100 >= large * percent) & (rest * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
-    more = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid"))
-                   & (F.col("x.root") != F.col("y.root")) & passes)
-            .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct())
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid"))
+                 & (F.col("x.root") != F.col("y.root")) & (small * 100 >= large * percent))
+    overlap = F.expr(f"({percent} * (n + m) + {99 + percent}) div {100 + percent}")
+    more = (met.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
+            .agg(F.count("*").alias("shared"), F.max(F.col("x.gid") == F.col("y.gid")).alias("one_group"),
+                 F.first("x.n").alias("n"), F.first("y.n").alias("m"))
+            .filter(F.col("one_group") | (F.col("shared") > overlap - F.expr(f"({percent} * greatest(n, m) + 99) div 100")))
+            .select("a", "b"))
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = written(more.join(tried, ["a", "b"], "left_anti"), "second-pairs")
     links = links.unionByName(verify(more, sets, texts, words, percent))

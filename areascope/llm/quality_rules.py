@@ -141,7 +141,7 @@ def judge_lines(docs: DataFrame, keep: list[str], text: str = "text", rules: Lin
 
 def clean_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """Documents that pass, with the failing lines gone from their text; same columns as ``docs``."""
-    others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    out = judge_lines(docs, others, rules=rules).filter("kept")
+    rows = docs.select(F.struct(*docs.columns).dropFields("text").alias("__row"), "text")
+    out = judge_lines(rows, ["__row"], rules=rules).filter("kept")
     cols = {"text": F.col("clean_text"), "n_chars": F.char_length("clean_text").cast("long")}
-    return out.select([cols[c].alias(c) if c in cols else F.col(c) for c in docs.columns])
+    return out.select([cols[c].alias(c) if c in cols else F.col("__row").getField(c).alias(c) for c in docs.columns])

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import byte_array, discard, map_rows, mix64, release, schema_of, scratch_path, sha, ship_package, shuffle_parts, utf8, written
+from .common import WORD, byte_array, discard, map_rows, mix64, release, schema_of, scratch_path, sha, ship_package, shuffle_parts, utf8, written
 
 LENGTH = 400
 GRAM = 96
@@ -407,30 +407,35 @@ def kept_bytes(data: bytes, runs: list[tuple]) -> bytes:
     return b"".join(parts) + data[at:]
 
 
-def dedup(docs: DataFrame, keep: list[str], length: int = LENGTH, **options) -> DataFrame:
-    """Columns ``keep`` of every row with n_bytes, n_removed, n_spans, kept_sha256 and ``kept``, the bytes that stay."""
-    spans = repeated_spans(docs, length, **options)
-    rows = with_text_key(docs.select(*keep, F.col("text"))).join(spans, ["t0", "t1"], "left").select(*keep, "text", "spans")
+def _dedup(rows: DataFrame, length: int, **options) -> DataFrame:
+    """``rows`` (__row, text): __row with the figures and the bytes that stay."""
+    spans = repeated_spans(rows, length, **options)
+    rows = with_text_key(rows).join(spans, ["t0", "t1"], "left").select("__row", "text", "spans")
 
-    def one(*row):
-        data = utf8(row[-2])
-        runs = removed_runs(row[-1], length)
+    def one(row, text, found):
+        data = utf8(text)
+        runs = removed_runs(found, length)
         left = kept_bytes(data, runs)
-        return (*row[:-2], len(data), len(data) - len(left), len(runs), sha(left), left)
+        return (row, len(data), len(data) - len(left), len(runs), sha(left), left)
 
-    return map_rows(rows, one, schema_of(docs, keep, (
+    return map_rows(rows, one, schema_of(rows, ["__row"], (
         "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")))
 
 
-def clean_documents(docs: DataFrame, **options) -> DataFrame:
+def dedup(docs: DataFrame, keep: list[str], length: int = LENGTH, **options) -> DataFrame:
+    """Columns ``keep`` of every row with n_bytes, n_removed, n_spans, kept_sha256 and ``kept``, the bytes that stay."""
+    out = _dedup(docs.select(F.struct(*keep).alias("__row"), "text"), length, **options)
+    return out.select("__row.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+
+
+def clean_documents(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """Documents with the repeated bytes gone; those with no word left go altogether.
 
     A character that is cut by a run's end goes as a whole. Same columns as ``docs``.
     """
-    others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    out = dedup(docs, others, **options)
-    whole = out.withColumn("text", F.try_validate_utf8(F.col("kept").cast("string")))
-    text = F.coalesce("text", F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\uFFFD", ""))
-    whole = whole.withColumn("text", text).filter("n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
+    out = _dedup(docs.select(F.struct(*docs.columns).dropFields("text").alias("__row"), "text"), length, **options)
+    valid = F.try_validate_utf8(F.col("kept").cast("string"))
+    text = F.coalesce(valid, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\uFFFD", ""))
+    out = out.withColumn("text", text).filter((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
     cols = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
-    return whole.select([cols[c].alias(c) if c in cols else F.col(c) for c in docs.columns])
+    return out.select([cols[c].alias(c) if c in cols else F.col("__row").getField(c).alias(c) for c in docs.columns])
