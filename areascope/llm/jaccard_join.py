@@ -5,8 +5,8 @@ similarity ``t`` or more must share a shingle among the first
 ``n - ceil(t n) + 1`` of each (its prefix), in any order that all sets keep;
 here frequent shingles come last, so that passages which many documents share
 are in few prefixes. Documents with an equal prefix and size form one group;
-groups meet by prefix shingle, pairs pass the size filter and the count filter
-(similar sets share many prefix shingles, not just one), and what is left is
+groups meet by prefix shingle, pairs pass the size, position and count filters
+(similar sets share many prefix shingles, and early ones), and what is left is
 expanded to member sets and verified on the whole texts.
 
 Components need no more links than span them. A first round therefore verifies
@@ -46,6 +46,10 @@ WORDS = 5
 PERCENT = 75
 #: Shingles counted together in a task, the least count there that is told, and the largest table of frequent ones.
 STRETCH, TOLD, FREQUENT = 1 << 21, 4, 1 << 20
+#: Percentage of the wanted overlap by which the position filter is eased, to see that many common shingles.
+SLACK = 5
+#: Groups in a bucket from which its shingle counts as frequent.
+LARGE = 16
 #: Buckets of each group that are asked for a centre in the first round.
 VOTES = 8
 #: Of these, how many must name the same centre.
@@ -147,14 +151,14 @@ def _ordered(tokens: np.ndarray, often: np.ndarray, classes: np.ndarray) -> np.n
 
 
 def prefix_rows(docs: DataFrame, words: int, percent: int, often: np.ndarray, classes: np.ndarray) -> DataFrame:
-    """Two kinds of rows: documents (kind 0: doc_id, t0, gid, sid, n) and prefix shingles (kind 1: token, gid, n).
+    """Two kinds of rows: documents (kind 0: doc_id, t0, gid, sid, n) and prefix shingles (kind 1: token, gid, n, pos).
 
     The prefix shingles of a group are told once in a task.
     """
     spark = docs.sparkSession
     ship_package(spark)
     table = spark.sparkContext.broadcast((often, classes))  # at most FREQUENT entries of 9 bytes
-    schema = schema_of(docs, ["doc_id"], "t0 long, gid long, sid long, n int, token long, kind int")
+    schema = schema_of(docs, ["doc_id"], "t0 long, gid long, sid long, n int, token long, pos int, kind int")
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +167,7 @@ def prefix_rows(docs: DataFrame, words: int, percent: int, often: np.ndarray, cl
         for whole in batches:
             for s in range(0, whole.num_rows, 500):
                 batch = whole.slice(s, 500)
-                gid, sid, size, tokens, owner = [], [], [], [], []
+                gid, sid, size, tokens, owner, place = [], [], [], [], [], []
                 for text in batch.column(2).to_pylist():
                     t = _ordered(shingles(text, words), often, classes)
                     n = len(t)
@@ -178,23 +182,52 @@ def prefix_rows(docs: DataFrame, words: int, percent: int, often: np.ndarray, cl
                         told.add(g)
                         tokens.append(prefix.view(np.int64))
                         owner.append(np.full(len(prefix), len(gid) - 1))
+                        place.append(np.arange(len(prefix), dtype=np.int32))
                 k = batch.num_rows
                 gid, size = np.array(gid, np.int64), np.array(size, np.int32)
                 none = pa.nulls(k, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).cast(arrow.field(0).type), batch.column(1), pa.array(gid), pa.array(sid, pa.int64()),
-                     pa.array(size), none, pa.array(np.zeros(k, np.int32))], schema=arrow)
+                     pa.array(size), none, none.cast(pa.int32()), pa.array(np.zeros(k, np.int32))], schema=arrow)
                 if tokens:
                     tokens, owner = np.concatenate(tokens), np.concatenate(owner)
                     k = len(tokens)
                     none = pa.nulls(k, pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [pa.nulls(k, arrow.field(0).type), none, pa.array(gid[owner]), none, pa.array(size[owner]),
-                         pa.array(tokens), pa.array(np.ones(k, np.int32))], schema=arrow)
+                         pa.array(tokens), pa.array(np.concatenate(place)), pa.array(np.ones(k, np.int32))], schema=arrow)
 
     return docs.select("doc_id", F.xxhash64("text").alias("t0"), "text").mapInArrow(run, schema)
 
 
+def _buckets(docs: DataFrame, words: int, percent: int, often: np.ndarray, classes: np.ndarray) -> tuple:
+    """Documents (doc_id, t0, gid, sid, n) and the prefix shingles of two groups or more (token, gid, n, pos, size)."""
+    told = written(prefix_rows(docs, words, percent, often, classes), "prefixes")
+    rows = written(told.filter("kind = 0").select("doc_id", "t0", "gid", "sid", "n"), "sets-of-documents")
+    by_token = Window.partitionBy("token")
+    shared = written(
+        told.filter("kind = 1").select("token", "gid", "n", "pos")
+        .withColumns({"low": F.min("gid").over(by_token), "high": F.max("gid").over(by_token)})
+        .filter("low != high").drop("low", "high").dropDuplicates(["token", "gid"])
+        .withColumn("size", F.count("*").over(by_token)).select("token", "gid", "n", "pos", "size"), "shared-prefixes")
+    discard(told)
+    del told
+    release(docs.sparkSession)
+    return rows, shared
+
+
+def _demoted(shared: DataFrame, often: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The table of frequent shingles with those of large buckets; at most ``FREQUENT`` more."""
+    limit = max(LARGE, shared.count() // FREQUENT + 1)
+    rows = shared.filter(F.col("size") >= limit).groupBy("token").agg(F.max("size").alias("n")).toPandas()
+    tokens = np.concatenate([often, rows["token"].to_numpy(np.int64).view(np.uint64)])
+    ranks = np.concatenate([classes, np.log2(rows["n"].to_numpy(np.float64)).astype(np.uint8)])
+    order = np.lexsort((-ranks.astype(np.int64), tokens))
+    tokens, ranks = tokens[order], ranks[order]
+    first = np.concatenate(([True], tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, bool)
+    return tokens[first], ranks[first]
+
+
 def verify(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) of sets that are similar, from the whole texts. ``sets``: sid, t0 of one text of each set.
 
@@ -235,20 +268,15 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     docs = docs.select("doc_id", "text")
     texts = docs.select(F.xxhash64("text").alias("t0"), "text")
     often, classes = frequent_shingles(docs, words)
-    told = written(prefix_rows(docs, words, percent, often, classes), "prefixes")
-    rows = written(told.filter("kind = 0").select("doc_id", "t0", "gid", "sid", "n"), "sets-of-documents")
-    entries = told.filter("kind = 1").select("token", "gid", "n")
+    rows, shared = _buckets(docs, words, percent, often, classes)
+    # Buckets now tell exactly how common their shingles are. Those of large buckets go to the end of the order too,
+    # and the prefixes are drawn anew: pairs of a bucket grow with the square of its size.
+    often, classes = _demoted(shared, often, classes)
+    discard(rows)
+    discard(shared)
+    rows, shared = _buckets(docs, words, percent, often, classes)
     members = written(rows.filter("n > 0").groupBy("sid", "gid", "n").agg(F.min("t0").alias("t0")), "members")
     sets = members.select("sid", "t0")
-    # Buckets with one group only can link nothing.
-    by_token = Window.partitionBy("token")
-    shared = written(
-        entries.withColumns({"low": F.min("gid").over(by_token), "high": F.max("gid").over(by_token),
-                             "size": F.count("*").over(by_token)})
-        .filter("low != high").dropDuplicates(["token", "gid"]).select("token", "gid", "n", "size"), "shared-prefixes")
-    discard(told)
-    del told, entries
-    release(spark)
 
     # First round: each group asks a few of its buckets, drawn by hash, for the group whose shingles are most common.
     # A good share of them must name the same group, of a size that can be similar; the others wait for the second round.
@@ -280,22 +308,26 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     placed = written(members.join(roots, members["sid"] == roots["u"], "left")
                      .select("gid", "sid", F.coalesce("root", "sid").alias("root")), "placed")
     whole_groups = first_of.filter("k > 1").select(F.col("gid").alias("token"), "gid").join(
-        members.select("gid", "n").distinct(), "gid").select("token", "gid", "n")
-    bucket = shared.select("token", "gid", "n").unionByName(whole_groups).join(placed, "gid")
+        members.select("gid", "n").distinct(), "gid").select("token", "gid", "n", F.lit(0).alias("pos"))
+    bucket = shared.select("token", "gid", "n", "pos").unionByName(whole_groups).join(placed, "gid")
     apart = bucket.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
     open_ = written(bucket.join(apart.select("token"), "token", "left_semi").distinct(), "open-buckets")
-    # Sets of n and m shingles that are similar have ``overlap`` in common, of which all but need(max) - 1 lie in both
-    # prefixes: pairs that share fewer prefix shingles go before any text is read.
+    # Similar sets of n and m shingles have ``overlap`` in common. Behind the k-th common one there are at least
+    # overlap - k more in both sets, so the first ``slack`` + 1 common ones lie where ``rest`` allows it, and all but
+    # need(max) - 1 lie in both prefixes. Pairs that meet less often go before any text is read.
     x, y = open_.alias("x"), open_.alias("y")
     small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+    overlap = F.expr(f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}")
+    slack = F.expr(f"(({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}) * {SLACK} div 100")
+    rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    in_both = overlap - F.expr(f"({percent} * greatest(x.n, y.n) + 99) div 100") + 1
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid"))
-                 & (F.col("x.root") != F.col("y.root")) & (small * 100 >= large * percent))
-    overlap = F.expr(f"({percent} * (n + m) + {99 + percent}) div {100 + percent}")
-    more = (met.groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
-            .agg(F.count("*").alias("shared"), F.max(F.col("x.gid") == F.col("y.gid")).alias("one_group"),
-                 F.first("x.n").alias("n"), F.first("y.n").alias("m"))
-            .filter(F.col("one_group") | (F.col("shared") > overlap - F.expr(f"({percent} * greatest(n, m) + 99) div 100")))
-            .select("a", "b"))
+                 & (F.col("x.root") != F.col("y.root")) & (small * 100 >= large * percent) & (rest >= overlap - slack))
+    more = (met.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.least(slack + 1, in_both).alias("least"),
+                       (F.col("x.gid") == F.col("y.gid")).alias("one_group"))
+            .groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("least").alias("least"),
+                                   F.max("one_group").alias("one_group"))
+            .filter(F.col("one_group") | (F.col("shared") >= F.col("least"))).select("a", "b"))
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = written(more.join(tried, ["a", "b"], "left_anti"), "second-pairs")
     links = links.unionByName(verify(more, sets, texts, words, percent))
