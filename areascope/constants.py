@@ -138,4 +138,5 @@ OUTPUT_FILES = [
 ]
 
 # CSV tokens pandas reads as missing.
-NULL_TOKENS = ["", "NA", "N/A", "NaN", "nan", "NULL", "null", "None", "#N/A", "-NaN", "-nan", "<NA>", "n/a"]
+NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+               "NULL", "NaN", "None", "n/a", "nan", "null"]

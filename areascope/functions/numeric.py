@@ -20,7 +20,9 @@ def parse_date(c, fmt: str = "d-M-yyyy") -> Column:
 
 def coerce_count(c) -> Column:
     """Text count -> integer: unparsable -> 0, fractions truncated toward zero."""
-    d = _col(c).cast("string").try_cast("double")
+    text = _col(c).cast("string")
+    # Java's parser also takes type suffixes ('12d', '7f'), which are no numbers here.
+    d = F.when(text.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), text.try_cast("double"))
     d = F.when(F.isnan(d) | (F.abs(d) == float("inf")), None).otherwise(d)
     return F.coalesce(d, F.lit(0.0)).cast("bigint")
 

@@ -73,7 +73,7 @@ def title_case(c) -> Column:
     """
     runs = F.regexp_extract_all(_col(c), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
     return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)),
-                                                           F.lower(F.substring(r, 2, 1 << 20)))), "")
+                                                           F.lower(F.substr(r, F.lit(2))))), "")
 
 
 def whitespace_issue(c) -> Column:

@@ -294,15 +294,16 @@ def correlation(df: DataFrame, cols) -> DataFrame:
     return long.select(F.split("pair", r"\|")[0].alias("x"), F.split("pair", r"\|")[1].alias("y"), "corr")
 
 
-def box_stats(df: DataFrame, by: str, col: str, accuracy: int = 10_000) -> DataFrame:
-    """Quartiles, whiskers (1.5 IQR) by group, computed on all rows."""
-    g = df.groupBy(by).agg(F.percentile_approx(col, [0.25, 0.5, 0.75], accuracy).alias("_q"),
-                           F.min(col).alias("min"), F.max(col).alias("max"))
-    g = g.select(by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"),
+def box_stats(df: DataFrame, by: str, col: str) -> DataFrame:
+    """Exact quartiles by group; whiskers are the furthest data points within 1.5 IQR of the box."""
+    q = df.groupBy(by).agg(F.percentile(col, [0.25, 0.5, 0.75]).alias("_q"), F.min(col).alias("min"), F.max(col).alias("max"))
+    q = q.select(F.col(by).alias("_by"), F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"),
                  "min", "max")
-    iqr = F.col("q3") - F.col("q1")
-    return g.withColumns({"whisker_low": F.greatest(F.col("min"), F.col("q1") - 1.5 * iqr),
-                          "whisker_high": F.least(F.col("max"), F.col("q3") + 1.5 * iqr)})
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    inside = F.when(F.col(col).between(F.col("q1") - reach, F.col("q3") + reach), F.col(col))
+    box = ["q1", "median", "q3", "min", "max"]
+    return (df.select(by, col).join(q, F.col(by).eqNullSafe(F.col("_by"))).groupBy(by, *box)
+            .agg(F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high")))
 
 
 def alert_timeline(df: DataFrame) -> DataFrame:

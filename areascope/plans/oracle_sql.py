@@ -63,11 +63,11 @@ demo_raw AS (
     CASE WHEN l_linestatus = 'O' THEN {_Q} ELSE '0' END AS demo_age_17_
   FROM lines),
 enrol_raw AS (
-  SELECT {_keys('l_shipdate')},
+  SELECT {_keys('o_orderdate')},
     CASE WHEN v = 10 THEN 'x' WHEN l_returnflag = 'A' THEN {_Q} ELSE '0' END AS age_0_5,
     CASE WHEN l_returnflag = 'N' THEN {_Q} ELSE '0' END AS age_5_17,
     CASE WHEN l_returnflag = 'R' THEN {_Q} ELSE '0' END AS age_18_greater
-  FROM lines WHERE l_quantity > 25)"""
+  FROM lines)"""
 
 
 def _std(feed: str, raw_to_out: dict) -> str:

@@ -19,12 +19,13 @@ RAW_SCHEMAS = {
 
 
 def scan_feed(spark: SparkSession, path: str, feed: str, with_file: bool = False,
-              skip_corrupt_files: bool = True) -> DataFrame:
+              skip_corrupt_files: bool = False) -> DataFrame:
     """All ``*.csv`` parts of a feed folder as one DataFrame (one parallel scan).
 
-    Null tokens that pandas treats as missing become SQL NULL. Unreadable
-    files are skipped (``ignoreCorruptFiles``); malformed rows keep nulls
-    (PERMISSIVE). ``with_file`` adds the part name and size for inventories.
+    Null tokens that pandas treats as missing become SQL NULL. A part that
+    cannot be read, or whose header names other columns or another order,
+    fails the job unless ``skip_corrupt_files`` is set, which drops it;
+    malformed rows keep nulls (PERMISSIVE). ``with_file`` adds the part name and size for inventories.
     """
     reader = (spark.read.schema(RAW_SCHEMAS[feed])
               .option("header", True).option("enforceSchema", False)
@@ -33,7 +34,7 @@ def scan_feed(spark: SparkSession, path: str, feed: str, with_file: bool = False
     if skip_corrupt_files:
         reader = reader.option("ignoreCorruptFiles", True)
     df = reader.csv(path)
-    df = df.select([F.when(F.trim(F.col(c)).isin(NULL_TOKENS), None).otherwise(F.col(c)).alias(c)
+    df = df.select([F.when(F.col(c).isin(NULL_TOKENS), None).otherwise(F.col(c)).alias(c)
                     for c in df.columns] +
                    ([F.col("_metadata.file_name").alias("file_name"),
                      F.col("_metadata.file_size").alias("file_size")] if with_file else []))

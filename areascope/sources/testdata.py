@@ -1,7 +1,7 @@
 """Adapter: three raw feeds derived from the driver's TPC-H-style tables.
 
-Every row of ``orders`` (feed "bio") and of ``lineitem`` (feeds "demo" and
-"enrol", the latter for ``l_quantity > 25``) becomes one raw feed row of text
+Every row of ``orders`` (feed "bio") and of ``lineitem`` (feeds "demo", dated
+by shipment, and "enrol", dated by order) becomes one raw feed row of text
 columns, exactly as a CSV part would deliver it. State = nation, district =
 market segment, pincode = 100000 + customer key mod 900000. A deterministic
 variant number (key mod 20) injects the dirt the cleaner must handle: case,
@@ -76,7 +76,7 @@ def bio_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity",
                                                  "l_returnflag", "l_linestatus", "l_shipdate")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return (li.join(o, li.l_orderkey == o.o_orderkey)
             .join(_customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")))
 
@@ -94,12 +94,12 @@ def demo_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enrol_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = _line_rows(spark, sf_dir).filter(F.col("l_quantity") > 25)
+    j = _line_rows(spark, sf_dir)
     v = (F.col("l_orderkey") + F.col("l_linenumber")) % 20
     q = F.col("l_quantity")
     flag = F.col("l_returnflag")
     return j.select(
-        *_dirty_keys(v, F.col("nation"), F.col("c_mktsegment"), F.col("o_custkey"), F.col("l_shipdate")),
+        *_dirty_keys(v, F.col("nation"), F.col("c_mktsegment"), F.col("o_custkey"), F.col("o_orderdate")),
         _qty_text(v, flag == "A", q, "x").alias("age_0_5"),
         F.when(flag == "N", q.cast("bigint").cast("string")).otherwise(F.lit("0")).alias("age_5_17"),
         F.when(flag == "R", q.cast("bigint").cast("string")).otherwise(F.lit("0")).alias("age_18_greater"),

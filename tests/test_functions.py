@@ -20,7 +20,7 @@ def test_parse_date(spark):
 
 
 def test_coerce_count(spark):
-    assert one_col(spark, ["x", "4.7", "12", None, "-3.9"], coerce_count) == [0, 4, 12, 0, -3]
+    assert one_col(spark, ["x", "4.7", "12", None, "-3.9", "12d", "7f", "1e2", " 5 "], coerce_count) == [0, 4, 12, 0, -3, 0, 0, 100, 5]
 
 
 def test_normalise_state_and_aliases(spark):
@@ -64,3 +64,7 @@ def test_title_case_python_rule(spark):
 def test_safe_ratio_zero_denominator(spark):
     df = spark.createDataFrame([(0.0, 0.0), (3.0, 0.0), (3.0, 2.0)], "x double, d double")
     assert [r[0] for r in df.select(safe_ratio("x", "d")).collect()] == [0.0, 3.0, 1.5]
+
+
+def test_title_case_keeps_long_names_whole(spark):
+    assert len(one_col(spark, ["a" * (1 << 20) + "bcd"], title_case)[0]) == (1 << 20) + 3

@@ -54,3 +54,10 @@ def test_risk_pivot_fills_zero(spark):
                                "state string, risk_category string")
     rows = RE.risk_pivot(df).collect()
     assert rows[0].state == "s1" and rows[0].CRITICAL == 1 and rows[1].CRITICAL == 0
+
+
+def test_box_stats_exact(spark):
+    from areascope.operators import reports as RE
+    df = spark.createDataFrame([("a", float(x)) for x in [*range(1, 10), 30]], "g string, x double")
+    r = RE.box_stats(df, "g", "x").first()
+    assert (r["q1"], r["median"], r["q3"], r["whisker_low"], r["whisker_high"]) == (3.25, 5.5, 7.75, 1.0, 9.0)

@@ -86,3 +86,13 @@ def test_write_model_outputs(spark):
     assert meta[0]["statistics"]["total_locations"] == run.result.count()
     assert meta[0]["configuration"]["n_clusters"] == 3
     assert os.path.isdir(f"{d}/models/kmeans_centers") and os.path.isdir(f"{d}/models/forest")
+
+
+def test_scan_fails_on_a_part_with_another_column_order(spark, tmp_path):
+    import pytest
+    from areascope.sources.files import scan_feed
+    (tmp_path / "a.csv").write_text("date,state,district,pincode,bio_age_5_17,bio_age_17_\n01-01-2025,x,y,100000,1,2\n")
+    (tmp_path / "b.csv").write_text("date,state,pincode,district,bio_age_5_17,bio_age_17_\n01-01-2025,x,100000,y,1,2\n")
+    with pytest.raises(Exception):
+        scan_feed(spark, str(tmp_path), "bio").collect()
+    assert len(scan_feed(spark, str(tmp_path), "bio", skip_corrupt_files=True).collect()) == 1
