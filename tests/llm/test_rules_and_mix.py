@@ -18,7 +18,7 @@ from . import brute
 
 def test_line_rules(spark, docs_of, clash):
     def prose(k):
-        return " ".join(f"Line {k} has word{i} of plain prose, and it ends as prose{i}x{k} does." for i in range(6))
+        return " ".join(f"Line {k} has word{i}x{k} of plain prose, and it ends as prose{i}x{k} does." for i in range(6))
 
     good = prose(0)
     rows = [(1, good), (2, None), (3, ""), (4, "home | about | news | contact | login | help\n" + good),
