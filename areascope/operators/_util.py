@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Dimension / lookup tables broadcast to every task must stay below this.
 MAX_BROADCAST_ROWS = 100_000
+# Tasks over which one group's rows are spread where they must be shuffled by group.
+SALTS = 32
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -20,9 +22,20 @@ def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Data
     return df
 
 
-def one_row_broadcast(df: DataFrame) -> DataFrame:
-    """Broadcast a global aggregate (no grouping keys: exactly one row)."""
-    return F.broadcast(df)
+def attach_groups(df: DataFrame, groups: DataFrame, by, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Left join of ``groups`` (one row for each value of ``by``) to every row of ``df``.
+
+    Up to ``max_rows`` groups are broadcast and rows stay where they are. Beyond
+    that both sides meet on the key and a salt drawn from the row's content, so
+    a group with a third of all rows is spread over ``SALTS`` tasks.
+    """
+    by = list(by)
+    if groups.limit(max_rows + 1).count() <= max_rows:
+        return df.join(F.broadcast(groups), by, "left")
+    rest = [c for c in df.columns if c not in by]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(SALTS)))
+    each = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(each, [*by, "_salt"], "left").drop("_salt")
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:

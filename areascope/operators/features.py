@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import floor_zero, row_sum, safe_ratio
+from ._util import attach_groups
 
 BIO_COLS = ["updates_age_5_17_bio", "updates_age_18_plus_bio"]
 DEMO_COLS = ["updates_age_5_17_demo", "updates_age_18_plus_demo"]
@@ -67,13 +68,12 @@ def district_stats(df: DataFrame, by=("district",)) -> DataFrame:
     )
 
 
-def district_features(df: DataFrame, by=("district",)) -> DataFrame:
+def district_features(df: DataFrame, by=("district",), stats: DataFrame | None = None) -> DataFrame:
     """J3 + P20: join the district statistics back and relate activity to the mean.
 
-    One row per district: AQE broadcasts it when its measured size is small
-    and otherwise shuffles both sides with skew-split partitions.
+    ``stats``: the statistics, where they were taken before other columns were added.
     """
-    df = df.join(district_stats(df, by), list(by), "left")
+    df = attach_groups(df, district_stats(df, by) if stats is None else stats, by)
     return df.withColumn("activity_vs_district_mean",
                          safe_ratio("total_activity", "district_total_activity_mean"))
 
@@ -106,10 +106,12 @@ def quality_weight(df: DataFrame) -> DataFrame:
 
 
 def build_features(master: DataFrame, by=("district",)) -> DataFrame:
-    """Stage 2 of the model run: every feature column next to the master columns."""
-    df = validate_master(master)
-    df = activity_totals(df)
-    df = district_features(df, by)
-    df = temporal_features(df)
+    """Stage 2 of the model run: every feature column next to the master columns.
+
+    The area windows come first, on their own shuffle by area: behind the district
+    join they would run on its partitioning, one task a district.
+    """
+    totals = activity_totals(validate_master(master))
+    df = district_features(temporal_features(totals), by, district_stats(totals, by))
     df = df.fillna(0)
     return quality_weight(df)

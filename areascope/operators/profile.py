@@ -22,8 +22,14 @@ def _union(frames):
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def _long(df: DataFrame, rows: list) -> DataFrame:
+    """Structs of aggregates over ``df`` as one row each."""
+    wide = df.agg(*[r.alias(f"r{i}") for i, r in enumerate(rows)])
+    return wide.select(F.explode(F.array(*[F.col(f"r{i}") for i in range(len(rows))])).alias("x")).select("x.*")
+
+
 def numeric_profile(df: DataFrame, cols, accuracy: int | None = None) -> DataFrame:
-    """A3 + A4 + A5 + F9: one row per column, all from one aggregate per column.
+    """A3 + A4 + A5 + F9: one row per column, all from one aggregate over one scan.
 
     Percentiles are exact with linear interpolation (a value -> count map: right
     for integer counts); ``accuracy`` switches to ``percentile_approx`` for
@@ -38,32 +44,31 @@ def numeric_profile(df: DataFrame, cols, accuracy: int | None = None) -> DataFra
         else:
             med = F.percentile(x, F.lit(0.5))
             pcts = F.percentile(x, F.array(*[F.lit(p) for p in PERCENTILES]))
-        rows.append(df.agg(
+        rows.append(F.struct(
             F.lit(c).alias("column"),
             F.count_if(x.isNull()).alias("nulls"),
             F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"),
             med.alias("median"), F.stddev_samp(x).alias("std"),
             F.count_if(x < 0).alias("negatives"),
             F.count_if(x == 0).alias("zeros"),
-            (F.count_if(x == 0) * 100.0 / F.count(F.lit(1))).alias("zero_pct"),
+            (F.count_if(x == 0) * 100.0 / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("zero_pct"),
             pcts.alias("percentiles"),
             F.count_if(x > 1000).alias("above_1000"),
         ))
-    out = _union(rows)
+    out = _long(df, rows)
     out = out.select("*", *[F.col("percentiles")[i].alias(f"p{int(p * 100)}") for i, p in enumerate(PERCENTILES)])
     return out.drop("percentiles")
 
 
 def outlier_counts(df: DataFrame, cols) -> DataFrame:
-    """rows above each column's p95 and p99 (percentiles broadcast as one row)."""
-    rows = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        q = df.agg(F.percentile(x, F.lit(0.95)).alias("_p95"), F.percentile(x, F.lit(0.99)).alias("_p99"))
-        rows.append(with_scalars(df, q).agg(
-            F.lit(c).alias("column"), F.first("_p95").alias("p95"), F.first("_p99").alias("p99"),
-            F.count_if(x > F.col("_p95")).alias("above_p95"), F.count_if(x > F.col("_p99")).alias("above_p99")))
-    return _union(rows)
+    """rows above each column's p95 and p99 (percentiles broadcast as one row); two scans for all columns."""
+    x = [F.col(c).cast("double") for c in cols]
+    q = df.agg(*[F.percentile(v, F.array(F.lit(0.95), F.lit(0.99))).alias(f"_q{i}") for i, v in enumerate(x)])
+    rows = [F.struct(
+        F.lit(c).alias("column"), F.first(F.col(f"_q{i}")[0]).alias("p95"), F.first(F.col(f"_q{i}")[1]).alias("p99"),
+        F.count_if(x[i] > F.col(f"_q{i}")[0]).alias("above_p95"), F.count_if(x[i] > F.col(f"_q{i}")[1]).alias("above_p99"))
+        for i, c in enumerate(cols)]
+    return _long(with_scalars(df, q), rows)
 
 
 def top_values(df: DataFrame, col: str, k: int = 5) -> DataFrame:
@@ -94,11 +99,13 @@ def key_duplicates(df: DataFrame, keys) -> DataFrame:
 
 
 def column_duplicates(df: DataFrame, cols=None) -> DataFrame:
-    """A10: per column, rows whose value occurs more than once (all copies)."""
+    """A10: per column, rows whose value occurs more than once (all copies); one scan, values compared as text."""
     cols = cols or df.columns
-    return _union([df.groupBy(c).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-                   .agg(F.lit(c).alias("column"), F.coalesce(F.sum("_n"), F.lit(0)).alias("duplicated_rows"))
-                   for c in cols])
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+                                          for c in cols])).alias("x")).select("x.*")
+    often = cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("column", "n")
+    none = df.sparkSession.createDataFrame([(c, 0) for c in cols], "column string, n long")
+    return often.unionByName(none).groupBy("column").agg(F.sum("n").alias("duplicated_rows"))
 
 
 def case_variants(df: DataFrame, col: str) -> DataFrame:

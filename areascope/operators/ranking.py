@@ -17,15 +17,20 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
+# Distinct values of a range, which is the work of one task.
+RANGE_VALUES = 250_000
+
 
 def value_ranks(df: DataFrame, col: str, partitions: int | None = None) -> DataFrame:
     """(value, ties, rows_below, rank_pct) for every distinct non-null value."""
     spark = df.sparkSession
     counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_ties"))
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if partitions is None:
+        counts = cut_lineage(counts)
+        partitions = max(1, -(-counts.count() // RANGE_VALUES))
     # Range bounds come from sampling, so the partition ids are pinned by a
     # reliable checkpoint before they are used twice (totals and running sums).
-    ranged = cut_lineage(counts.repartitionByRange(n_parts, col).withColumn("_pid", F.spark_partition_id()))
+    ranged = cut_lineage(counts.repartitionByRange(partitions, col).withColumn("_pid", F.spark_partition_id()))
     totals = sorted(ranged.groupBy("_pid").agg(F.sum("_ties").alias("_tot"), F.min(col).alias("_lo")).collect(),
                     key=lambda r: r["_lo"])
     offsets = [0] + list(accumulate(int(r["_tot"]) for r in totals))
@@ -43,6 +48,10 @@ def value_ranks(df: DataFrame, col: str, partitions: int | None = None) -> DataF
 
 
 def rank_pct(df: DataFrame, col: str, out: str = "rank_pct", partitions: int | None = None) -> DataFrame:
-    """Attach the average-tie percentile rank of ``col`` to every row (null stays null)."""
+    """Attach the average-tie percentile rank of ``col`` to every row.
+
+    Null stays null: such rows need no rank and stay out of the join, where they would all meet in one task.
+    """
     ranks = value_ranks(df, col, partitions).select(col, F.col("rank_pct").alias(out))
-    return df.join(ranks, col, "left")
+    known = df.filter(F.col(col).isNotNull()).join(ranks, col, "left")
+    return known.unionByName(df.filter(F.col(col).isNull()).withColumn(out, F.lit(None).cast("double")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import trend_status
+from ._util import attach_groups
 
 Z_METRICS = ["total_activity", "total_bio_updates", "total_demo_updates", "total_enrollments"]
 
@@ -19,7 +20,7 @@ def zscores(df: DataFrame, cols=Z_METRICS, by=("district",)) -> DataFrame:
     """
     stats = df.groupBy(*by).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols],
                                 *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
-    out = df.join(stats, list(by), "left")
+    out = attach_groups(df, stats, by)
     out = out.withColumns({
         f"{c}_zscore": F.coalesce((F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0)),
                                   F.lit(0.0))
