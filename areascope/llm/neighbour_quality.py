@@ -134,8 +134,8 @@ def fit(docs: DataFrame, labelled: DataFrame, options: Options = Options()) -> M
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(DIMS + 1, dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], schema=arrow)
 
-    # FIT_PARTS partial matrices are added row by row.
-    sums = (sample.select("text").mapInArrow(gram, schema).groupBy("dim")
+    # FIT_PARTS partial matrices are added row by row, however many parts the sample lies in.
+    sums = (sample.select("text").coalesce(FIT_PARTS).mapInArrow(gram, schema).groupBy("dim")
             .agg(F.reduce(F.collect_list("sums"), F.array_repeat(F.lit(0.0), DIMS),
                           lambda a, b: F.zip_with(a, b, lambda p, q: p + q)).alias("sums")))
     matrix = np.zeros((DIMS + 1, DIMS))
