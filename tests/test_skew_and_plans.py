@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from areascope.operators import features as FE
 from areascope.operators import master as MA
+from areascope.operators import profile as PR
+from areascope.operators import ranking as RK
+from areascope.operators._util import attach_groups
 from areascope.plans import catalog as C
 
 
@@ -37,6 +40,60 @@ def test_master_hot_key_exact_and_partially_aggregated(spark):
     assert plan.count("Exchange hashpartitioning") == 1  # one shuffle for the whole master
 
 
+@pytest.fixture
+def hot_district(spark):
+    """3000 areas of three months; one district holds a third of them, some have none."""
+    row = spark.range(9000).select((F.col("id") / 3).cast("int").alias("area"), (F.col("id") % 3 + 1).alias("month"))
+    return row.select(
+        F.format_string("2025-%02d", "month").alias("year_month"), F.when(F.col("area") % 2 == 0, "goa").otherwise("kerala").alias("state"),
+        F.when(F.col("area") % 3 == 0, "hot").when(F.col("area") % 50 == 1, None)
+        .otherwise(F.concat(F.lit("d"), F.col("area") % 40)).alias("district"),
+        (F.lit(100000) + F.col("area")).alias("pincode"),
+        *[(F.col("area") % (i + 3) + F.col("month")).cast("long").alias(c)
+          for i, c in enumerate(FE.BIO_COLS + FE.DEMO_COLS + FE.ENROL_COLS)])
+
+
+def test_windows_run_by_area_without_broadcast_joins(spark, hot_district):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(FE.build_features(hot_district).select("district", "activity_vs_district_mean",
+                                                            "total_activity_volatility"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(state") == 1     # the windows, by area
+    assert plan.count("Exchange hashpartitioning(district") == 1  # partial statistics of the districts
+    assert "partial_avg" in plan and "SortMergeJoin" not in plan
+
+
+def test_salted_group_join_equals_broadcast(spark, hot_district):
+    df = FE.activity_totals(hot_district)
+    stats = FE.district_stats(df)
+    one = attach_groups(df, stats, ["district"])
+    two = attach_groups(df, stats, ["district"], max_rows=3)
+    assert one.columns == two.columns
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+    assert "hashpartitioning(district" in _plan(two) and "_salt" in _plan(two)
+
+
+def test_rank_pct_keeps_null_rows_out_of_the_join(spark):
+    df = spark.range(400).select(F.when(F.col("id") % 4 > 0, F.col("id") % 10).alias("v"), "id")
+    got = {r.id: r.rank_pct for r in RK.rank_pct(df, "v").collect()}
+    values = [i % 10 for i in range(400) if i % 4]
+    for i in range(400):
+        below, ties = sum(v < i % 10 for v in values), values.count(i % 10)
+        assert got[i] == (pytest.approx((below + (ties + 1) / 2) / len(values)) if i % 4 else None)
+
+
+def test_profiles_scan_once(spark, tmp_path):
+    spark.range(100).selectExpr("id % 7 as a", "id as b", "cast(null as string) as c").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for out, scans in ((PR.numeric_profile(df, ["a", "b"]), 1), (PR.outlier_counts(df, ["a", "b"]), 2),
+                       (PR.column_duplicates(df), 1)):
+        assert _plan(out).count("FileScan") == scans
+    assert {r["column"]: r.duplicated_rows for r in PR.column_duplicates(df).collect()} == {"a": 100, "b": 0, "c": 100}
+    assert {r["column"]: r.duplicated_rows for r in PR.column_duplicates(df.limit(0)).collect()} == {"a": 0, "b": 0, "c": 0}
+
+
 def test_features_single_window_shuffle(spark):
     f = FE.build_features(C.master_table(spark, "/root/testdata/sf0.001"))
     plan = _plan(f.select(*FE.TEMPORAL_METRICS, "total_activity_volatility", "activity_vs_district_mean"))
