@@ -19,6 +19,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,19 @@ REFUSED_NAMES = ["ad", "ads", "advert", "adverts", "advertisement", "advertising
                  "notice", "notification", "pagination", "popup", "promo", "promotion", "related", "replies", "reply", "search",
                  "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar",
                  "widget", "respond"]
+# Words that a refused name may have before and behind it in one class or id ("site-footer", "ad-slot-2").
+# With any other word a name says nothing of the element itself ("overflow-hidden", "has-sidebar", "search-result").
+NAME_BEFORE = ["article", "blog", "bottom", "entry", "footer", "global", "header", "main", "page", "post", "primary", "secondary",
+               "site", "top", "wp"]
+NAME_BEHIND = ["area", "articles", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "container", "content",
+               "form", "group", "header", "heading", "holder", "icon", "icons", "inner", "input", "item", "items", "label", "law",
+               "link", "links", "list", "media", "message", "meta", "overlay", "panel", "posts", "section", "slot", "stories", "text",
+               "title", "toggle", "top", "unit", "wrap", "wrapper"]
+# Names that stand for the element only alone or with these words.
+NARROW_NAMES = {"hidden": (["is", "visually"], []), "skip": ([], ["link", "links", "nav"]),
+                "search": (["header", "site"], ["bar", "box", "btn", "button", "form", "icon", "input", "toggle"])}
+# Names of what follows an article and may itself be made of articles.
+AFTER_NAMES = ["comment", "comments", "disqus", "related", "replies", "reply", "respond"]
 # Frequent words of the languages that pages come in.
 STOP_WORDS = """the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which
 you were her all she there would their we him been has when who will more no if out so said what
@@ -48,12 +62,16 @@ der die und den von zu das mit sich des auf für ist im dem nicht ein eine als a
 el los las por con para una su al lo como más o pero sus este ya entre cuando muy sin sobre también""".split()
 
 _VOID, _RAW, _BLOCK, _STOP = frozenset(VOID), frozenset(RAW), frozenset(BLOCKS), frozenset(STOP_WORDS)
-_REFUSED, _NAMES = frozenset(REFUSED), frozenset(REFUSED_NAMES)
+_REFUSED, _NAMES, _AFTER = frozenset(REFUSED), frozenset(REFUSED_NAMES), frozenset(AFTER_NAMES)
+_WIDE = (frozenset(NAME_BEFORE), frozenset(NAME_BEHIND))
+_NARROW = {name: tuple(map(frozenset, sides)) for name, sides in NARROW_NAMES.items()}
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|$)|<(?![a-zA-Z/])|[^<]++",
                     re.DOTALL)
 _BROKEN = re.compile(r"<(/?)([a-zA-Z]?[^\s/>]*)([^>]*)(?:>|$)")
-_ATTR = re.compile(r"(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/]|$)", re.IGNORECASE)
-_NAME = re.compile(r"[a-z]+")
+# One attribute after the other, so that nothing is found inside the value of another.
+_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_PIECES = re.compile(r"[-_]+")
+_SHOWN = re.compile(r"(?:^|\s)\w+:(?:block|flex|grid|inline|inline-block|inline-flex|table|contents)(?=\s|$)")
 _SPACE = re.compile(r"\s+")
 
 
@@ -64,6 +82,7 @@ class Block:
     refused: bool = False
     inside: bool = False
     parts: list = field(default_factory=list)
+    named: tuple = ()
 
 
 @dataclass(frozen=True)
@@ -77,24 +96,58 @@ class Limits:
     high_stop: float = 0.25
 
 
-def _named_out(attributes: str) -> bool:
-    for name, a, b, c in _ATTR.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style":
-            if "display:none" in value.replace(" ", ""):
-                return True
-        elif not _NAMES.isdisjoint(_NAME.findall(value)):
-            return True
-    return False
+@dataclass(eq=False)
+class Named:
+    """An element that its class, id or role refuses, unless it turns out to hold the article."""
+
+    after: bool
+    holds: bool = False
+
+
+@lru_cache(maxsize=10_000)
+def _refused_name(token: str) -> str | None:
+    """The refused name that a class or id stands for, alone or with words that names are known to have."""
+    if token in _NAMES:
+        return token
+    pieces = [p for p in _PIECES.split(token) if p]
+    names = [i for i, p in enumerate(pieces) if p in _NAMES]
+    if not names:
+        return None
+    first, last = names[0], names[-1]
+    before, behind = _NARROW.get(pieces[first], _WIDE)[0], _NARROW.get(pieces[last], _WIDE)[1]
+    fits = (all(p in before for p in pieces[:first]) and all(p in _NAMES or p in _WIDE[1] for p in pieces[first:last])
+            and all(p in behind or p[0].isdigit() for p in pieces[last + 1:])
+            and (first == last or "hidden" not in (pieces[first], pieces[last])))
+    return next((pieces[i] for i in names if pieces[i] in _AFTER), pieces[first]) if fits else None
+
+
+def _hidden(attributes: dict) -> bool:
+    return ("hidden" in attributes or attributes.get("aria-hidden") == "true"
+            or "display:none" in attributes.get("style", "").replace(" ", ""))
+
+
+def _names(attributes: dict) -> list[str]:
+    """Refused names of the element, from whole words of class, id and role."""
+    found = [n for key in ("class", "id") for n in map(_refused_name, attributes.get(key, "").split()) if n]
+    if "hidden" in found and _SHOWN.search(attributes["class"] if "class" in attributes else ""):
+        found = [n for n in found if n != "hidden"]  # hidden on small screens alone
+    return found + [r for r in attributes.get("role", "").split() if r in _NAMES]
+
+
+def _attributes(text: str) -> dict:
+    out: dict = {}
+    for name, a, b, c in _ATTR.findall(text):
+        out.setdefault(name.lower(), (a or b or c).lower())
+    return out
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks with text, in page order."""
     out: list[Block] = []
-    stack: list[tuple] = []  # (element, refused from here on, inside an article, inside a link)
+    stack: list[tuple] = []  # (element, refused from here on, inside an article, inside a link, refused by name)
     refused = inside = linked = False
+    named: tuple = ()
+    had_article = False
     block = Block()
 
     def close() -> None:
@@ -103,7 +156,7 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             block.text = text
             out.append(block)
-        block = Block(refused=refused, inside=inside)
+        block = Block(refused=refused, inside=inside, named=named)
 
     at, size = 0, len(page)
     while at < size:
@@ -131,9 +184,9 @@ def blocks_of(page: str) -> list[Block]:
                             break
                     del stack[depth:]
                     break
-            was = (refused, inside)
-            refused, inside, linked = stack[-1][1:] if stack else (False, False, False)
-            if name in _BLOCK or was != (refused, inside):
+            was = (refused, inside, named)
+            refused, inside, linked, named = stack[-1][1:] if stack else (False, False, False, ())
+            if name in _BLOCK or was != (refused, inside, named):
                 close()
             continue
         attributes = m.group(3) or ""
@@ -154,16 +207,33 @@ def blocks_of(page: str) -> list[Block]:
                 stack.pop()
             if stack and (name == stack[-1][0] in ("p", "li", "dd", "dt", "option", "tr", "td", "th") or stack[-1][0] == "p"):
                 stack.pop()
-            refused, inside, linked = stack[-1][1:] if stack else (False, False, False)
+            refused, inside, linked, named = stack[-1][1:] if stack else (False, False, False, ())
         main = name in ("article", "main")
+        found = _attributes(attributes) if attributes else {}
         # A header is the page's own unless it stands in the article.
-        out_here = name in _REFUSED or name == "header" and not inside or _named_out(attributes) and name not in ("html", "body")
-        stack.append((name, refused or out_here, inside or main, linked or name == "a"))
-        changed = (refused, inside) != stack[-1][1:3]
-        refused, inside, linked = stack[-1][1:]
+        out_here = (name in _REFUSED or name == "header" and not inside
+                    or name not in ("html", "body") and _hidden(found))
+        names = _names(found) if found and name not in ("html", "body") else []
+        after = not _AFTER.isdisjoint(names)
+        here = named
+        if main:
+            # Names refuse neither an article nor what holds it, but for the comments and teasers behind an article.
+            if after and had_article:
+                here = (*named, Named(True, False))
+            elif not (had_article and any(n.after and not n.holds for n in named)):
+                for n in named:
+                    n.holds = True
+                had_article = had_article or name == "article" and not refused and not out_here
+        elif names:
+            here = (*named, Named(after))
+        stack.append((name, refused or out_here, inside or main, linked or name == "a", here))
+        changed = (refused, inside, named) != (stack[-1][1], stack[-1][2], here)
+        refused, inside, linked, named = stack[-1][1:]
         if name in _BLOCK or changed:
             close()
     close()
+    for block in out:
+        block.refused = block.refused or any(not n.holds for n in block.named)
     return out
 
 

@@ -134,6 +134,33 @@ def test_html_blocks():
     assert len(H.main_blocks("<article>" + "<p>word</p>" * 30_000)) == 30_000
 
 
+LAKE = "It was a lake of the old kind and it was in the hills."
+
+
+@pytest.mark.parametrize("attribute", [
+    'class="card overflow-hidden"', 'class="site-main has-sidebar"', 'class="post no-comments"', 'id="search-result"', 'data-id="ad-7"',
+    'title="a hidden lake"', "data-x='class=\"ad\"'", 'class="hidden md:block"'])
+def test_html_layout_names(attribute):
+    for page in ("<article {}><p>{}</p></article>", "<main {}><p>{}</p></main>", "<article><div {}><p>{}</p></div></article>",
+                 "<body><div {}><p>{}</p></div></body>"):
+        assert H.main_blocks(page.format(attribute, LAKE)) == [LAKE], page
+
+
+@pytest.mark.parametrize("attribute", [
+    'class="sidebar"', 'class="box ad"', 'class="site-footer"', 'class="cookie-notice"', 'class="ad-slot-2"', "id=comments",
+    'role="search"', 'class="is-hidden"', 'class="x" id="related-posts"'])
+def test_html_refused_names(attribute):
+    assert H.main_blocks(f"<article><p>{LAKE}</p><div {attribute}><p>{LAKE} No.</p></div></article>") == [LAKE]
+    assert H.main_blocks(f"<div {attribute}><article {attribute}><p>{LAKE}</p></article></div>") == [LAKE]
+    for hidden in ("hidden", 'aria-hidden="true"', 'style="display: none"'):
+        assert H.main_blocks(f"<article><p>{LAKE}</p><div {hidden}><p>{LAKE} No.</p></div></article>") == [LAKE]
+
+
+def test_html_comments_made_of_articles():
+    page = '<main><article><p>{0}</p></article><div id="comments"><article class="comment"><p>{0} No.</p></article></div></main>'
+    assert H.main_blocks(page.format(LAKE)) == [LAKE]
+
+
 def test_html_rows(spark, clash):
     pages = clash(spark.createDataFrame([(1, "u", PAGE), (2, None, None), (None, "v", "")], "page_id long, url string, html string"))
     out = {r["page_id"]: r for r in H.extract(pages, ["page_id", "url"]).collect()}
