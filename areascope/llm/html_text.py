@@ -9,6 +9,11 @@ decided neighbours before and behind them. The text is the good blocks in page
 order; blocks of an ``<article>`` or ``<main>`` that no rule refuses outright
 count as decided, since the page itself names them.
 
+Stop words are known for a few languages only. Where a page as a whole has
+hardly any of them, and in blocks of another script, words say nothing: length
+and link density alone decide there. Long blocks without them that read as
+sentences are ``near`` on any page, so none is lost beside good text.
+
 Defined results: null and empty html give an empty text; broken or cut-off
 markup is read as far as it goes; every input row gives one row; other columns
 are not looked at.
@@ -73,6 +78,9 @@ _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 _PIECES = re.compile(r"[-_]+")
 _SHOWN = re.compile(r"(?:^|\s)\w+:(?:block|flex|grid|inline|inline-block|inline-flex|table|contents)(?=\s|$)")
 _SPACE = re.compile(r"\s+")
+_SENTENCE = re.compile(r"[.!?…](?=[\s\"')»”’\]]|$)")
+# Scripts that put no spaces between words say in one character what others say in about three.
+_DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 @dataclass
@@ -94,6 +102,7 @@ class Limits:
     long: int = 160
     low_stop: float = 0.12
     high_stop: float = 0.25
+    sentence: int = 400  # characters of a long block in which a sentence should end
 
 
 @dataclass(eq=False)
@@ -237,23 +246,55 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def first_pass(block: Block, limits: Limits) -> str:
-    """Class of a block by its own figures.
+def _size(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + 2 * len(_DENSE.findall(text))
+
+
+def _stop_words(text: str) -> tuple[int, int]:
+    """Known stop words and words of a text."""
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in _STOP for w in words), len(words)
+
+
+def _other_script(text: str) -> bool:
+    """Whether most letters are of a script in which no stop word is known."""
+    if text.isascii():
+        return False
+    letters = [c for c in text if c.isalpha()]
+    return 2 * sum(c > "\u024f" and not "\u1e00" <= c <= "\u1eff" for c in letters) > len(letters)
+
+
+def _linked_out(block: Block, limits: Limits) -> bool:
+    return block.refused or block.linked > limits.max_link_density * len(block.text)
+
+
+def words_known(blocks: list[Block], limits: Limits) -> bool:
+    """Whether the page is in a language of the stop words, by all its text that is neither refused nor links."""
+    counts = [_stop_words(b.text) for b in blocks if not _linked_out(b, limits) and not _other_script(b.text)]
+    return sum(c[0] for c in counts) >= limits.low_stop * sum(c[1] for c in counts)
+
+
+def first_pass(block: Block, limits: Limits, known: bool = True) -> str:
+    """Class of a block by its own figures; ``known`` if its page is in a language of the stop words.
 
     Text that the page itself puts into an article is never bad for its words, only for its links.
     """
-    size = len(block.text)
-    if block.refused or block.linked > limits.max_link_density * size:
+    size = _size(block.text)
+    if _linked_out(block, limits):
         return "bad"
-    words = block.text.lower().split()
-    stop = sum(w.strip(".,;:!?\"'()") in _STOP for w in words) / len(words)
     if size < limits.short:
         return "short"
+    found, n = _stop_words(block.text)
+    stop = found / n
     if stop >= limits.high_stop and size > limits.long or block.inside and stop >= limits.low_stop:
         return "good"
     if stop >= limits.low_stop or block.inside:
         return "near"
-    return "bad" if size > limits.long else "short"
+    if not known or _other_script(block.text):
+        return "good" if size > limits.long else "near"
+    if size <= limits.long:
+        return "short"
+    return "near" if len(_SENTENCE.findall(block.text)) * limits.sentence >= size else "bad"
 
 
 def _decided(blocks: list[Block], classes: list[str]) -> list[str | None]:
@@ -292,7 +333,9 @@ def second_pass(blocks: list[Block], classes: list[str]) -> list[str]:
 
 def main_blocks(page: str | None, limits: Limits = Limits()) -> list[str]:
     blocks = blocks_of(page or "")
-    classes = second_pass(blocks, [first_pass(b, limits) for b in blocks])
+    # Words are asked only where they can turn a block away: outside articles.
+    known = all(b.inside for b in blocks) or words_known(blocks, limits)
+    classes = second_pass(blocks, [first_pass(b, limits, known) for b in blocks])
     return [b.text for b, k in zip(blocks, classes) if k == "good"]
 
 

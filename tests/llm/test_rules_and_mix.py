@@ -161,6 +161,34 @@ def test_html_comments_made_of_articles():
     assert H.main_blocks(page.format(LAKE)) == [LAKE]
 
 
+OTHER = {
+    "ru": "Озеро лежит высоко в горах, и вода в нём холодная даже летом. Рыбаки приходят сюда рано утром и уходят вечером.",
+    "pl": "Jezioro leży wysoko w górach, a woda jest tam zimna nawet latem. Rybacy przychodzą wcześnie rano i wracają wieczorem.",
+    "fi": "Järvi sijaitsee korkealla vuoristossa, ja vesi pysyy kylmänä kesälläkin. Kalastajat saapuvat aikaisin aamulla sinne.",
+    "el": "Η λίμνη βρίσκεται ψηλά στα βουνά και το νερό είναι κρύο ακόμη και το καλοκαίρι. Οι ψαράδες έρχονται νωρίς το πρωί.",
+    "zh": "这座湖位于高山之中,即使在夏天湖水也很冷。渔民们清晨来到这里,傍晚才回家。湖边有一座古老的村庄。",
+}
+
+
+@pytest.mark.parametrize("tongue", OTHER)
+def test_html_other_languages(tongue):
+    one, short = OTHER[tongue], OTHER[tongue][:20].strip()
+    long = [f"{one} {one} {k}" for k in range(3)]
+    menu = "".join(f'<li><a href="/{k}">{one}</a></li>' for k in range(4))
+    page = (f"<body><ul>{menu}</ul><div><p>{long[0]}</p><p>{short}</p><p>{long[1]}</p><div>{long[2]}</div><p>{one}</p></div>"
+            f'<div class="sidebar"><p>{long[0]}</p></div><footer>{long[1]}</footer></body>')
+    assert H.main_blocks(page) == [long[0], short, long[1], long[2], one]
+    english = "It was the best of the times and it was the worst of all of them for us. " * 4
+    both = f"<div><p>{english}</p><p>{long[0]}</p><p>{long[1]}</p><p>{english}</p></div>"
+    assert H.main_blocks(both) == [english.strip(), long[0], long[1], english.strip()]
+
+
+def test_html_lists_of_words_stay_out():
+    english = "It was the best of the times and it was the worst of all of them for us. " * 4
+    page = f"<div><p>{english}</p><p>{english}</p><div>{'lakes rivers boats maps ' * 20}</div><p>{english}</p></div>"
+    assert H.main_blocks(page) == [english.strip()] * 3
+
+
 def test_html_rows(spark, clash):
     pages = clash(spark.createDataFrame([(1, "u", PAGE), (2, None, None), (None, "v", "")], "page_id long, url string, html string"))
     out = {r["page_id"]: r for r in H.extract(pages, ["page_id", "url"]).collect()}
