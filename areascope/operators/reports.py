@@ -17,6 +17,7 @@ from ..functions import month_label, month_start, safe_ratio, title_case
 from ._util import with_scalars
 
 ENROL = ["enrollments_age_0_5", "enrollments_age_5_17", "enrollments_age_18_plus"]
+MEASURES = ["updates_age_5_17_bio", "updates_age_18_plus_bio", "updates_age_5_17_demo", "updates_age_18_plus_demo", *ENROL]
 ALL_SENTINELS = ("All States", "All Districts", "All Pincodes", "All", None)
 
 
@@ -135,6 +136,17 @@ def activity_split(df: DataFrame) -> DataFrame:
                       F.when(F.col("_tot") > 0, F.col("total") * 100.0 / F.col("_tot")).alias("share_pct"))
 
 
+def age_shares(df: DataFrame) -> DataFrame:
+    """Child and adult updates inside bio and inside demo and their shares in percent, null unless the sum > 0."""
+    kinds = {"Biometric Updates": "bio", "Demographic Updates": "demo"}
+    wide = df.agg(*[F.sum(f"updates_age_{a}_{k}").alias(f"{k}_{a}") for k in kinds.values() for a in ("5_17", "18_plus")])
+    rows = F.array(*[F.struct(F.lit(name).alias("activity_type"), F.col(f"{k}_5_17").alias("child"),
+                              F.col(f"{k}_18_plus").alias("adult")) for name, k in kinds.items()])
+    both = F.col("child") + F.col("adult")
+    return wide.select(F.inline(rows)).select("activity_type", "child", "adult", *[
+        F.when(both > 0, F.col(c) / both * 100).alias(f"{c}_share_pct") for c in ("child", "adult")])
+
+
 def pct_change(df: DataFrame, cols, order: str = "year_month") -> DataFrame:
     """W7 + F8: per-series percent change on a small ordered table (e.g. the
     monthly trend); prev 0 -> +inf (x > 0) or null (x = 0); null rows dropped."""
@@ -183,12 +195,12 @@ def peak_months(monthly: DataFrame, value: str = "total_activity") -> DataFrame:
     ).withColumn("peak_label", month_label("peak_month"))
 
 
-def pincode_months(df: DataFrame, state, district, pincode) -> DataFrame:
-    """One area's months, newest first, with labels and totals."""
+def pincode_months(df: DataFrame, state=None, district=None, pincode=None) -> DataFrame:
+    """Months of one area (or all), newest first, with labels, all seven measures and the enrolment total."""
     d = drill_down(df, state=state, district=district, pincode=pincode)
-    return d.select("year_month", month_label("year_month").alias("month_label"),
-                    "total_activity_bio", "total_activity_demo",
-                    _enrol_total().alias("total_enrollments")).orderBy(F.desc("year_month"))
+    return d.select(*K.KEYS, month_label("year_month").alias("month_label"), *MEASURES,
+                    _enrol_total().alias("total_enrollments")).orderBy(
+        F.desc("year_month"), *[c for c in K.KEYS if c != "year_month"])
 
 
 def monthly_table(monthly: DataFrame) -> DataFrame:
@@ -247,22 +259,26 @@ def crosstab_pct(df: DataFrame, row: str, col: str) -> DataFrame:
     return c.withColumn("pct", F.col("n") * 100.0 / tot)
 
 
+ACTIVITIES = ["total_bio_updates", "total_demo_updates", "total_enrollments"]
+
+
 def normalised_cluster_means(df: DataFrame) -> DataFrame:
-    """Cluster means of three activities divided by each column's max (k rows)."""
-    cols = ["total_bio_updates", "total_demo_updates", "total_enrollments"]
-    g = df.groupBy("cluster_id").agg(*[F.avg(c).alias(c) for c in cols])
-    mx = g.agg(*[F.max(c).alias(f"_max_{c}") for c in cols])  # one row
+    """Means of three activities by cluster profile divided by each column's max (k rows)."""
+    g = df.groupBy("cluster_profile").agg(*[F.avg(c).alias(c) for c in ACTIVITIES])
+    mx = g.agg(*[F.max(c).alias(f"_max_{c}") for c in ACTIVITIES])  # one row
     g = with_scalars(g, mx)
-    return g.select("cluster_id", *[safe_ratio(F.col(c), F.col(f"_max_{c}")).alias(f"{c}_norm") for c in cols])
+    return g.select("cluster_profile", *[safe_ratio(F.col(c), F.col(f"_max_{c}")).alias(f"{c}_norm") for c in ACTIVITIES])
 
 
 def cluster_profiles(df: DataFrame) -> DataFrame:
-    """Ratio means, activity sums and mean volatility by cluster."""
-    return df.groupBy("cluster_id", "cluster_profile").agg(
+    """Ratio means, sums of each activity and mean volatility by cluster profile, beside the mean volatility of all rows."""
+    g = df.groupBy("cluster_profile").agg(
         F.avg("bio_ratio").alias("bio_ratio_mean"), F.avg("demo_ratio").alias("demo_ratio_mean"),
         F.avg("enrol_ratio").alias("enrol_ratio_mean"),
+        *[F.sum(c).alias(f"{c}_sum") for c in ACTIVITIES],
         F.sum("total_activity").alias("total_activity_sum"),
         F.avg("total_activity_volatility").alias("volatility_mean"))
+    return with_scalars(g, df.agg(F.avg("total_activity_volatility").alias("volatility_overall_mean")))
 
 
 def histogram(df: DataFrame, col: str, bins: int, by: str | None = None) -> DataFrame:
@@ -339,6 +355,73 @@ def headlines(df: DataFrame) -> DataFrame:
                         F.col("demo").cast("bigint")).alias("volume_text"))
 
 
+def _lines(row: DataFrame, lines: list) -> DataFrame:
+    """position, line: the texts that are not null over a one-row table."""
+    return row.select(F.posexplode(F.array(*lines)).alias("position", "line")).filter("line is not null")
+
+
+def _whole(col) -> F.Column:
+    return F.format_number(col, 0)
+
+
+def key_insights(df: DataFrame, risk: DataFrame | None = None, state=None) -> DataFrame:
+    """Lines of the start page; enrolments only if there are any, critical areas only for a chosen state."""
+    k = drill_down(df, state=state).agg(
+        F.sum("total_activity_bio").alias("bio"), F.sum("total_activity_demo").alias("demo"),
+        F.sum(F.col("enrollments_age_0_5") + F.col("enrollments_age_5_17")).alias("child"),
+        F.sum("enrollments_age_18_plus").alias("adult"))
+    k = k.fillna(0)  # no rows at all
+    chosen = risk is not None and state not in ALL_SENTINELS
+    k = with_scalars(k, drill_down(risk, state=state).agg(F.count_if(F.col("risk_category") == "CRITICAL").alias("critical"))
+                     ) if chosen else k.withColumn("critical", F.lit(0))
+    bio, demo, child, adult = (_whole(c) for c in ("bio", "demo", "child", "adult"))
+    return _lines(k, [
+        F.when(F.col("bio") > F.col("demo"), F.format_string(
+            "Biometric updates (%s) exceed demographic updates (%s). This indicates active identity verification activity.",
+            bio, demo)).otherwise(F.format_string(
+                "Demographic updates (%s) exceed biometric updates (%s). Address/mobile updates are more common.", demo, bio)),
+        F.when(F.col("child") + F.col("adult") > 0, F.when(F.col("child") > F.col("adult"), F.format_string(
+            "Child enrollments (%s) are higher than adult enrollments (%s).", child, adult)).otherwise(F.format_string(
+                "Adult enrollments (%s) are higher than child enrollments (%s).", adult, child))),
+        F.when(F.col("critical") > 0, F.format_string(
+            "Alert: %d pincodes in this state require immediate attention due to unusual activity patterns.",
+            F.col("critical").cast("long")))])
+
+
+def district_observations(df: DataFrame, state=None, district=None) -> DataFrame:
+    """Busiest and quietest pincode (smallest on ties) and the larger kind of update of a drill-down."""
+    g = _area_summary(drill_down(df, state=state, district=district), "pincode")
+    pin = F.col("pincode")
+    k = g.agg(F.min_by(pin, F.struct(-F.col("total_activity"), pin)).alias("top"), F.max("total_activity").alias("most"),
+              F.min_by(pin, F.struct("total_activity", pin)).alias("low"), F.min("total_activity").alias("least"),
+              F.sum("biometric").alias("bio"), F.sum("demographic").alias("demo"))
+    bio, demo = _whole("bio"), _whole("demo")
+    text = [F.col(c).cast("string") for c in ("top", "low")]
+    return _lines(k, [
+        F.when(F.col("most").isNotNull(), F.format_string("Highest Activity Pincode: %s with %s total transactions", text[0], _whole("most"))),
+        F.when(F.col("least").isNotNull(), F.format_string("Lowest Activity Pincode: %s with %s total transactions", text[1], _whole("least"))),
+        F.when(F.col("bio") > F.col("demo"), F.format_string(
+            "This district has more biometric updates (%s) than demographic updates (%s), indicating active identity verification.",
+            bio, demo)).when(F.col("bio").isNotNull(), F.format_string(
+                "This district has more demographic updates (%s) than biometric updates (%s), indicating address/mobile updates are common.",
+                demo, bio))])
+
+
+def alert_observations(risk: DataFrame) -> DataFrame:
+    """The state with most critical rows, and whether more rows surge or decline."""
+    k = risk.agg(F.count_if(F.col("trend_status") == "SURGING").alias("surging"),
+                 F.count_if(F.col("trend_status") == "DECLINING").alias("declining"))
+    top = top_critical_state(risk).agg(F.max("state").alias("state"), F.max("critical").alias("critical"))  # one row
+    k = with_scalars(k, top)
+    return _lines(k, [
+        F.when(F.col("critical") > 0, F.format_string(
+            "%s has the highest number of critical alerts (%d pincodes)", "state", "critical")),
+        F.when(F.col("surging") > F.col("declining"), F.format_string(
+            "%s pincodes show surging activity patterns. Review these for unusual spikes.", _whole("surging")))
+         .otherwise(F.format_string(
+             "%s pincodes show declining activity. These may need service improvement.", _whole("declining")))])
+
+
 def display(df: DataFrame, names: dict) -> DataFrame:
     """Select and rename columns for display, in the listed order."""
     return df.select([F.col(c).alias(a) for c, a in names.items()])

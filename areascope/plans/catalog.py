@@ -481,12 +481,33 @@ def q_headlines(spark, sf_dir):
 
 @query("pincode_months")
 def q_pincode_months(spark, sf_dir):
-    """Every area's months with labels, newest first."""
-    b = report_base(spark, sf_dir)
-    return b.select("year_month", "state", "district", "pincode",
-                    RE.month_label("year_month").alias("month_label"),
-                    (F.col("enrollments_age_0_5") + F.col("enrollments_age_5_17")
-                     + F.col("enrollments_age_18_plus")).alias("total_enrollments"))
+    """Every area's months with labels, newest first; the columns of its SQL."""
+    return RE.pincode_months(report_base(spark, sf_dir)).select(
+        "year_month", "state", "district", "pincode", "month_label", "total_enrollments")
+
+
+@query("pincode_month_table")
+def q_pincode_month_table(spark, sf_dir):
+    """Every area's months, newest first, with all seven measures."""
+    return RE.pincode_months(report_base(spark, sf_dir))
+
+
+@query("age_shares")
+def q_age_shares(spark, sf_dir):
+    """Child and adult shares inside bio and inside demo."""
+    return RE.age_shares(report_base(spark, sf_dir))
+
+
+@query("key_insights")
+def q_key_insights(spark, sf_dir):
+    """Lines of the start page over all states."""
+    return RE.key_insights(report_base(spark, sf_dir))
+
+
+@query("district_observations")
+def q_district_observations(spark, sf_dir):
+    """Lines of the district page over all districts."""
+    return RE.district_observations(report_base(spark, sf_dir))
 
 
 @query("temporal_coverage")
@@ -552,6 +573,7 @@ _ml("box_stats", lambda d: RE.box_stats(d, "cluster_profile", "total_activity"),
 _ml("alert_timeline", RE.alert_timeline, "A40.")
 _ml("state_anomalies", RE.state_anomalies, "A41/T4.")
 _ml("top_critical_state", RE.top_critical_state, "T12.")
+_ml("alert_observations", RE.alert_observations, "P44: lines of the alert page.")
 _ml("risk_report", lambda d: RE.risk_report(d, None, "CRITICAL"), "F6.")
 _ml("full_export", lambda d: RE.full_export(OU.full_output(d)), "F7.")
 

@@ -343,6 +343,19 @@ ORACLE = {
     "pincode_months": wb(
         "SELECT year_month, state, district, pincode, strftime(CAST(year_month || '-01' AS DATE), '%B %Y') AS month_label, "
         + _r(ENR, "total_enrollments") + " FROM base"),
+    "pincode_month_table": wb(
+        "SELECT year_month, state, district, pincode, strftime(CAST(year_month || '-01' AS DATE), '%B %Y') AS month_label, "
+        + ", ".join(_r(c, c) for c in (
+            "updates_age_5_17_bio", "updates_age_18_plus_bio", "updates_age_5_17_demo", "updates_age_18_plus_demo",
+            "enrollments_age_0_5", "enrollments_age_5_17", "enrollments_age_18_plus"))
+        + ", " + _r(ENR, "total_enrollments") + " FROM base"),
+    "age_shares": wb(
+        ", k AS (" + " UNION ALL ".join(
+            f"SELECT '{name}' AS activity_type, sum(updates_age_5_17_{c}) AS child, sum(updates_age_18_plus_{c}) AS adult FROM base"
+            for name, c in (("Biometric Updates", "bio"), ("Demographic Updates", "demo")))
+        + ") SELECT activity_type, round(child, 4) AS child, round(adult, 4) AS adult, "
+        "CASE WHEN child + adult > 0 THEN round(child / (child + adult) * 100, 4) END AS child_share_pct, "
+        "CASE WHEN child + adult > 0 THEN round(adult / (child + adult) * 100, 4) END AS adult_share_pct FROM k"),
     "temporal_coverage": with_master(
         "SELECT year_month, count(*) AS records, " + ", ".join(_r(f"sum({c})", c) for c in
         ("enrollments_age_0_5", "enrollments_age_5_17", "enrollments_age_18_plus")) + " FROM q_enrol GROUP BY year_month"),

@@ -61,3 +61,66 @@ def test_box_stats_exact(spark):
     df = spark.createDataFrame([("a", float(x)) for x in [*range(1, 10), 30]], "g string, x double")
     r = RE.box_stats(df, "g", "x").first()
     assert (r["q1"], r["median"], r["q3"], r["whisker_low"], r["whisker_high"]) == (3.25, 5.5, 7.75, 1.0, 9.0)
+
+
+def test_profiles_gather_clusters(spark):
+    rows = [(0, "A", 10.0, 2.0, 4.0, 16.0, 0.5, 0.25, 0.25, 1.0), (1, "A", 30.0, 2.0, 0.0, 32.0, 1.0, 0.0, 0.0, 3.0),
+            (2, "B", 5.0, 8.0, 1.0, 14.0, 0.5, 0.5, 0.0, None), (2, "B", 5.0, 8.0, 1.0, 14.0, 0.5, 0.5, 0.0, 8.0)]
+    df = spark.createDataFrame(rows, "cluster_id int, cluster_profile string, total_bio_updates double, total_demo_updates double, "
+                                     "total_enrollments double, total_activity double, bio_ratio double, demo_ratio double, "
+                                     "enrol_ratio double, total_activity_volatility double")
+    means = {r.cluster_profile: tuple(r)[1:] for r in RE.normalised_cluster_means(df).collect()}
+    assert means == {"A": (1.0, 0.25, 1.0), "B": (0.25, 1.0, 0.5)}
+    got = {r.cluster_profile: r.asDict() for r in RE.cluster_profiles(df).collect()}
+    assert set(got) == {"A", "B"} and got["A"]["bio_ratio_mean"] == 0.75 and got["A"]["total_activity_sum"] == 48.0
+    assert [got["A"][f"{c}_sum"] for c in RE.ACTIVITIES] == [40.0, 4.0, 4.0]
+    assert [got["B"][f"{c}_sum"] for c in RE.ACTIVITIES] == [10.0, 16.0, 2.0]
+    assert (got["A"]["volatility_mean"], got["B"]["volatility_mean"]) == (2.0, 8.0)
+    assert {r["volatility_overall_mean"] for r in got.values()} == {4.0}  # of rows, not of profiles
+
+
+def _months(spark, rows):
+    return spark.createDataFrame(
+        rows, "year_month string, state string, district string, pincode int, updates_age_5_17_bio double, "
+              "updates_age_18_plus_bio double, updates_age_5_17_demo double, updates_age_18_plus_demo double, "
+              "enrollments_age_0_5 double, enrollments_age_5_17 double, enrollments_age_18_plus double").withColumns({
+                  f"total_activity_{k}": F.col(f"updates_age_5_17_{k}") + F.col(f"updates_age_18_plus_{k}") for k in ("bio", "demo")})
+
+
+MONTHS = [("2025-01", "s", "d", 100001, 1.0, 3.0, 0.0, 0.0, 2.0, 1.0, 4.0), ("2025-03", "s", "d", 100001, 1.0, 3.0, 0.0, 0.0, 0.0, 0.0, 0.0),
+          ("2025-02", "s", "d", 100002, 1500.0, 500.0, 0.0, 0.0, 0.0, 5.0, 2.0)]
+
+
+def test_pincode_months_and_shares(spark):
+    df = _months(spark, MONTHS)
+    one = RE.pincode_months(df, "s", "d", 100001)
+    assert set(RE.MEASURES) <= set(one.columns) and len(RE.MEASURES) == 7
+    assert [(r.year_month, r.updates_age_18_plus_bio, r.total_enrollments) for r in one.collect()] == [("2025-03", 3.0, 0.0), ("2025-01", 3.0, 7.0)]
+    assert [r.year_month for r in RE.pincode_months(df).collect()] == ["2025-03", "2025-02", "2025-01"]
+    shares = {r.activity_type: tuple(r)[1:] for r in RE.age_shares(df.filter("pincode = 100001")).collect()}
+    assert shares == {"Biometric Updates": (2.0, 6.0, 25.0, 75.0), "Demographic Updates": (0.0, 0.0, None, None)}
+
+
+def test_insight_lines(spark):
+    df = _months(spark, MONTHS)
+    risk = spark.createDataFrame([("s", "CRITICAL", "SURGING"), ("s", "CRITICAL", "SURGING"), ("t", "CRITICAL", "DECLINING"),
+                                  ("t", "LOW", "STABLE")], "state string, risk_category string, trend_status string")
+
+    def lines(out):
+        return [r.line for r in out.orderBy("position").collect()]
+
+    bio = "Biometric updates (2,008) exceed demographic updates (0). This indicates active identity verification activity."
+    child = "Child enrollments (8) are higher than adult enrollments (6)."
+    assert lines(RE.key_insights(df)) == [bio, child] == lines(RE.key_insights(df, risk))
+    assert lines(RE.key_insights(df, risk, "s")) == [
+        bio, child, "Alert: 2 pincodes in this state require immediate attention due to unusual activity patterns."]
+    assert lines(RE.key_insights(df, risk, "u")) == [
+        "Demographic updates (0) exceed biometric updates (0). Address/mobile updates are more common."]
+    assert lines(RE.district_observations(df, "s", "d")) == [
+        "Highest Activity Pincode: 100002 with 2,007 total transactions", "Lowest Activity Pincode: 100001 with 15 total transactions",
+        "This district has more biometric updates (2,008) than demographic updates (0), indicating active identity verification."]
+    assert lines(RE.alert_observations(risk)) == [
+        "s has the highest number of critical alerts (2 pincodes)",
+        "2 pincodes show surging activity patterns. Review these for unusual spikes."]
+    assert lines(RE.alert_observations(risk.filter("state = 't'")))[1].startswith("1 pincodes show declining")
+    assert len(lines(RE.alert_observations(risk.limit(0)))) == 1
