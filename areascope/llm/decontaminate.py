@@ -11,7 +11,8 @@ windows; a larger one is joined by hash instead, with the same result.
 
 Defined results: null and empty texts have no words and no hits; null and
 empty items have no windows and never count; repeated items count one by one
-if their ids differ; repeated documents are judged row by row; an empty
+if their ids differ, all without an id count as one, which has no place among
+the listed ids; repeated documents are judged row by row; an empty
 benchmark leaves everything clean; other columns are not looked at.
 """
 
@@ -45,7 +46,7 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w"))
     size = F.least(F.size("w"), F.lit(n))
     starts = F.sequence(F.lit(1), F.size("w") - size + 1)
-    return (items.filter("item_id is not null and size(w) > 0")
+    return (items.filter("size(w) > 0")
             .select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("win"))
             .distinct().select("item_id", "win", F.size("win").alias("len"), _hash(F.col("win")).alias("h")))
 
@@ -101,7 +102,7 @@ def scan(docs: DataFrame, windows: DataFrame, max_set: int = MAX_SET) -> DataFra
 
 def judge(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, hit_share: int = 20,
           max_set: int = MAX_SET) -> DataFrame:
-    """Columns of ``docs`` with n_words, n_hit, items (sorted ids), spans (array of first and last hit words), contaminated.
+    """Columns of ``docs`` with n_words, n_hit, n_items, items (sorted ids), spans (array of first and last hit words), contaminated.
 
     Rows without a candidate never leave their task; those with one are verified against the benchmark's windows.
     """
@@ -112,7 +113,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, hit_share: int
     near = seen.filter(F.size("hits") > 0).select("row", F.explode("hits").alias("s")).select("row", "s.*")
     sure = near.join(windows.select("win", "item_id"), "win").select("row", "pos", "len", "item_id")
     items = sure.select("row", "item_id").distinct().groupBy("row").agg(
-        F.array_sort(F.collect_list("item_id")).alias("items"))
+        F.count("*").alias("n_items"), F.array_sort(F.collect_list("item_id")).alias("items"))
     # Words are numbered from 1. A hit opens a span unless an earlier hit of its row reaches up to it.
     ends = sure.groupBy("row", "pos").agg((F.max("len") + F.col("pos") - 1).alias("last"))
     by_row = Window.partitionBy("row").orderBy("pos")
@@ -124,8 +125,9 @@ def judge(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, hit_share: int
                                  F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans")))
     out = seen.drop("hits").join(items.join(spans, "row"), "row", "left")
     out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")),
+                           "n_items": F.coalesce("n_items", F.lit(0).cast("long")),
                            "items": F.coalesce("items", F.array().cast("array<string>"))})
-    return out.select("__row.*", "n_words", "n_hit", "items", "spans",
+    return out.select("__row.*", "n_words", "n_hit", "n_items", "items", "spans",
                       ((F.col("n_hit") > 0) & (F.col("n_hit") * hit_share >= F.col("n_words"))).alias("contaminated"))
 
 

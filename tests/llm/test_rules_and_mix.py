@@ -79,6 +79,30 @@ def test_decontamination_empty_and_cleaning(spark, docs_of):
     assert left == {1: "before after"}
 
 
+@pytest.mark.parametrize("max_set", [100_000, 0])
+def test_decontamination_items_without_id(spark, docs_of, max_set):
+    bench = spark.createDataFrame([(None, "one two three"), (None, "six seven"), (2, "six seven"), (None, None)], "item_id long, text string")
+    docs = docs_of([(1, "one two three"), (2, "six seven"), (3, "one three")])
+    out = {r["doc_id"]: r for r in D.judge(docs.select("doc_id", "text"), bench, max_set=max_set).collect()}
+    assert [(out[d]["n_hit"], out[d]["n_items"], list(out[d]["items"])) for d in (1, 2, 3)] == [(3, 1, []), (2, 2, ["2"]), (0, 0, [])]
+    assert [r["doc_id"] for r in D.clean_documents(docs, bench, max_set=max_set).collect()] == [3]
+
+
+def test_decontamination_without_id_equals_sql(spark, docs_of, tmp_path):
+    import duckdb
+
+    from areascope.llm.oracle import ORACLE
+    docs = docs_of([(1, "one two three"), (2, "six seven"), (3, "one three")])
+    bench = spark.createDataFrame([(None, "one two three"), (None, "six seven"), (2, "six seven")], "item_id long, text string")
+    con = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", bench)):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    res = con.execute(ORACLE["op6_decontaminate"])
+    cols = [c[0] for c in res.description]
+    assert sorted(res.fetchall()) == sorted(tuple(r) for r in C.op6_decontaminate(spark, str(tmp_path)).select(cols).collect())
+
+
 def test_decontamination_is_native(spark, docs_of):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     plan = D.judge(docs_of(decontam_docs()).select("doc_id", "text"), bench)._jdf.queryExecution().toString()
