@@ -262,8 +262,8 @@ def verify(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, perc
     return links
 
 
-def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
+def _placed(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, t0 (hash of the text), n and root, the component's set or null without words, for every row of ``docs``."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     texts = docs.select(F.xxhash64("text").alias("t0"), "text")
@@ -333,8 +333,13 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     links = links.unionByName(verify(more, sets, texts, words, percent))
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     release(spark)
-    member = rows.join(roots, rows["sid"] == roots["u"], "left").select(
-        "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("root"))
+    return rows.join(roots, rows["sid"] == roots["u"], "left").select(
+        "doc_id", "t0", "n", F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("root"))
+
+
+def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
+    member = _placed(docs, words, percent).drop("t0")
     least = member.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return member.join(least, "root", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
@@ -342,7 +347,18 @@ def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each component, that of its id; rows with a null id stay, of equal rows one."""
-    found = join_components(docs, **options).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    """``docs`` with one row of each component, that of its smallest id; rows without words stay, of equal ones one.
+
+    Rows are told apart by id and text, so two documents that share an id are each judged on their own, and copies
+    without an id are reduced like others.
+    """
+    member = _placed(docs, **options)
+    # Ids that are null come last.
+    first = member.filter("root is not null").groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t0")).alias("k"))
+    chosen = (first.select(F.col("k.doc_id").alias("kept_id"), F.col("k.t0").alias("kept_t0"))
+              .unionByName(member.filter("root is null").select(F.col("doc_id").alias("kept_id"), F.col("t0").alias("kept_t0")))
+              .distinct())
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("t0"))
+    kept = rows.join(chosen, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("t0") == F.col("kept_t0")), "left_semi")
+    return kept.dropDuplicates(["id", "t0"]).select("row.*")

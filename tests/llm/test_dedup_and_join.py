@@ -105,6 +105,13 @@ def test_join_empty_and_representatives(spark, docs_of):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4] and kept.columns == docs.columns
 
 
+def test_representatives_by_id_and_text(spark, docs_of):
+    a, b, c = "a b c d e f g", "other words of a text that nobody else has", "one more text of which copies have no id"
+    docs = docs_of([(7, a), (7, b), (1, a.upper()), (None, c), (None, c.upper()), (8, None), (None, None)])
+    kept = [(r["doc_id"], None if r["text"] is None else r["text"].lower()) for r in J.representatives(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(7, b), (1, a), (None, c), (8, None), (None, None)], key=str)
+
+
 def test_components_of_a_chain(spark):
     n = 60
     edges = spark.range(n - 1).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")).unionByName(
