@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_text, jaccard_join, language, mixing, neighbour_quality, quality_rules, suffix_dedup
-from . import toxicity, url_rules
+from . import byte_bpe, prefix_trie, token_alignment, toxicity, url_rules
 from .common import held_out, table
 from .oracle import ORACLE
 
@@ -89,7 +89,34 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document by the public byte-level ranks, and the text that they decode to."""
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), ["doc_id"], ranks, public_tokenizers.PATTERN)
+    told = ids.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    return byte_bpe.decode(told, ["doc_id", "n_tokens", "ids_sha256"], ranks).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens that a byte-level and a piece tokenizer make of each document."""
+    import public_tokenizers
+
+    aligned = token_alignment.align(table(spark, sf_dir, "documents"), ["doc_id"], public_tokenizers.path("byte_bpe_50k.json"),
+                                    public_tokenizers.path("piece_bpe_32k.model"))
+    told = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    scored = token_alignment.score_links(aligned.withColumn("groups_sha256", told).drop("groups"))
+    return scored.select("kept.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_suffix_dedup, op3_quality, op4_jaccard_join, op5_quality_rules, op6_decontaminate, op7_language,
-    op8_html_text, op9_url_rules, op10_mixing)}
+    op8_html_text, op9_url_rules, op10_mixing, op11_byte_bpe, op12_token_alignment, op13_prefix_trie)}
 

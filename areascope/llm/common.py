@@ -78,6 +78,30 @@ def map_rows(df: DataFrame, fn: Callable[..., tuple], schema: T.StructType) -> D
     return df.mapInArrow(run, schema)
 
 
+def flat_map_rows(df: DataFrame, fn: Callable[..., Iterator[tuple]], schema: T.StructType, rows: int = 128) -> DataFrame:
+    """Like ``map_rows``, but ``fn`` yields any number of rows, and at most ``rows`` are held as Python values."""
+    ship_package(df.sparkSession)
+    arrow = to_arrow_schema(schema)
+
+    def batch_of(found: list) -> pa.RecordBatch:
+        columns = list(zip(*found)) if found else [()] * len(arrow)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                for values in zip(*(c.to_pylist() for c in batch.slice(start, rows).columns)):
+                    for row in fn(*values):
+                        found.append(row)
+                        if len(found) >= rows:
+                            yield batch_of(found)
+                            found = []
+        yield batch_of(found)
+
+    return df.mapInArrow(run, schema)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps.
 
