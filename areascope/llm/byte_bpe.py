@@ -36,10 +36,9 @@ from pyspark.sql import DataFrame
 
 from .common import map_rows, schema_of
 
-#: States kept in a worker (about 1 KB each); beyond, the transducer forgets them all and makes them anew as needed.
-MAX_STATES = 200_000
-#: Token pairs whose order was tested, kept in a worker.
-MAX_PAIRS = 1 << 20
+#: What a worker keeps at most, under 200 MB together: states, token pairs tested, short matches with their ids. Beyond, the
+#: one that is full is forgotten and made anew as needed.
+MAX_STATES, MAX_PAIRS, MAX_MATCHES = 200_000, 400_000, 200_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -52,82 +51,46 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return ranks
 
 
-class _State(dict):
-    """byte -> (next state, tokens emitted), filled as bytes are met.
+class Transducer:
+    """Encoder for one set of ranks and one splitting pattern; each match of the pattern is encoded by itself.
 
-    ``hypotheses`` are (trie node of the open token, tokens not emitted before it), by start of the open token; the
-    last one is at the root of the trie: nothing is open. ``last`` is the token emitted last (-1: none, or of no use).
+    A state is packed as the token emitted last (-1: none, or of no use) and the hypotheses by start of the open token:
+    trie node, number of tokens held, these tokens. The last hypothesis is at the root of the trie: nothing is open,
+    and what it holds is what is left to emit if the match ends here. State 0 is the start. ``_moves`` maps state and
+    byte to the next state and the tokens emitted, packed; ``_ends`` has the last tokens of states in which matches ended.
     """
 
-    __slots__ = ("fst", "last", "hypotheses")
-
-    def __init__(self, fst: Transducer, last: int, hypotheses: tuple):
-        super().__init__()
-        self.fst, self.last, self.hypotheses = fst, last, hypotheses
-
-    def __missing__(self, byte: int) -> tuple:
-        fst, opened, done = self.fst, [], None
-        for node, held in self.hypotheses:
-            node = fst.child.get(node << 8 | byte)
-            if node is None:
-                continue
-            token = fst.token[node]
-            if done is None and token >= 0 and fst.follows(held[-1] if held else self.last, token):
-                done = (*held, token)
-            if node in fst.inner:
-                opened.append((node, held))
-        opened.append((0, done))
-        common = 0
-        shortest = min(len(held) for _, held in opened)
-        while common < shortest and all(held[common] == done[common] for _, held in opened):
-            common += 1
-        emit = done[:common]
-        last = emit[-1] if emit else self.last
-        hypotheses = tuple((node, held[common:]) for node, held in opened)
-        if common < shortest:
-            last = -1  # every hypothesis holds a token, nobody asks for the one before
-        move = self[byte] = fst.state(last, hypotheses), emit
-        return move
-
-
-class Transducer:
-    """Encoder for one set of ranks and one splitting pattern; each match of the pattern is encoded by itself."""
-
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.child, self.token, self.inner = {}, [-1], {0}
+        self._four = {rank: rank.to_bytes(4, "little") for rank in self.bytes_of}
+        self._child, self._token, self._inner = {}, [-1], {0}
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                self.inner.add(node)
+                self._inner.add(node)
                 key = node << 8 | byte
-                nxt = self.child.get(key)
+                nxt = self._child.get(key)
                 if nxt is None:
-                    nxt = self.child[key] = len(self.token)
-                    self.token.append(-1)
+                    nxt = self._child[key] = len(self._token)
+                    self._token.append(-1)
                 node = nxt
-            self.token[node] = rank
-        self._pairs: dict[tuple, bool] = {}
-        self._states: dict[tuple, _State] = {}
-        self.start = self.state(-1, ((0, ()),))
-
-    def state(self, last: int, hypotheses: tuple) -> _State:
-        if len(self._states) >= MAX_STATES:
-            for old in self._states.values():  # a text on its way keeps the state it is in
-                old.clear()
-            self._states.clear()
-            self.start = self.state(-1, ((0, ()),))
-        key = (last, hypotheses)
-        found = self._states.get(key)
-        if found is None:
-            found = self._states[key] = _State(self, last, hypotheses)
-        return found
+            self._token[node] = rank
+        self._pairs: dict[int, bool] = {}
+        self._spines: dict[tuple, list | None] = {}
+        self._matches: dict[str, bytes] = {}
+        self._forget()
 
-    def merge(self, data: bytes) -> list[bytes]:
-        """The merges applied to a few bytes, lowest rank first, from the left."""
+    def _forget(self) -> None:
+        self._moves, self._ends, self._forms = {}, {}, [array("i", [-1, 0, 0]).tobytes()]
+        self._ids = {self._forms[0]: 0}
+
+    # -- what may follow what --
+
+    def merge(self, data: bytes, least: int = 1) -> list[bytes]:
+        """The merges applied to a few bytes, lowest rank first, from the left, down to ``least`` parts."""
         parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > least:
             found = [(self.ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.ranks]
             if not found:
                 break
@@ -135,37 +98,148 @@ class Transducer:
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def _spine(self, token: int, right: bool) -> list | None:
+        """The pieces at one edge of a token while it is merged, last first: (piece, rank that made it, rank that used it).
+
+        None if the merges don't make the token. Single bytes are there from the start.
+        """
+        key = (token, right)
+        if key not in self._spines:
+            piece, used, out = self.bytes_of[token], 1 << 62, []
+            if self.merge(piece) != [piece]:
+                out = None
+            while out is not None:
+                made = self.ranks[piece] if len(piece) > 1 else -1
+                out.append((piece, made, used))
+                if len(piece) == 1:
+                    break
+                piece, used = self.merge(piece, 2)[1 if right else 0], made
+            self._spines[key] = out
+        return self._spines[key]
+
     def follows(self, first: int, second: int) -> bool:
-        """Whether ``second`` may come after ``first`` (-1: whether it may come first)."""
-        key = (first, second)
+        """Whether ``second`` may come after ``first`` (-1: whether it may come first).
+
+        Goes back in time through the pieces at the border: whenever two of them met, did a merge across the border
+        come before the merges that used them otherwise? Of equal ranks the left merge comes first.
+        """
+        key = first << 32 | second
         known = self._pairs.get(key)
-        if known is None:
-            if len(self._pairs) >= MAX_PAIRS:
-                self._pairs.clear()
-            pair = [self.bytes_of[t] for t in key if t >= 0]
-            known = self._pairs[key] = self.merge(b"".join(pair)) == pair
+        if known is not None:
+            return known
+        after = self._spine(second, False)
+        known = after is not None
+        if known and first >= 0:
+            before, i, j = self._spine(first, True), 0, 0
+            while True:
+                (x, made_x, used_x), (y, made_y, used_y) = before[i], after[j]
+                rank = self.ranks.get(x + y)
+                if rank is not None and rank < used_x and rank <= used_y:
+                    known = False
+                    break
+                if made_x < 0 and made_y < 0:
+                    break
+                if made_x > made_y:
+                    i += 1
+                else:
+                    j += 1
+        if len(self._pairs) >= MAX_PAIRS:
+            self._pairs.clear()
+        self._pairs[key] = known
         return known
 
-    def pieces(self, match: bytes) -> Iterator[tuple]:
-        """The tokens of one match, in the portions in which the transducer emits them."""
-        state = self.start
+    # -- states and moves --
+
+    def _move(self, state: int, byte: int) -> tuple:
+        """Makes the move that was never met before."""
+        form = array("i")
+        form.frombytes(self._forms[state])
+        last, opened, done, at, child = form[0], [], None, 1, self._child
+        while at < len(form):
+            end = at + 2 + form[at + 1]
+            node = child.get(form[at] << 8 | byte)
+            if node is not None:
+                held = form[at + 2:end]
+                token = self._token[node]
+                if done is None and token >= 0 and self.follows(held[-1] if held else last, token):
+                    done = held + array("i", [token])
+                if node in self._inner:
+                    opened.append((node, held))
+            at = end
+        opened.append((0, done))
+        common = 0
+        shortest = min(len(held) for _, held in opened)
+        while common < shortest and all(held[common] == done[common] for _, held in opened):
+            common += 1
+        emit = done[:common]
+        told = b"".join([self._four[t] for t in emit])
+        # Where every hypothesis holds a token, nobody asks for the one before.
+        form = array("i", [-1 if common < shortest else emit[-1] if emit else last])
+        for node, held in opened:
+            form.extend((node, len(held) - common))
+            form.extend(held[common:])
+        form = form.tobytes()
+        nxt = self._ids.get(form)
+        if nxt is None:
+            if len(self._forms) >= MAX_STATES:
+                self._forget()
+                state = -1
+            nxt = self._ids[form] = len(self._forms)
+            self._forms.append(form)
+        if state >= 0:
+            self._moves[state << 8 | byte] = (nxt, told)
+        return nxt, told
+
+    def _rest(self, state: int) -> bytes:
+        """What is left to emit if a match ends in this state."""
+        form = array("i")
+        form.frombytes(self._forms[state])
+        at = 1
+        while at + 2 + form[at + 1] < len(form):
+            at += 2 + form[at + 1]
+        rest = self._ends[state] = b"".join([self._four[t] for t in form[at + 2:]])
+        return rest
+
+    def pieces(self, match: bytes) -> Iterator[bytes]:
+        """The packed tokens of one match, in the portions in which the transducer emits them."""
+        state = 0
         for byte in match:
-            state, emit = state[byte]
+            state, emit = self._moves.get(state << 8 | byte) or self._move(state, byte)
             if emit:
                 yield emit
-        yield state.hypotheses[-1][1]
+        yield self._rest(state)
+
+    def packed(self, text: str) -> bytes:
+        """The ids of a whole text as little-endian unsigned 32-bit numbers; those of short matches are looked up again."""
+        out, seen = [], self._matches
+        for match in self.pattern.finditer(text):
+            part = match.group()
+            ids = seen.get(part)
+            if ids is None:
+                state, ids, move = 0, [], self._moves.get
+                for byte in part.encode("utf-8", "surrogatepass"):
+                    found = move(state << 8 | byte)
+                    if found is None:
+                        found = self._move(state, byte)
+                        move = self._moves.get
+                    state, emit = found
+                    if emit:
+                        ids.append(emit)
+                rest = self._ends.get(state)
+                ids.append(self._rest(state) if rest is None else rest)
+                ids = b"".join(ids)
+                if len(part) <= 32:
+                    if len(seen) >= MAX_MATCHES:
+                        seen.clear()
+                    seen[part] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str) -> array:
         """The ids of a whole text."""
-        out = array("I")
-        add = out.extend
-        for match in self.pattern.finditer(text):
-            state = self.start
-            for byte in match.group().encode("utf-8", "surrogatepass"):
-                state, emit = state[byte]
-                if emit:
-                    add(emit)
-            add(state.hypotheses[-1][1])
+        out = array("I", self.packed(text))
+        if sys.byteorder == "big":
+            out.byteswap()
         return out
 
 
@@ -229,12 +303,6 @@ class _Worker:
         return cls.made[key]
 
 
-def _packed(ids: array) -> bytes:
-    if sys.byteorder == "big":
-        ids.byteswap()
-    return ids.tobytes()
-
-
 def _share(df: DataFrame, ranks: bytes | str):
     """Broadcasts a rank file (under 1 MB for 50,000 tokens), given by its bytes or its path on the driver."""
     if isinstance(ranks, str):
@@ -253,7 +321,7 @@ def encode(docs: DataFrame, keep: list[str], ranks: bytes | str, pattern: str, t
     def run(*values) -> tuple:
         *kept, content = values
         fst = _Worker.of("encode", shared, pattern)
-        return (*kept, _packed(fst.encode(content)) if content else b"")
+        return (*kept, fst.packed(content) if content else b"")
 
     return map_rows(docs.select(*keep, text), run, schema_of(docs, keep, "ids binary"))
 
