@@ -105,7 +105,7 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     aligned = token_alignment.align(table(spark, sf_dir, "documents"), ["doc_id"], public_tokenizers.path("byte_bpe_50k.json"),
-                                    public_tokenizers.path("piece_bpe_32k.model"))
+                                    public_tokenizers.path("piece_bpe_32k.model"), pattern=public_tokenizers.PATTERN)
     told = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
     scored = token_alignment.score_links(aligned.withColumn("groups_sha256", told).drop("groups"))
     return scored.select("kept.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
