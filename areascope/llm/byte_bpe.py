@@ -30,15 +30,16 @@ import codecs
 import sys
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_rows, schema_of
+from .common import flat_map_rows, schema_of
 
 #: What a worker keeps at most, under 200 MB together: states, token pairs tested, short matches with their ids. Beyond, the
 #: one that is full is forgotten and made anew as needed.
-MAX_STATES, MAX_PAIRS, MAX_MATCHES = 200_000, 400_000, 200_000
+MAX_STATES, MAX_PAIRS, MAX_MATCHES = 200_000, 300_000, 300_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -209,31 +210,44 @@ class Transducer:
                 yield emit
         yield self._rest(state)
 
+    def _run(self, part: str) -> bytes:
+        """The packed ids of one match."""
+        state, ids, move = 0, [], self._moves.get
+        for byte in part.encode("utf-8", "surrogatepass"):
+            found = move(state << 8 | byte)
+            if found is None:
+                found = self._move(state, byte)
+                move = self._moves.get
+            state, emit = found
+            if emit:
+                ids.append(emit)
+        rest = self._ends.get(state)
+        ids.append(self._rest(state) if rest is None else rest)
+        ids = b"".join(ids)
+        if len(part) <= 32:
+            if len(self._matches) >= MAX_MATCHES:
+                self._matches.clear()
+            self._matches[part] = ids
+        return ids
+
+    def _split(self, text: str) -> Iterator[list]:
+        """The matches, many at a time."""
+        if len(text) <= 1 << 20:
+            yield self.pattern.findall(text)
+            return
+        matches = self.pattern.finditer(text)
+        while some := [m.group() for m in islice(matches, 1 << 16)]:
+            yield some
+
     def packed(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit numbers; those of short matches are looked up again."""
-        out, seen = [], self._matches
-        for match in self.pattern.finditer(text):
-            part = match.group()
-            ids = seen.get(part)
-            if ids is None:
-                state, ids, move = 0, [], self._moves.get
-                for byte in part.encode("utf-8", "surrogatepass"):
-                    found = move(state << 8 | byte)
-                    if found is None:
-                        found = self._move(state, byte)
-                        move = self._moves.get
-                    state, emit = found
-                    if emit:
-                        ids.append(emit)
-                rest = self._ends.get(state)
-                ids.append(self._rest(state) if rest is None else rest)
-                ids = b"".join(ids)
-                if len(part) <= 32:
-                    if len(seen) >= MAX_MATCHES:
-                        seen.clear()
-                    seen[part] = ids
-            out.append(ids)
-        return b"".join(out)
+        out = []
+        for parts in self._split(text):
+            ids = list(map(self._matches.get, parts))
+            if None in ids:
+                ids = [self._run(part) if known is None else known for part, known in zip(parts, ids)]
+            out.append(b"".join(ids))
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def encode(self, text: str) -> array:
         """The ids of a whole text."""
@@ -318,12 +332,12 @@ def encode(docs: DataFrame, keep: list[str], ranks: bytes | str, pattern: str, t
     """
     shared = _share(docs, ranks)
 
-    def run(*values) -> tuple:
+    def run(*values) -> Iterator[tuple]:
         *kept, content = values
         fst = _Worker.of("encode", shared, pattern)
-        return (*kept, fst.packed(content) if content else b"")
+        yield (*kept, fst.packed(content) if content else b"")
 
-    return map_rows(docs.select(*keep, text), run, schema_of(docs, keep, "ids binary"))
+    return flat_map_rows(docs.select(*keep, text), run, schema_of(docs, keep, "ids binary"))
 
 
 #: Ids that the decoder takes at a time.
@@ -334,13 +348,13 @@ def decode(encoded: DataFrame, keep: list[str], ranks: bytes | str, ids: str = "
     """The columns ``keep`` of ``encoded`` and ``text``: the text of the packed ids, decoded portion by portion."""
     shared = _share(encoded, ranks)
 
-    def run(*values) -> tuple:
+    def run(*values) -> Iterator[tuple]:
         *kept, packed = values
         machine = _Worker.of("decode", shared)
         found = array("I", packed or b"")
         if sys.byteorder == "big":
             found.byteswap()
         view = memoryview(found)
-        return (*kept, "".join(machine.decode(view[i:i + _PORTION] for i in range(0, len(found), _PORTION))))
+        yield (*kept, "".join(machine.decode(view[i:i + _PORTION] for i in range(0, len(found), _PORTION))))
 
-    return map_rows(encoded.select(*keep, ids), run, schema_of(encoded, keep, "text string"))
+    return flat_map_rows(encoded.select(*keep, ids), run, schema_of(encoded, keep, "text string"))
