@@ -65,6 +65,23 @@ def _byte_level_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+class _Bytes:
+    """The bytes of a vocabulary in one array."""
+
+    def __init__(self, bytes_of: list[bytes]):
+        self.sizes = np.array([len(b) for b in bytes_of], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(bytes_of), np.uint8)
+
+    def ends(self, ids: np.ndarray) -> np.ndarray:
+        return np.cumsum(self.sizes[ids])
+
+    def joined(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The bytes of the tokens ``ids``, which end at ``ends``."""
+        sizes = self.sizes[ids]
+        return self.flat[np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class ByteLevel:
     """A byte-level tokenizer of the ``tokenizers`` library, from its JSON; it is given space + text.
 
@@ -83,7 +100,7 @@ class ByteLevel:
         for token, i in vocab.items():
             known = all(c in alphabet for c in token)
             self.bytes_of[i] = bytes(alphabet[c] for c in token) if known else token.encode()
-        self.sizes = np.array([len(b) for b in self.bytes_of])
+        self.table = _Bytes(self.bytes_of)
         self.fast = None
         model = json.loads(data)["model"]
         merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
@@ -92,9 +109,9 @@ class ByteLevel:
             ranks = {bytes(alphabet[c] for c in token): i for token, i in model["vocab"].items()}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def ids(self, spaced: str) -> list[int]:
+    def ids(self, spaced: str) -> list[int] | np.ndarray:
         if self.fast is not None and len(spaced) <= _LONG:
-            return self.fast.encode_ordinary(spaced)
+            return self.fast.encode_to_numpy(spaced, disallowed_special=())
         return self.tokenizer.encode(spaced, add_special_tokens=False).ids
 
 
@@ -107,7 +124,7 @@ class Pieces:
         self.bytes_of = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i)
                          else model.id_to_piece(i).replace("▁", " ").encode()
                          for i in range(model.get_piece_size())]
-        self.sizes = np.array([len(b) for b in self.bytes_of])
+        self.table = _Bytes(self.bytes_of)
 
     def ids(self, spaced: str) -> list[int]:
         return self.model.encode(spaced[1:], num_threads=1)
@@ -195,17 +212,23 @@ def _pairs_of(a, b) -> tuple:
     return (a[:, None] << 32 | b[None, :]).ravel(), (m[:, None] * n[None, :]).ravel()
 
 
-def fragment(a: np.ndarray, end_a: np.ndarray, b: np.ndarray, end_b: np.ndarray) -> Fragment:
-    """The fragment of the tokens ``a`` and ``b`` with their ascending end offsets."""
-    ends = np.intersect1d(end_a, end_b, assume_unique=True)
-    a, b = a.astype(np.int64), b.astype(np.int64)
-    if not len(ends):
+def fragment(a: np.ndarray, end_a: np.ndarray, b: np.ndarray, end_b: np.ndarray, start: bool = False) -> Fragment:
+    """The fragment of the tokens ``a`` and ``b`` with their ascending end offsets.
+
+    ``start``: the range begins with a common end, as a document does.
+    """
+    a, b = a.astype(np.int64, copy=False), b.astype(np.int64, copy=False)
+    ends = np.zeros(max(end_a[-1] if len(a) else 0, end_b[-1] if len(b) else 0) + 1, np.int8)
+    ends[end_a] = 1
+    ends[end_b] += 2
+    stop_a, stop_b = np.flatnonzero(ends[end_a] == 3) + 1, np.flatnonzero(ends[end_b] == 3) + 1
+    if start:
+        stop_a, stop_b = np.concatenate(([0], stop_a)), np.concatenate(([0], stop_b))
+    if not len(stop_a):
         return Fragment(head=(a.tolist(), b.tolist()), n_a=len(a), n_b=len(b))
-    stop_a = np.searchsorted(end_a, ends, side="right")
-    stop_b = np.searchsorted(end_b, ends, side="right")
     out = Fragment(head=(a[:stop_a[0]].tolist(), b[:stop_b[0]].tolist()), cut=True,
-                   tail=(a[stop_a[-1]:].tolist(), b[stop_b[-1]:].tolist()), n_a=len(a), n_b=len(b), n_groups=len(ends) - 1)
-    if len(ends) == 1:
+                   tail=(a[stop_a[-1]:].tolist(), b[stop_b[-1]:].tolist()), n_a=len(a), n_b=len(b), n_groups=len(stop_a) - 1)
+    if len(stop_a) == 1:
         return out
     many_a, many_b = np.diff(stop_a), np.diff(stop_b)
     out.groups = [_closed_text(a[stop_a[0]:stop_a[-1]], many_a, b[stop_b[0]:stop_b[-1]], many_b)]
@@ -255,11 +278,8 @@ def compose(parts: list[Fragment]) -> Fragment:
 
 
 def whole(part: Fragment) -> Fragment:
-    """The fragment of a whole document with its first group closed; a document that is not given back is empty."""
-    if not part.valid or not part.cut:
-        return Fragment()
-    start = Fragment(cut=True)  # a document begins with a common end
-    return compose([start, part])
+    """The fragment of a whole document; one that is not given back is empty."""
+    return part if part.valid else Fragment()
 
 
 def chunk_ranges(spaced: str, size: int = CHUNK, reach: int = REACH) -> Iterator[tuple]:
@@ -284,21 +304,22 @@ def chunk_ranges(spaced: str, size: int = CHUNK, reach: int = REACH) -> Iterator
             at = begin = to
 
 
-def chunk_fragment(read: str, skip: int, take: int, first, second) -> Fragment:
-    """The fragment of the bytes ``skip`` to ``skip + take`` of ``read``, which begins with a space."""
-    data = read.encode("utf-8", "surrogatepass")
+def chunk_fragment(read: str, skip: int, take: int, first, second, start: bool = False) -> Fragment:
+    """The fragment of the bytes ``skip`` to ``skip + take`` of ``read``, which begins with a space.
+
+    ``start``: they are a document's first bytes.
+    """
+    data = np.frombuffer(read.encode("utf-8", "surrogatepass"), np.uint8)
     sides, valid = [], True
     for side in (first, second):
-        ids = side.ids(read)
-        if b"".join(map(side.bytes_of.__getitem__, ids)) != data:
-            valid = False
-        ids = np.array(ids, np.int64)
-        ends = np.cumsum(side.sizes[ids]) if len(ids) else ids
+        ids = np.asarray(side.ids(read), np.int64)
+        ends = side.table.ends(ids)
+        valid = valid and np.array_equal(side.table.joined(ids, ends), data)
         own = slice(*np.searchsorted(ends, [skip, skip + take], side="right"))
         sides += [ids[own], ends[own]]
     if not valid:
         return Fragment(valid=False)
-    return fragment(*sides)
+    return fragment(*sides, start)
 
 
 # ---- Spark --------------------------------------------------------------------------------------------------------
@@ -367,7 +388,7 @@ def align(docs: DataFrame, keep: list[str], byte_level: bytes | str, pieces: byt
             yield (k, *_result(Fragment()))
             return
         size = len(content.encode("utf-8", "surrogatepass")) + 1
-        yield (k, *_result(whole(chunk_fragment(" " + content, 0, size, *_tokenizers(shared)))))
+        yield (k, *_result(whole(chunk_fragment(" " + content, 0, size, *_tokenizers(shared), True))))
 
     short = flat_map_rows(rows.filter(~long), short_doc, result)
 
@@ -382,7 +403,7 @@ def align(docs: DataFrame, keep: list[str], byte_level: bytes | str, pieces: byt
                            T.StructType.fromDDL("doc long, chunk long, read string, skip long, take long"), rows=8)
 
     def read_chunk(doc, i, read, skip, take) -> Iterator[tuple]:
-        yield (doc, i, *_row(chunk_fragment(read, skip, take, *_tokenizers(shared))))
+        yield (doc, i, *_row(chunk_fragment(read, skip, take, *_tokenizers(shared), i == 0)))
 
     parts = cut_lineage(flat_map_rows(chunks.repartition("doc", "chunk"), read_chunk, T.StructType.fromDDL(_FRAGMENT), rows=8))
     last = parts.agg(F.max("chunk")).first()[0] or 0
