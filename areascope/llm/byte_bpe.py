@@ -37,9 +37,9 @@ from pyspark.sql import DataFrame
 
 from .common import flat_map_rows, schema_of
 
-#: What a worker keeps at most, under 200 MB together: states, token pairs tested, short matches with their ids. Beyond, the
-#: one that is full is forgotten and made anew as needed.
-MAX_STATES, MAX_PAIRS, MAX_MATCHES = 200_000, 300_000, 300_000
+#: What a worker keeps at most, under 300 MB together: states, token pairs tested, short matches with their ids (twice as
+#: many). Beyond, what is full is forgotten and made anew as needed.
+MAX_STATES, MAX_PAIRS, MAX_MATCHES = 300_000, 300_000, 200_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -79,7 +79,8 @@ class Transducer:
             self._token[node] = rank
         self._pairs: dict[int, bool] = {}
         self._spines: dict[tuple, list | None] = {}
-        self._matches: dict[str, bytes] = {}
+        self._matches: dict[str, bytes] = {}  # the latest
+        self._before: dict[str, bytes] = {}  # those before them
         self._forget()
 
     def _forget(self) -> None:
@@ -211,7 +212,11 @@ class Transducer:
         yield self._rest(state)
 
     def _run(self, part: str) -> bytes:
-        """The packed ids of one match."""
+        """The packed ids of one match that is not among the latest."""
+        known = self._before.get(part)
+        if known is not None:
+            self._matches[part] = known
+            return known
         state, ids, move = 0, [], self._moves.get
         for byte in part.encode("utf-8", "surrogatepass"):
             found = move(state << 8 | byte)
@@ -226,7 +231,7 @@ class Transducer:
         ids = b"".join(ids)
         if len(part) <= 32:
             if len(self._matches) >= MAX_MATCHES:
-                self._matches.clear()
+                self._before, self._matches = self._matches, {}
             self._matches[part] = ids
         return ids
 
