@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import (apply_aliases, coerce_count, normalise_district, normalise_state,
                          parse_date, row_sum, valid_pincode)
-from ._util import bounded_broadcast, with_scalars
+from ._util import bounded_broadcast
+from .order_stats import counted_quantiles, quantile_values, value_counts
 
 
 def measures_of(feed: str) -> list:
@@ -57,25 +58,14 @@ def standardise_feed(raw: DataFrame, feed: str, valid_states=None, aliases=None,
                      "state_original", "district_original", "valid_state")
 
 
-def cap_at_percentile(df: DataFrame, cols, p: float = K.CAP_PERCENTILE,
-                      accuracy: int | None = None) -> DataFrame:
-    """Cap each column at its own p-th percentile (linear interpolation).
+def cap_at_percentile(df: DataFrame, cols, p: float = K.CAP_PERCENTILE) -> DataFrame:
+    """Cap each column at its own p-th percentile (exact, linear interpolation).
 
-    One global aggregate (a one-row result, broadcast) then ``least``; nulls
-    stay null. Exact ``percentile`` keeps a value->count map, small for integer
-    counts; pass ``accuracy`` to use ``percentile_approx`` on continuous data.
+    One scan counts the values of all columns; the caps (a number a column) become literals, nulls stay null.
     """
-    def pct(c):
-        if accuracy:
-            return F.percentile_approx(c, p, accuracy).cast("double")
-        return F.percentile(F.col(c), F.lit(p))
-    caps = df.agg(*[pct(c).alias(f"_cap_{c}") for c in cols])
-    out = with_scalars(df, caps)
-    out = out.withColumns({c: F.when(F.col(c).isNotNull(),
-                                     F.coalesce(F.least(F.col(c).cast("double"), F.col(f"_cap_{c}")),
-                                                F.col(c).cast("double")))
-                           for c in cols})
-    return out.drop(*[f"_cap_{c}" for c in cols])
+    caps = quantile_values(df, cols, [p])
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.least(F.col(c).cast("double"), F.lit(caps[c][0])))
+                           if c in caps else F.col(c).cast("double") for c in cols})
 
 
 def period_column(period: str = "month"):
@@ -130,28 +120,33 @@ def cleaning_counters(raw: DataFrame, feed: str, valid_states=None, aliases=None
 
     input rows, invalid dates, valid and invalid states (among dated rows),
     invalid pincodes (among valid-state rows), and rows above each measure's
-    p99 (among fully valid rows).
+    p99 (among fully valid rows). The scan counts how far each row comes and
+    the values of the measures of those that pass; all figures follow from
+    these counts.
     """
     ms = measures_of(feed)
     df = raw.withColumn("_date", parse_date("date"))
     df = rename_measures(df, feed).withColumns({m: coerce_count(m) for m in ms})
     df = df.withColumn("state", apply_aliases(normalise_state("state"), aliases))
     df = flag_valid_states(df, valid_states)
-    dated = F.col("_date").isNotNull()
-    kept = dated & F.col("valid_state")
-    ok = kept & valid_pincode("pincode")
-    base = df.agg(
-        F.count(F.lit(1)).alias("input_rows"),
-        F.count_if(~dated).alias("invalid_dates"),
-        F.count_if(kept).alias("valid_states"),
-        F.count_if(dated & ~F.col("valid_state")).alias("invalid_states"),
-        F.count_if(kept & ~valid_pincode("pincode")).alias("invalid_pincodes"),
-        F.count_if(ok).alias("output_rows"),
-        *[F.percentile(F.when(ok, F.col(m)), F.lit(K.CAP_PERCENTILE)).alias(f"_p99_{m}") for m in ms],
-    )
-    above = with_scalars(df.filter(ok), base.select([f"_p99_{m}" for m in ms])).agg(
-        *[F.count_if(F.col(m) > F.col(f"_p99_{m}")).alias(f"above_p99_{m}") for m in ms])
-    return with_scalars(base.drop(*[f"_p99_{m}" for m in ms]), above)
+    good_pin = F.coalesce(valid_pincode("pincode"), F.lit(False))
+    reached = (F.when(F.col("_date").isNull(), 0).when(~F.col("valid_state"), 1).when(~good_pin, 2).otherwise(3))
+    df = df.withColumn("_reached", reached)
+    counts = value_counts(df, {"_reached": F.col("_reached"),
+                               **{m: F.when(F.col("_reached") == 3, F.col(m)) for m in ms}})
+    caps = {r["column"]: r["q"][0] for r in
+            counted_quantiles(counts.filter(F.col("column") != "_reached"), [K.CAP_PERCENTILE]).collect()}
+    step = (F.col("column") == "_reached")
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    return counts.agg(
+        total(step).alias("input_rows"),
+        total(step & (F.col("value") == 0)).alias("invalid_dates"),
+        total(step & (F.col("value") >= 2)).alias("valid_states"),
+        total(step & (F.col("value") == 1)).alias("invalid_states"),
+        total(step & (F.col("value") == 2)).alias("invalid_pincodes"),
+        total(step & (F.col("value") == 3)).alias("output_rows"),
+        *[total((F.col("column") == m) & (F.col("value") > F.lit(caps.get(m)).cast("double"))).alias(f"above_p99_{m}")
+          for m in ms])
 
 
 def dedup_feed(df: DataFrame, keys=("date", "state", "district", "pincode"), order=None) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..session import ship_package
-from ._util import with_scalars
+from .order_stats import quantile_values
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, size int"
 _MASK52 = (1 << 52) - 1
@@ -159,16 +159,12 @@ def score_samples(df: DataFrame, nodes: DataFrame, psi: int, feature_cols, out:
 
 
 def decision_scores(df: DataFrame, contamination: float = K.FOREST_CONTAMINATION,
-                    score_col: str = "iforest_score", accuracy: int | None = 1_000_000) -> DataFrame:
-    """ML8: offset = contamination quantile of the scores (one global aggregate,
-    broadcast as one row); ``anomaly_score`` = score - offset;
-    ``anomaly_prediction`` -1 below the offset, else 1; ``is_anomaly`` 1/0.
-
-    ``accuracy=None`` uses the exact percentile (value map: only for small data).
+                    score_col: str = "iforest_score") -> DataFrame:
+    """ML8: offset = exact contamination quantile of the scores (one number);
+    ``anomaly_score`` = score - offset; ``anomaly_prediction`` -1 below the
+    offset, else 1; ``is_anomaly`` 1/0.
     """
-    q = (F.percentile(F.col(score_col), F.lit(contamination)) if accuracy is None
-         else F.percentile_approx(score_col, contamination, accuracy))
-    offset = df.agg(q.cast("double").alias("_offset"))
-    out = with_scalars(df, offset).withColumn("anomaly_score", F.col(score_col) - F.col("_offset"))
+    offset = quantile_values(df, [score_col], [contamination]).get(score_col, [0.0])[0]
+    out = df.withColumn("anomaly_score", F.col(score_col) - F.lit(offset))
     out = out.withColumn("anomaly_prediction", F.when(F.col("anomaly_score") < 0, -1).otherwise(1))
-    return out.withColumn("is_anomaly", (F.col("anomaly_prediction") == -1).cast("int")).drop("_offset")
+    return out.withColumn("is_anomaly", (F.col("anomaly_prediction") == -1).cast("int"))

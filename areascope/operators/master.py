@@ -30,14 +30,14 @@ def fill_master(df: DataFrame) -> DataFrame:
 
 
 def build_master(raw: dict, valid_states=None, aliases=None, final_trim: bool = False,
-                 cap_accuracy: int | None = None, daily_hook=None) -> DataFrame:
-    """Raw feeds -> master table with ONE shuffle.
+                 daily_hook=None) -> DataFrame:
+    """Raw feeds -> master table with ONE shuffle of the rows.
 
     Equivalent to cleaning each feed, rolling each up to months and joining the
     three monthly tables with two full outer joins, because each feed is unique
     per key after its roll-up. Here the validated daily rows of the three feeds
     are unioned (each feed fills only its own suffixed measure columns), capped
-    at each feed's own p99 (one global aggregate, broadcast as one row) and
+    at each feed's own p99 (exact, from counted values: a number a measure) and
     summed per (month, area) in a single partially-aggregated group-by: a hot
     key is combined map-side before the shuffle.
     """
@@ -52,7 +52,7 @@ def build_master(raw: dict, valid_states=None, aliases=None, final_trim: bool =
     daily = parts[0].unionByName(parts[1]).unionByName(parts[2])
     if daily_hook is not None:
         daily = daily_hook(daily)
-    capped = cap_at_percentile(daily, all_measures, accuracy=cap_accuracy)
+    capped = cap_at_percentile(daily, all_measures)
     capped = capped.filter(" AND ".join(f"{k} IS NOT NULL" for k in K.KEYS))
     monthly = capped.groupBy(*K.KEYS).agg(*[F.sum(c).alias(c) for c in all_measures])
     for f in FEEDS:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import finite_or_zero, profile_field
 from ._util import with_scalars
+from .order_stats import quantile_values
 
 
 def fit_scaler(df: DataFrame, cols) -> DataFrame:
@@ -119,34 +120,30 @@ def cluster_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def profile_mapping(df: DataFrame, accuracy: int | None = 100_000) -> DataFrame:
+def profile_mapping(df: DataFrame) -> DataFrame:
     """ML9 (A16, A17, J7, W9): cluster_id -> cluster_profile_id.
 
     Clusters ranked by mean activity: the top 20 % -> 0; else ratio above the
     global median -> 1; volatility above the global p75 -> 4; activity below
-    the global p25 -> 3; else 2. At most k rows; the global quantiles are one
-    broadcast row. ``accuracy=None`` uses exact percentiles.
+    the global p25 -> 3; else 2. At most k rows and three exact quantiles
+    reach the driver.
     """
-    def q(c, p):
-        return (F.percentile(F.col(c), F.lit(p)) if accuracy is None
-                else F.percentile_approx(c, p, accuracy).cast("double"))
     means = df.groupBy("cluster_id").agg(F.avg("total_activity").alias("_act"),
                                          F.avg("update_to_enrol_ratio").alias("_ratio"),
                                          F.avg("total_activity_volatility").alias("_vol")).collect()  # k rows
-    glob = df.agg(q("update_to_enrol_ratio", 0.5).alias("_med_ratio"),
-                  q("total_activity_volatility", 0.75).alias("_p75_vol"),
-                  q("total_activity", 0.25).alias("_p25_act")).first()  # one row
+    q = quantile_values(df, ["update_to_enrol_ratio", "total_activity_volatility", "total_activity"], [0.25, 0.5, 0.75])
+    median_ratio, p75_vol, p25_act = q["update_to_enrol_ratio"][1], q["total_activity_volatility"][2], q["total_activity"][0]
     ranked = sorted(means, key=lambda r: (-r["_act"], r["cluster_id"]))
     n = len(ranked)
     mapping = []
     for i, r in enumerate(ranked):
         if i < n * K.PROFILE_TOP_SHARE:
             pid = 0
-        elif r["_ratio"] > glob["_med_ratio"]:
+        elif r["_ratio"] > median_ratio:
             pid = 1
-        elif r["_vol"] > glob["_p75_vol"]:
+        elif r["_vol"] > p75_vol:
             pid = 4
-        elif r["_act"] < glob["_p25_act"]:
+        elif r["_act"] < p25_act:
             pid = 3
         else:
             pid = 2

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import parse_date, pincode_region, visible_blanks, whitespace_issue
 from ._util import with_scalars
+from .order_stats import counted_quantiles, value_counts
 
 PERCENTILES = [0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
@@ -22,53 +23,41 @@ def _union(frames):
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def _long(df: DataFrame, rows: list) -> DataFrame:
-    """Structs of aggregates over ``df`` as one row each."""
-    wide = df.agg(*[r.alias(f"r{i}") for i, r in enumerate(rows)])
-    return wide.select(F.explode(F.array(*[F.col(f"r{i}") for i in range(len(rows))])).alias("x")).select("x.*")
-
-
-def numeric_profile(df: DataFrame, cols, accuracy: int | None = None) -> DataFrame:
-    """A3 + A4 + A5 + F9: one row per column, all from one aggregate over one scan.
-
-    Percentiles are exact with linear interpolation (a value -> count map: right
-    for integer counts); ``accuracy`` switches to ``percentile_approx`` for
-    continuous columns at scale.
-    """
-    rows = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        if accuracy:
-            med = F.percentile_approx(x, 0.5, accuracy).cast("double")
-            pcts = F.percentile_approx(x, PERCENTILES, accuracy)
-        else:
-            med = F.percentile(x, F.lit(0.5))
-            pcts = F.percentile(x, F.array(*[F.lit(p) for p in PERCENTILES]))
-        rows.append(F.struct(
-            F.lit(c).alias("column"),
-            F.count_if(x.isNull()).alias("nulls"),
-            F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"),
-            med.alias("median"), F.stddev_samp(x).alias("std"),
-            F.count_if(x < 0).alias("negatives"),
-            F.count_if(x == 0).alias("zeros"),
-            (F.count_if(x == 0) * 100.0 / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("zero_pct"),
-            pcts.alias("percentiles"),
-            F.count_if(x > 1000).alias("above_1000"),
-        ))
-    out = _long(df, rows)
-    out = out.select("*", *[F.col("percentiles")[i].alias(f"p{int(p * 100)}") for i, p in enumerate(PERCENTILES)])
-    return out.drop("percentiles")
+def _named(df: DataFrame, cols) -> DataFrame:
+    """A row for each column, so that columns of an empty table have one too."""
+    return df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+
+
+def numeric_profile(df: DataFrame, cols) -> DataFrame:
+    """A3 + A4 + A5 + F9: one row per column, all from the counted values of one scan; percentiles are exact."""
+    counts = value_counts(df, cols)
+    x, n = F.col("value"), F.col("n")
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
+    base = counts.groupBy("column").agg(
+        total(x.isNull()).alias("nulls"), F.min(x).alias("min"), F.max(x).alias("max"),
+        (F.sum(x * n) / F.sum(F.when(x.isNotNull(), n))).alias("mean"),
+        total(x < 0).alias("negatives"), total(x == 0).alias("zeros"),
+        (total(x == 0) * 100.0 / F.sum(n)).alias("zero_pct"), total(x > 1000).alias("above_1000"))
+    far = (counts.join(F.broadcast(base.select("column", "mean")), "column").groupBy("column").agg(
+        F.sqrt(F.sum((x - F.col("mean")) * (x - F.col("mean")) * n)
+               / F.nullif(F.sum(F.when(x.isNotNull(), n)) - 1, F.lit(0))).alias("std")))
+    q = counted_quantiles(counts, [0.5, *PERCENTILES])
+    q = q.select("column", F.col("q")[0].alias("median"),
+                 *[F.col("q")[i + 1].alias(f"p{int(p * 100)}") for i, p in enumerate(PERCENTILES)])
+    out = _named(df, cols).join(base, "column", "left").join(far, "column", "left").join(q, "column", "left")
+    out = out.fillna(0, ["nulls", "negatives", "zeros", "above_1000"])
+    return out.select("column", "nulls", "min", "max", "mean", "median", "std", "negatives", "zeros", "zero_pct", "above_1000",
+                      *[f"p{int(p * 100)}" for p in PERCENTILES])
 
 
 def outlier_counts(df: DataFrame, cols) -> DataFrame:
-    """rows above each column's p95 and p99 (percentiles broadcast as one row); two scans for all columns."""
-    x = [F.col(c).cast("double") for c in cols]
-    q = df.agg(*[F.percentile(v, F.array(F.lit(0.95), F.lit(0.99))).alias(f"_q{i}") for i, v in enumerate(x)])
-    rows = [F.struct(
-        F.lit(c).alias("column"), F.first(F.col(f"_q{i}")[0]).alias("p95"), F.first(F.col(f"_q{i}")[1]).alias("p99"),
-        F.count_if(x[i] > F.col(f"_q{i}")[0]).alias("above_p95"), F.count_if(x[i] > F.col(f"_q{i}")[1]).alias("above_p99"))
-        for i, c in enumerate(cols)]
-    return _long(with_scalars(df, q), rows)
+    """rows above each column's exact p95 and p99, from the counted values of one scan."""
+    counts = value_counts(df, cols)
+    q = counted_quantiles(counts, [0.95, 0.99]).select("column", F.col("q")[0].alias("p95"), F.col("q")[1].alias("p99"))
+    above = lambda p: F.sum(F.when(F.col("value") > F.col(p), F.col("n")).otherwise(0))
+    out = counts.join(F.broadcast(q), "column").groupBy("column", "p95", "p99").agg(  # q: a row for each column
+        above("p95").alias("above_p95"), above("p99").alias("above_p99"))
+    return _named(df, cols).join(out, "column", "left").fillna(0, ["above_p95", "above_p99"])
 
 
 def top_values(df: DataFrame, col: str, k: int = 5) -> DataFrame:

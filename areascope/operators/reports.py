@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import month_label, month_start, safe_ratio, title_case
 from ._util import with_scalars
+from .order_stats import counted_quantiles, value_counts
 
 ENROL = ["enrollments_age_0_5", "enrollments_age_5_17", "enrollments_age_18_plus"]
 MEASURES = ["updates_age_5_17_bio", "updates_age_18_plus_bio", "updates_age_5_17_demo", "updates_age_18_plus_demo", *ENROL]
@@ -311,15 +312,19 @@ def correlation(df: DataFrame, cols) -> DataFrame:
 
 
 def box_stats(df: DataFrame, by: str, col: str) -> DataFrame:
-    """Exact quartiles by group; whiskers are the furthest data points within 1.5 IQR of the box."""
-    q = df.groupBy(by).agg(F.percentile(col, [0.25, 0.5, 0.75]).alias("_q"), F.min(col).alias("min"), F.max(col).alias("max"))
-    q = q.select(F.col(by).alias("_by"), F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"),
-                 "min", "max")
+    """Exact quartiles by group; whiskers are the furthest data points within 1.5 IQR of the box.
+
+    All from the counted values of one scan; a group of missing values only has an empty box.
+    """
+    counts = value_counts(df, [col], [by])
+    q = counted_quantiles(counts, [0.25, 0.5, 0.75], [by]).select(
+        F.col(by).alias("_by"), *[F.col("q")[i].alias(name) for i, name in enumerate(("q1", "median", "q3"))])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = F.when(F.col(col).between(F.col("q1") - reach, F.col("q3") + reach), F.col(col))
-    box = ["q1", "median", "q3", "min", "max"]
-    return (df.select(by, col).join(q, F.col(by).eqNullSafe(F.col("_by"))).groupBy(by, *box)
-            .agg(F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high")))
+    x = F.col("value")
+    inside = F.when(x.between(F.col("q1") - reach, F.col("q3") + reach), x)
+    return (counts.join(q, F.col(by).eqNullSafe(F.col("_by")), "left").groupBy(by, "q1", "median", "q3")
+            .agg(F.min(x).alias("min"), F.max(x).alias("max"), F.min(inside).alias("whisker_low"),
+                 F.max(inside).alias("whisker_high")))
 
 
 def alert_timeline(df: DataFrame) -> DataFrame:

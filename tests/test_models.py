@@ -33,7 +33,7 @@ def test_iforest_ranks_planted_outliers_first(spark):
     rows += [(5000 + j, 12.0 + j, -12.0 - j) for j in range(5)]
     df = spark.createDataFrame(rows, "id int, x double, y double")
     nodes, psi = IF.fit_iforest(df, ["x", "y"], ["id"], n_trees=50, seed=7)
-    scored = IF.decision_scores(IF.score_samples(df, nodes, psi, ["x", "y"]), 0.01, accuracy=None)
+    scored = IF.decision_scores(IF.score_samples(df, nodes, psi, ["x", "y"]), 0.01)
     worst = [r.id for r in scored.orderBy("anomaly_score").limit(5).collect()]
     assert sorted(worst) == [5000, 5001, 5002, 5003, 5004]
     assert scored.filter("is_anomaly = 1").count() == pytest.approx(20, abs=2)
