@@ -24,7 +24,7 @@ from ..operators import ranking as RK
 from ..operators import reports as RE
 from ..operators import trends as TR
 from ..sources import testdata as TD
-from ..sources.files import file_inventory, scan_feed
+from ..sources.files import feed_inventory, file_inventory, scan_feed
 from ..session import checkpoint_dir
 from . import runs as RU
 
@@ -530,17 +530,34 @@ def q_display_report(spark, sf_dir):
 
 @query("scan_feed_csv")
 def q_scan_feed_csv(spark, sf_dir):
-    """The biometric feed written as CSV parts, scanned back as one
-    feed (text schema, null tokens) and cleaned to its monthly table."""
+    """The biometric feed written as CSV parts in two column orders, scanned
+    back as one feed (by column name, null tokens) and cleaned to its monthly table."""
+    return CL.clean_feed(scan_feed(spark, _feed_folder(spark, sf_dir), "bio"), "bio", valid(spark, sf_dir))
+
+
+_FEEDS: set = set()
+
+
+def _feed_folder(spark, sf_dir) -> str:
+    """The biometric feed as CSV parts, written once: even pincodes in the usual column order, all others reversed."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/feeds-{abs(hash(sf_dir))}/bio"
     if (spark.sparkContext.applicationId, path) not in _FEEDS:
-        raw(spark, sf_dir)["bio"].write.mode("overwrite").option("header", True).csv(path)
+        rows = raw(spark, sf_dir)["bio"]
+        even = F.col("pincode").cast("int") % 2 == 0
+        rows.filter(even).write.mode("overwrite").option("header", True).csv(path)
+        rows.filter(~even).select(*reversed(rows.columns)).write.mode("append").option("header", True).csv(path)
         _FEEDS.add((spark.sparkContext.applicationId, path))
-    scanned = scan_feed(spark, path, "bio")
-    return CL.clean_feed(scanned, "bio", valid(spark, sf_dir))
+    return path
 
 
-_FEEDS: set = set()
+@query("feed_headers")
+def q_feed_headers(spark, sf_dir):
+    """The parts of the scanned feed by column order: rows, rows with too many cells, unreadable parts."""
+    parts = feed_inventory(spark, _feed_folder(spark, sf_dir), "bio").filter("rows > 0 or status != 'ok'")
+    return parts.groupBy(F.array_join("columns", ",").alias("columns")).agg(
+        F.sum("rows").alias("rows"), F.sum("long_rows").alias("long_rows"),
+        F.count_if(F.col("status") != "ok").alias("unreadable"),
+        F.sum(F.size("missing_columns")).alias("missing"))
 
 
 # ----------------------------------------------------------------- model run (rows-only)
@@ -595,9 +612,7 @@ QUERIES["choose_k"] = q_choose_k
 
 def q_file_inventory(spark, sf_dir):
     """Per part file rows, size, nulls and duplicates of the scanned CSV feed."""
-    QUERIES["scan_feed_csv"](spark, sf_dir).limit(1).collect()  # makes sure the parts exist
-    path = f"{checkpoint_dir(spark).rstrip('/')}/feeds-{abs(hash(sf_dir))}/bio"
-    return file_inventory(scan_feed(spark, path, "bio", with_file=True))
+    return file_inventory(scan_feed(spark, _feed_folder(spark, sf_dir), "bio", with_file=True))
 
 
 QUERIES["file_inventory"] = q_file_inventory

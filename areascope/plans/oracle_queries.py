@@ -368,6 +368,10 @@ ORACLE = {
         'FROM d ORDER BY b + dm + e DESC, district LIMIT 15'),
 }
 ORACLE["scan_feed_csv"] = ORACLE["clean_feed_bio"]
+ORACLE["feed_headers"] = raw_only(
+    " SELECT CASE WHEN CAST(pincode AS INTEGER) % 2 = 0 THEN 'date,state,district,pincode,bio_age_5_17,bio_age_17_' "
+    "ELSE 'bio_age_17_,bio_age_5_17,pincode,district,state,date' END AS columns, count(*) AS rows, "
+    "CAST(0 AS HUGEINT) AS long_rows, CAST(0 AS BIGINT) AS unreadable, CAST(0 AS HUGEINT) AS missing FROM bio_raw GROUP BY 1")
 ORACLE["date_extremes"] = raw_only(
     ", c AS (SELECT CAST(try_strptime(date, '%d-%m-%Y') AS DATE) AS date, count(*) AS records FROM demo_raw "
     "WHERE try_strptime(date, '%d-%m-%Y') IS NOT NULL GROUP BY 1) "

@@ -88,11 +88,62 @@ def test_write_model_outputs(spark):
     assert os.path.isdir(f"{d}/models/kmeans_centers") and os.path.isdir(f"{d}/models/forest")
 
 
-def test_scan_fails_on_a_part_with_another_column_order(spark, tmp_path):
+HEAD = "date,state,district,pincode,bio_age_5_17,bio_age_17_"
+
+
+def test_parts_are_united_by_column_name(spark, tmp_path):
+    """Another order, a missing, an extra and a quoted column, a byte order mark: all rows arrive in their columns."""
+    from areascope.sources import feed_inventory, scan_feed
+    _write(tmp_path, "a.csv", f"{HEAD}\n01-01-2025,x,y,100000,1,2\n")
+    _write(tmp_path, "b.csv", "bio_age_17_,pincode,district,state,date\n4,100001,\"y, z\",x,02-01-2025\n")
+    _write(tmp_path, "c.csv", f"\ufeff\"extra.col\",{HEAD}\nq,03-01-2025,NA,y,100002,5,6\n")
+    _write(tmp_path, "d.csv", f"{HEAD}\n04-01-2025,x,y,100003,7\n")
+    rows = sorted(tuple(r) for r in scan_feed(spark, str(tmp_path), "bio").collect())
+    assert rows == [("01-01-2025", "x", "y", "100000", "1", "2"), ("02-01-2025", "x", "y, z", "100001", None, "4"),
+                    ("03-01-2025", None, "y", "100002", "5", "6"), ("04-01-2025", "x", "y", "100003", "7", None)]
+    found = {r.file_name: r for r in feed_inventory(spark, str(tmp_path), "bio").collect()}
+    assert [found[n].rows for n in ("a.csv", "b.csv", "c.csv", "d.csv")] == [1, 1, 1, 1]
+    assert found["b.csv"].missing_columns == ["bio_age_5_17"] and found["c.csv"].extra_columns == ["extra.col"]
+    assert {r.status for r in found.values()} == {"ok"}
+
+
+def test_unreadable_parts_fail_the_run_and_are_listed(spark, tmp_path):
     import pytest
-    from areascope.sources.files import scan_feed
-    (tmp_path / "a.csv").write_text("date,state,district,pincode,bio_age_5_17,bio_age_17_\n01-01-2025,x,y,100000,1,2\n")
-    (tmp_path / "b.csv").write_text("date,state,pincode,district,bio_age_5_17,bio_age_17_\n01-01-2025,x,100000,y,1,2\n")
-    with pytest.raises(Exception):
-        scan_feed(spark, str(tmp_path), "bio").collect()
-    assert len(scan_feed(spark, str(tmp_path), "bio", skip_corrupt_files=True).collect()) == 1
+    from areascope.sources import feed_inventory, scan_feed
+    _write(tmp_path, "a.csv", f"{HEAD}\n01-01-2025,x,y,100000,1,2\n")
+    _write(tmp_path, "empty.csv", "")
+    _write(tmp_path, "other.csv", "name,age\nx,1\n")
+    with pytest.raises(ValueError, match="2 unreadable parts.*empty.csv: no header.*other.csv"):
+        scan_feed(spark, str(tmp_path), "bio")
+    found = {r.file_name: (r.status, r.error, r.rows) for r in feed_inventory(spark, str(tmp_path), "bio").collect()}
+    assert found == {"a.csv": ("ok", None, 1), "empty.csv": ("unreadable", "no header", 0),
+                     "other.csv": ("unreadable", "no column of the feed", 0)}
+    assert scan_feed(spark, str(tmp_path), "bio", skip_corrupt_files=True).count() == 1
+
+
+def test_rows_with_too_many_cells(spark, tmp_path):
+    import pytest
+    from areascope.sources import feed_inventory, scan_feed
+    _write(tmp_path, "a.csv", f"{HEAD}\n01-01-2025,x,y,100000,1,2\n")
+    _write(tmp_path, "b.csv", f"{HEAD}\n01-01-2025,x,y,100000,1,2\n01-01-2025,x,y,100000,1,2,3\n")
+    with pytest.raises(Exception, match="more cells than columns in b.csv"):
+        scan_feed(spark, str(tmp_path), "bio").select("state").collect()
+    found = {r.file_name: (r.status, r.rows, r.long_rows) for r in feed_inventory(spark, str(tmp_path), "bio").collect()}
+    assert found == {"a.csv": ("ok", 1, 0), "b.csv": ("unreadable", 2, 1)}
+    assert scan_feed(spark, str(tmp_path), "bio", skip_corrupt_files=True).count() == 1
+
+
+def test_one_scan_for_each_distinct_header(spark, tmp_path):
+    from areascope.sources import scan_feed
+    for i in range(4):
+        _write(tmp_path, f"a{i}.csv", f"{HEAD}\n01-01-2025,x,y,100000,1,2\n")
+        _write(tmp_path, f"b{i}.csv", "pincode,state\n100000,x\n")
+    df = scan_feed(spark, str(tmp_path), "bio")
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 2 and df.count() == 8
+
+
+def test_empty_folder_of_parts(spark, tmp_path):
+    from areascope.sources import feed_inventory, scan_feed
+    _write(tmp_path, "notes.txt", "x")
+    assert scan_feed(spark, str(tmp_path), "bio").count() == 0
+    assert feed_inventory(spark, str(tmp_path), "bio").collect() == []
