@@ -1,11 +1,10 @@
 """Isolation forest on Spark (ML6-ML8).
 
-Fitting: each tree needs only ``psi`` (<= 256) sampled rows, so a bounded pool
-is drawn by a deterministic hash of the row keys (stable under task retries),
-each pool row joins the trees whose own hash selects it, and
-``groupBy(tree).applyInPandas`` grows one tree per group (groups hold about
-2 * psi rows, independent of the table size). The forest is a node table of at
-most trees * (2 * psi - 1) rows.
+Fitting: each tree takes the ``psi`` (<= 256) rows with the smallest hashes of
+(row keys, tree), a state that tasks keep and merge, stable under retries and
+repartitioning, and ``groupBy(tree).applyInPandas`` grows one tree per group
+of exactly ``psi`` rows. The forest is a node table of at most
+trees * (2 * psi - 1) rows.
 
 Scoring is the distributed part: the bounded node arrays are broadcast and an
 Arrow ``pandas_udf`` walks all trees for a whole batch at once with NumPy.
@@ -16,18 +15,18 @@ offset = the contamination quantile of s over the data, anomaly iff s < offset.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..session import ship_package
+from ..session import cut_lineage, ship_package
 from .order_stats import quantile_values
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, size int"
-_MASK52 = (1 << 52) - 1
 
 
 def average_path_length(n):
@@ -70,34 +69,86 @@ def grow_tree(X: np.ndarray, rng: np.random.Generator, max_depth: int) -> list:
     return [feat, thr, left, right, size]
 
 
-def _unit(h):
-    return (h.bitwiseAND(F.lit(_MASK52))).cast("double") / float(1 << 52)
+#: Kept rows of a tree, as they travel between tasks: tree, hash of the row in that tree, hash of the row, features.
+_KEPT = "tree int, key long, row long, x array<double>"
+
+
+def sample_trees(df: DataFrame, feature_cols, id_cols, n_trees: int, psi: int, seed: int, rows: int) -> DataFrame:
+    """``psi`` rows for each tree, those with the smallest hashes of all ``rows`` rows: ``_KEPT``, lineage cut.
+
+    A task keeps the smallest ``psi`` hashes of its rows for each tree, whatever batches they come in; what the tasks
+    kept is merged by the same rule, so the sample does not depend on the partitioning or the size of the table. Tasks
+    don't hand on hashes beyond a bound below which four times as many are expected; should a tree get fewer than
+    ``psi`` that way, the bound is raised, so it never changes the sample. The memory of a task is trees x psi rows.
+    """
+    cols = list(feature_cols)
+    h = F.xxhash64(*[F.col(c) for c in id_cols], F.lit(seed))
+    hashed = df.select(h.alias("row"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+    share = 4.0
+    while True:
+        bound = min((1 << 63) - 1, int(-(1 << 63) + share * psi / max(rows, 1) * (1 << 64)))
+
+        def keep(batches: Iterator[pd.DataFrame], bound=bound) -> Iterator[pd.DataFrame]:
+            held: list = [None] * n_trees
+            for batch in batches:
+                if len(batch):
+                    row = batch["row"].to_numpy(np.int64)
+                    x = np.array(batch["x"].tolist(), dtype=float).reshape(len(row), len(cols))
+                    for tree in range(n_trees):
+                        held[tree] = _smallest(held[tree], _tree_key(row, tree), row, x, psi, bound)
+            for tree, kept in enumerate(held):
+                if kept is not None:
+                    key, row, x = kept
+                    yield pd.DataFrame({"tree": np.full(len(key), tree, np.int32), "key": key, "row": row, "x": list(x)})
+
+        rank = F.row_number().over(Window.partitionBy("tree").orderBy("key", "row", "x"))
+        out = cut_lineage(hashed.mapInPandas(keep, _KEPT).withColumn("_rank", rank).filter(F.col("_rank") <= psi).drop("_rank"))
+        if bound == (1 << 63) - 1 or out.count() == n_trees * psi:
+            return out
+        share *= 4
+
+
+def _smallest(held: tuple | None, key: np.ndarray, row: np.ndarray, x: np.ndarray, psi: int, bound: int) -> tuple | None:
+    """The ``psi`` rows with the smallest keys, out of those held and a new batch; ties by row hash and features."""
+    if held is not None and len(held[0]) == psi:
+        bound = min(bound, int(held[0][-1]))
+    some = np.flatnonzero(key <= bound)
+    if len(some) > psi:
+        some = some[key[some] <= np.partition(key[some], psi - 1)[psi - 1]]
+    if not len(some):
+        return held
+    key, row, x = key[some], row[some], x[some]
+    if held is not None:
+        key, row, x = np.concatenate((held[0], key)), np.concatenate((held[1], row)), np.concatenate((held[2], x))
+    order = np.lexsort((row, key))
+    if (key[order][1:] == key[order][:-1]).any():
+        order = np.lexsort((*x.T[::-1], row, key))
+    order = order[:psi]
+    return key[order], row[order], x[order]
+
+
+def _tree_key(row: np.ndarray, tree: int) -> np.ndarray:
+    """A hash of each row for one tree (splitmix64 of the row's hash and the tree)."""
+    with np.errstate(over="ignore"):
+        z = row.astype(np.uint64) + np.uint64(tree + 1) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (z ^ (z >> np.uint64(31))).view(np.int64)
 
 
 def fit_iforest(df: DataFrame, feature_cols, id_cols, n_trees: int = K.FOREST_TREES,
-                max_samples: int = K.FOREST_MAX_SAMPLES, seed: int = K.FOREST_SEED,
-                oversample: float = 2.0) -> tuple[DataFrame, int]:
-    """Returns (node table, psi)."""
+                max_samples: int = K.FOREST_MAX_SAMPLES, seed: int = K.FOREST_SEED) -> tuple[DataFrame, int]:
+    """Returns (node table, psi): every tree is grown from exactly psi = min(max_samples, rows) rows."""
     ship_package(df.sparkSession)
     n = df.count()
     psi = max(1, min(max_samples, n))
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    base = F.xxhash64(*[F.col(c) for c in id_cols], F.lit(seed))
-    pool_frac = min(1.0, 1.5 * oversample * psi * n_trees / max(n, 1))
-    pool = df.select(base.alias("_h"), *feature_cols)
-    if pool_frac < 1.0:
-        pool = pool.filter(_unit(F.col("_h")) < pool_frac)
-    per_tree = min(1.0, oversample * psi / max(pool_frac * n, 1.0))
-    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                     lambda t: _unit(F.xxhash64(F.col("_h"), t)) < per_tree)
-    members = (pool.select(F.explode(trees).alias("tree"), "_h", *feature_cols)
-               .withColumn("_key", _unit(F.xxhash64(F.col("_h"), F.col("tree")))))
-    cols = list(feature_cols)
+    members = sample_trees(df, feature_cols, id_cols, n_trees, psi, seed, n)
 
     def fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        pdf = pdf.sort_values(["_key", "_h"]).head(psi)
-        X = pdf[cols].to_numpy(dtype=float)
+        pdf = pdf.assign(_x=[tuple(x) for x in pdf["x"]]).sort_values(["key", "row", "_x"])
+        X = np.array(pdf["x"].tolist(), dtype=float)
         rng = np.random.default_rng([seed, tree])
         feat, thr, left, right, size = grow_tree(X, rng, max_depth)
         return pd.DataFrame({"tree": tree, "node": np.arange(len(feat), dtype="int32"),

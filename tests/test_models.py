@@ -132,3 +132,30 @@ def test_lloyd_pass_matches_numpy_step(spark):
         new = np.array([X[lab == j].mean(0) if (lab == j).any() else C[j] for j in range(len(C))])
         assert np.allclose(got[r][0], new)
         assert got[r][1] == pytest.approx(d.min(1).sum())
+
+
+def _kept(df):
+    return sorted((r["tree"], r["key"], r["row"], tuple(r["x"])) for r in df.collect())
+
+
+@pytest.mark.parametrize("rows", [60, 1000, 5000])
+def test_forest_samples_are_the_smallest_hashes_however_rows_are_dealt(spark, rows):
+    """Against a plain sort of all hashes: exactly min(psi, n) rows a tree at every size, equal under any partitioning."""
+    psi, trees = 100, 7
+    data = [(i // 2, float(i % 11), float(i)) for i in range(rows)]  # every id twice, with other features
+    df = spark.createDataFrame(data, "id long, x double, y double")
+    h = [r[0] for r in df.select(IF.F.xxhash64("id", IF.F.lit(3))).collect()]
+    want = []
+    for tree in range(trees):
+        key = IF._tree_key(np.array(h, np.int64), tree)
+        want += [(tree, *t) for t in sorted((int(k), g, (d[1], d[2])) for k, g, d in zip(key, h, data))[:psi]]
+    size = min(psi, rows)
+    for n in (1, 3, 17):
+        got = _kept(IF.sample_trees(df.repartition(n), ["x", "y"], ["id"], trees, size, 3, rows))
+        assert got == sorted(want) and len(got) == trees * size
+
+
+def test_forest_sample_survives_a_bound_that_was_too_low(spark):
+    df = spark.range(500).select("id", IF.F.col("id").cast("double").alias("x"))
+    right = _kept(IF.sample_trees(df, ["x"], ["id"], 5, 50, 1, 500))
+    assert _kept(IF.sample_trees(df, ["x"], ["id"], 5, 50, 1, 500_000)) == right  # takes a row count far too high
