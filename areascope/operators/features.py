@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import floor_zero, row_sum, safe_ratio
+from ..session import cut_lineage
 from ._util import attach_groups
 
 BIO_COLS = ["updates_age_5_17_bio", "updates_age_18_plus_bio"]
@@ -51,29 +52,44 @@ def activity_totals(df: DataFrame) -> DataFrame:
     })
 
 
+def district_moments(df: DataFrame, by=("district",), metrics=TEMPORAL_METRICS) -> DataFrame:
+    """One mergeable table of ``by``, n and, for each metric c, c_mean and c_dev (population deviation).
+
+    Sums, sample and population deviations of any user follow from it, so one aggregate (combined before the shuffle:
+    a hot district does not skew it) serves the district statistics, the features and the z-scores.
+    """
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[f for c in metrics for f in (F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_dev"))])
+
+
+def moment_stats(moments: DataFrame, by=("district",)) -> DataFrame:
+    """A14 from the moments: mean, sample std and sum of total activity; feed means."""
+    n = F.col("n")
+    sample = F.col("total_activity_dev") * F.sqrt(n / F.nullif(n - 1, F.lit(0)))
+    return moments.select(
+        *by, F.col("total_activity_mean").alias("district_total_activity_mean"),
+        sample.alias("district_total_activity_std"),
+        (F.col("total_activity_mean") * n).alias("district_total_activity_sum"),
+        *[F.col(f"{c}_mean").alias(f"district_{c}_mean") for c in
+          ("total_bio_updates", "total_demo_updates", "total_enrollments")])
+
+
 def district_stats(df: DataFrame, by=("district",)) -> DataFrame:
     """Per district mean, sample std and sum of total activity; feed means.
 
     Keyed by district name only (as the original: equal names in two states are
-    pooled); pass ``by=('state','district')`` to separate them. Partial
-    aggregation runs before the shuffle, so a hot district does not skew it.
+    pooled); pass ``by=('state','district')`` to separate them.
     """
-    return df.groupBy(*by).agg(
-        F.avg("total_activity").alias("district_total_activity_mean"),
-        F.stddev_samp("total_activity").alias("district_total_activity_std"),
-        F.sum("total_activity").alias("district_total_activity_sum"),
-        F.avg("total_bio_updates").alias("district_total_bio_updates_mean"),
-        F.avg("total_demo_updates").alias("district_total_demo_updates_mean"),
-        F.avg("total_enrollments").alias("district_total_enrollments_mean"),
-    )
+    return moment_stats(district_moments(df, by), by)
 
 
-def district_features(df: DataFrame, by=("district",), stats: DataFrame | None = None) -> DataFrame:
+def district_features(df: DataFrame, by=("district",), moments: DataFrame | None = None) -> DataFrame:
     """J3 + P20: join the district statistics back and relate activity to the mean.
 
-    ``stats``: the statistics, where they were taken before other columns were added.
+    ``moments``: the district moments, where they were taken before.
     """
-    df = attach_groups(df, district_stats(df, by) if stats is None else stats, by)
+    df = attach_groups(df, moment_stats(district_moments(df, by) if moments is None else moments, by), by)
     return df.withColumn("activity_vs_district_mean",
                          safe_ratio("total_activity", "district_total_activity_mean"))
 
@@ -105,13 +121,19 @@ def quality_weight(df: DataFrame) -> DataFrame:
     return df.withColumn("quality_weight", row_sum(QUALITY_COLS) / F.lit(len(QUALITY_COLS)) / 100)
 
 
-def build_features(master: DataFrame, by=("district",)) -> DataFrame:
+def master_moments(master: DataFrame, by=("district",)) -> DataFrame:
+    """The district moments of a master table, computed once: its users share the checkpoint."""
+    return cut_lineage(district_moments(activity_totals(validate_master(master)), by))
+
+
+def build_features(master: DataFrame, by=("district",), moments: DataFrame | None = None) -> DataFrame:
     """Stage 2 of the model run: every feature column next to the master columns.
 
     The area windows come first, on their own shuffle by area: behind the district
     join they would run on its partitioning, one task a district.
     """
     totals = activity_totals(validate_master(master))
-    df = district_features(temporal_features(totals), by, district_stats(totals, by))
+    moments = district_moments(totals, by) if moments is None else moments
+    df = district_features(temporal_features(totals), by, moments)
     df = df.fillna(0)
     return quality_weight(df)

@@ -14,9 +14,14 @@ run, 1,500 in all). Here every pass serves all runs at once:
   per (run, centre) counts, coordinate sums and squared distances; a group-by
   adds them up. Only centres (runs x k x dims numbers) reach the driver.
 
+* silhouettes: the last pass leaves count, vector sum and square sum of every
+  cluster; from these one more pass scores every row for the best run of each
+  k (linear squared-Euclidean form).
+
 A run stops when its summed squared centre shift is <= tol * mean feature
 variance; inertia is taken on the final centres. Empty clusters keep their
-previous centre.
+previous centre. A batch is worked through in slices, so that rows x centres
+stay below ``_CELLS`` numbers.
 """
 
 from __future__ import annotations
@@ -40,6 +45,16 @@ def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
     return ((x & np.uint64(_MASK52)).astype(np.float64) + 0.5) / float(1 << 52)
 
 
+#: Distances that a task holds at a time.
+_CELLS = 1 << 21
+
+
+def _slices(X: np.ndarray, width: int):
+    step = max(1, _CELLS // max(width, 1))
+    for start in range(0, len(X), step):
+        yield X[start:start + step]
+
+
 def _sqdist(X: np.ndarray, C: np.ndarray) -> np.ndarray:
     d = (X * X).sum(1)[:, None] - 2.0 * X @ C.T + (C * C).sum(1)[None, :]
     return np.maximum(d, 0.0)
@@ -95,17 +110,17 @@ class MultiKMeans:
             sums = np.zeros((len(stack), d))
             sq = np.zeros(len(stack))
             for pdf in it:
-                X = pdf[cols].to_numpy(dtype=float)
-                D = _sqdist(X, stack)
-                rows = np.arange(len(X))
-                for a in range(len(active)):
-                    lo, hi = offsets[a], offsets[a + 1]
-                    lab = np.argmin(D[:, lo:hi], axis=1)
-                    onehot = np.zeros((len(X), hi - lo))
-                    onehot[rows, lab] = 1.0
-                    cnt[lo:hi] += onehot.sum(axis=0)
-                    sums[lo:hi] += onehot.T @ X
-                    sq[lo:hi] += onehot.T @ D[rows, lo + lab]
+                for X in _slices(pdf[cols].to_numpy(dtype=float), len(stack)):
+                    D = _sqdist(X, stack)
+                    rows = np.arange(len(X))
+                    for a in range(len(active)):
+                        lo, hi = offsets[a], offsets[a + 1]
+                        lab = np.argmin(D[:, lo:hi], axis=1)
+                        onehot = np.zeros((len(X), hi - lo))
+                        onehot[rows, lab] = 1.0
+                        cnt[lo:hi] += onehot.sum(axis=0)
+                        sums[lo:hi] += onehot.T @ X
+                        sq[lo:hi] += onehot.T @ D[rows, lo + lab]
             yield pd.DataFrame({"slot": np.arange(len(stack), dtype="int32"), "n": cnt, "sq": sq,
                                 **{f"s{j}": sums[:, j] for j in range(d)}})
 
@@ -119,9 +134,11 @@ class MultiKMeans:
             k = len(centers[r])
             n = np.array([rows[lo + c].n for c in range(k)])
             s = np.array([[rows[lo + c][f"s{j}"] for j in range(d)] for c in range(k)])
-            inertia = float(sum(rows[lo + c].sq for c in range(k)))
+            sq = np.array([rows[lo + c].sq for c in range(k)])
             new = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], centers[r])
-            out[r] = (new, inertia)
+            # Square sums of the clusters' rows, from those of the distances to the centres of this pass.
+            squares = sq + 2 * (s * centers[r]).sum(1) - n * (centers[r] ** 2).sum(1)
+            out[r] = (new, float(sq.sum()), (n, s, squares))
         return out
 
     # -------------------------------------------------------------- fit
@@ -160,7 +177,7 @@ class MultiKMeans:
                 break
             res = self._lloyd_pass(data, cols, centers, moving)
             still = []
-            for r, (new, _) in res.items():
+            for r, (new, *_) in res.items():
                 shift = float(((new - centers[r]) ** 2).sum())
                 centers[r] = new
                 self.n_iter[r] += 1
@@ -169,6 +186,7 @@ class MultiKMeans:
             moving = still
         final = self._lloyd_pass(data, cols, centers, list(range(len(self.runs))))
         self.inertia = {r: v[1] for r, v in final.items()}
+        self.clusters = {r: v[2] for r, v in final.items()}  # count, vector sum, square sum of each cluster
         self.centers = centers
         self.best = {}
         for k in self.ks:
@@ -183,6 +201,43 @@ class MultiKMeans:
         return self.inertia[self.best[k]]
 
 
+def row_silhouettes(X: np.ndarray, centers: np.ndarray, clusters: tuple) -> np.ndarray:
+    """Silhouette of each row of X in its nearest centre's cluster, by mean squared distances to whole clusters."""
+    n, sums, squares = clusters
+    label = np.argmin(_sqdist(X, centers), axis=1)
+    rows, many = np.arange(len(X)), np.maximum(n, 1)
+    mean = (X * X).sum(1)[:, None] + (squares / many)[None, :] - 2.0 * X @ (sums / many[:, None]).T
+    own = n[label]
+    inside = mean[rows, label] * own / np.maximum(own - 1, 1)
+    mean[:, n == 0] = np.inf
+    mean[rows, label] = np.inf
+    outside = mean.min(axis=1)
+    most = np.maximum(inside, outside)
+    with np.errstate(invalid="ignore"):
+        out = np.where(most > 0, (outside - inside) / most, 0.0)
+    return np.where((own <= 1) | ~np.isfinite(outside), 0.0, out)
+
+
+def silhouettes(df: DataFrame, cols, model: MultiKMeans) -> list[tuple]:
+    """(k, mean silhouette) of the best run for each k, all in one pass; a sum and a count a task and k travel."""
+    ship_package(df.sparkSession)
+    best = {k: (model.centers_of(k), model.clusters[model.best[k]]) for k in model.ks}
+    width = sum(2 * k for k in model.ks)
+
+    def score(batches):
+        total, rows = dict.fromkeys(best, 0.0), 0
+        for pdf in batches:
+            for X in _slices(pdf.to_numpy(dtype=float), width):
+                rows += len(X)
+                for k, (centers, clusters) in best.items():
+                    total[k] += float(row_silhouettes(X, centers, clusters).sum())
+        yield pd.DataFrame({"k": list(total), "total": list(total.values()), "n": [rows] * len(total)})
+
+    sums = df.select(*cols).mapInPandas(score, "k int, total double, n long").groupBy("k").agg(
+        (F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("mean")).collect()  # a row for each k
+    return sorted((r["k"], r["mean"] or 0.0) for r in sums)
+
+
 def assign(df: DataFrame, cols, centers: np.ndarray, out: str = "cluster_id") -> DataFrame:
     """Nearest-centre label per row (Arrow-batched, centres are k x dims)."""
     ship_package(df.sparkSession)

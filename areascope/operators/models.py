@@ -93,17 +93,17 @@ def choose_k(vectors: DataFrame, k_min: int = K.MIN_CLUSTERS, k_max: int = K.MAX
 
 def choose_k_batched(vectors: DataFrame, cols, id_cols, k_min: int = K.MIN_CLUSTERS,
                      k_max: int = K.MAX_CLUSTERS, n_init: int = K.KMEANS_N_INIT, seed: int = K.KMEANS_SEED,
-                     max_iter: int = 300, tol: float = 1e-4, threads: int = 6):
+                     max_iter: int = 300, tol: float = 1e-4):
     """ML2 + ML4 with every (k, seed) run sharing each pass over the data
     (``kmeans_batch.MultiKMeans``: k-means++ seeding, Lloyd iterations, the
-    original's relative tolerance). Silhouettes score the best run per k.
+    original's relative tolerance). One more pass scores the best run of every k.
     Returns (best_k, fitted MultiKMeans, [(k, silhouette)])."""
-    from .kmeans_batch import MultiKMeans, assign
+    from .kmeans_batch import MultiKMeans, silhouettes
     ks = list(range(k_min, k_max + 1))
     mk = MultiKMeans(ks, n_init, seed, max_iter, tol).fit(vectors, cols, id_cols)
-    sil = _parallel(lambda k: (k, silhouette(assign(vectors, cols, mk.centers_of(k)))), ks, threads)
+    sil = silhouettes(vectors, cols, mk)
     best_k = max(sil, key=lambda kv: (kv[1], -kv[0]))[0]
-    return best_k, mk, sorted(sil)
+    return best_k, mk, sil
 
 
 def cluster_stats(df: DataFrame) -> DataFrame:

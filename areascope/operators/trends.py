@@ -8,18 +8,22 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import trend_status
 from ._util import attach_groups
+from .features import district_moments
 
 Z_METRICS = ["total_activity", "total_bio_updates", "total_demo_updates", "total_enrollments"]
 
 
-def zscores(df: DataFrame, cols=Z_METRICS, by=("district",)) -> DataFrame:
+def zscores(df: DataFrame, cols=Z_METRICS, by=("district",), moments: DataFrame | None = None) -> DataFrame:
     """(x - mean) / population std within the district; zero std -> 0.
 
     A grouped aggregate joined back instead of an unbounded window, so a hot
     district is pre-aggregated map-side rather than buffered in one task.
+    ``moments``: the district moments of the same rows, where they were taken before.
     """
-    stats = df.groupBy(*by).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols],
-                                *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
+    if moments is None:
+        moments = district_moments(df, by, cols)
+    stats = moments.select(*by, *[F.col(f"{c}_mean").alias(f"_m_{c}") for c in cols],
+                           *[F.col(f"{c}_dev").alias(f"_s_{c}") for c in cols])
     out = attach_groups(df, stats, by)
     out = out.withColumns({
         f"{c}_zscore": F.coalesce((F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0)),
@@ -38,5 +42,5 @@ def trend_flags(df: DataFrame, growth: str = "total_activity_mom_growth", z: str
     return df.withColumn("trend_status", trend_status())
 
 
-def analyze_trends(df: DataFrame, by=("district",)) -> DataFrame:
-    return trend_flags(zscores(df, by=by))
+def analyze_trends(df: DataFrame, by=("district",), moments: DataFrame | None = None) -> DataFrame:
+    return trend_flags(zscores(df, by=by, moments=moments))

@@ -25,7 +25,7 @@ from ..operators import reports as RE
 from ..operators import trends as TR
 from ..sources import testdata as TD
 from ..sources.files import feed_inventory, file_inventory, scan_feed
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, cut_lineage
 from . import runs as RU
 
 SCALE = 4
@@ -330,7 +330,9 @@ def q_district_stats(spark, sf_dir):
 @query("analyze_trends")
 def q_trends(spark, sf_dir):
     """District z-scores, drop/spike/z flags and trend status."""
-    t = TR.analyze_trends(FE.build_features(master_table(spark, sf_dir)))
+    master = master_table(spark, sf_dir)
+    moments = FE.master_moments(master)
+    t = TR.analyze_trends(FE.build_features(master, moments=moments), moments=moments)
     return t.select(*K.KEYS, *[f"{c}_zscore" for c in TR.Z_METRICS], "drop_alert", "spike_alert",
                     "zscore_anomaly", "trend_status")
 
@@ -338,7 +340,7 @@ def q_trends(spark, sf_dir):
 @query("scale_features")
 def q_scale(spark, sf_dir):
     """ML1: standardised features (population std, zero variance -> 0)."""
-    f = FE.build_features(master_table(spark, sf_dir))
+    f = cut_lineage(FE.build_features(master_table(spark, sf_dir)).select(*K.KEYS, *K.FEATURE_COLUMNS))
     s = MO.apply_scaler(f, MO.fit_scaler(f, K.FEATURE_COLUMNS), K.FEATURE_COLUMNS)
     return s.select(*K.KEYS, *[f"{c}_scaled" for c in K.FEATURE_COLUMNS])
 

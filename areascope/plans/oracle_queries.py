@@ -229,11 +229,10 @@ ORACLE = {
         _r(f"CASE WHEN s_{c} > 0 THEN ({c} - m_{c}) / s_{c} ELSE 0 END", f"{c}_scaled") for c in K.FEATURE_COLUMNS)
         + " FROM feat, sc", FEATURES + SCALER),
     "rank_pct": with_master(
-        "SELECT year_month, state, district, pincode, total_activity_demo, "
-        "round((rank() OVER (ORDER BY total_activity_demo) - 1 + (count(*) OVER (PARTITION BY total_activity_demo) + 1) / 2.0)"
-        " / count(*) FILTER (WHERE total_activity_demo IS NOT NULL) OVER (), 4) AS rank_pct FROM master "
-        "WHERE total_activity_demo IS NOT NULL UNION ALL SELECT year_month, state, district, pincode, "
-        "total_activity_demo, NULL FROM master WHERE total_activity_demo IS NULL"),
+        ", t AS (SELECT total_activity_demo AS x, count(*) AS ties FROM master WHERE total_activity_demo IS NOT NULL GROUP BY 1), "
+        "r AS (SELECT x, round((sum(ties) OVER (ORDER BY x) - ties + (ties + 1) / 2.0) / sum(ties) OVER (), 4) AS rank_pct FROM t) "
+        "SELECT year_month, state, district, pincode, total_activity_demo, rank_pct "
+        "FROM master LEFT JOIN r ON total_activity_demo = x"),
     # ------------------------------------------------------------ reports
     "title_case_names": with_master(
         "SELECT state, district, "

@@ -79,7 +79,8 @@ def model_run(master: DataFrame, n_init: int = K.KMEANS_N_INIT, k_min: int = K.M
     feature_cols = [c for c in K.FEATURE_COLUMNS if c not in keep]
     # The features (one window shuffle of the master) feed the scaler statistics
     # and the scaling: materialise them once instead of evaluating them twice.
-    feats = cut_lineage(FE.build_features(master, district_by).select(*keep, *feature_cols))
+    moments = FE.master_moments(master, district_by)  # for the features and the z-scores
+    feats = cut_lineage(FE.build_features(master, district_by, moments).select(*keep, *feature_cols))
     scaler = cut_lineage(MO.fit_scaler(feats, K.FEATURE_COLUMNS))
     scaled = MO.apply_scaler(feats, scaler, K.FEATURE_COLUMNS).select(*keep, *SCALED)
     vec = MO.assemble(scaled, SCALED)
@@ -104,7 +105,7 @@ def model_run(master: DataFrame, n_init: int = K.KMEANS_N_INIT, k_min: int = K.M
     lap("isolation_forest")
     ranked = RK.rank_pct(scored, "anomaly_score", "risk_percentile")
     ranked = ranked.withColumn("risk_category", risk_category())
-    trends = TR.analyze_trends(ranked, district_by)
+    trends = TR.analyze_trends(ranked, district_by, moments)
     mapping = MO.profile_mapping(trends)
     labelled = MO.label_profiles(trends, mapping)
     result = cut_lineage(IN.generate_insights(labelled))

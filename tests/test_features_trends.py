@@ -85,3 +85,24 @@ def test_district_stats_sample_std(spark):
     s = {r.district: r for r in FE.district_stats(FE.activity_totals(m)).collect()}
     assert s["d"].district_total_activity_std == pytest.approx(pd.Series([1, 2]).std())
     assert s["e"].district_total_activity_std is None  # one row; features fill it with 0
+
+
+def test_one_moment_table_serves_statistics_and_scores(spark):
+    """Sample and population deviations of one aggregate agree with those taken apart, and with the shared form."""
+    m = master_rows(spark, [("2025-03", "x", 400001, 5, 1, 0), ("2025-03", "x", 400002, 9, 2, 3), ("2025-04", "x", 400001, 1, 0, 8),
+                            ("2025-03", "y", 400003, 4, 4, 4)])
+    totals = FE.activity_totals(FE.validate_master(m))
+    own = {r.district: r for r in FE.district_stats(totals).collect()}
+    apart = {r.district: r for r in totals.groupBy("district").agg(
+        F.stddev_samp("total_activity").alias("s"), F.sum("total_activity").alias("t")).collect()}
+    for d in ("x", "y"):
+        assert own[d].district_total_activity_std == pytest.approx(apart[d].s) if apart[d].s is not None else (
+            own[d].district_total_activity_std is None)
+        assert own[d].district_total_activity_sum == pytest.approx(apart[d].t)
+    moments = FE.master_moments(m)
+    shared = TR.analyze_trends(FE.build_features(m, moments=moments), moments=moments)
+    alone = TR.analyze_trends(FE.build_features(m))
+    key = lambda r: (r.year_month, r.pincode)
+    assert sorted(map(key, shared.collect())) == sorted(map(key, alone.collect()))
+    for a, b in zip(sorted(shared.collect(), key=key), sorted(alone.collect(), key=key)):
+        assert a.total_activity_zscore == pytest.approx(b.total_activity_zscore) and a.trend_status == b.trend_status

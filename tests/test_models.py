@@ -159,3 +159,30 @@ def test_forest_sample_survives_a_bound_that_was_too_low(spark):
     df = spark.range(500).select("id", IF.F.col("id").cast("double").alias("x"))
     right = _kept(IF.sample_trees(df, ["x"], ["id"], 5, 50, 1, 500))
     assert _kept(IF.sample_trees(df, ["x"], ["id"], 5, 50, 1, 500_000)) == right  # takes a row count far too high
+
+
+def test_silhouettes_of_all_k_in_one_pass_equal_the_evaluator(spark):
+    """To 1e-9, with a cluster of one row; slices don't change them."""
+    from areascope.operators import kmeans_batch as KB
+    from areascope.operators import models as MO
+    rng = np.random.default_rng(3)
+    data = np.vstack([rng.normal(c, 0.6, (120, 3)) for c in (0, 3, 7)] + [[[60.0, 60.0, 60.0]]])
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(data)], "id long, a double, b double, c double")
+    cols = ["a", "b", "c"]
+    model = KB.MultiKMeans([2, 3, 4, 5], n_init=2, seed=5).fit(df, cols, ["id"])
+    got = dict(KB.silhouettes(df, cols, model))
+    for k in (2, 3, 4, 5):
+        want = MO.silhouette(MO.assemble(KB.assign(df, cols, model.centers_of(k)), cols))
+        assert got[k] == pytest.approx(want, abs=1e-9)
+
+
+def test_scoring_all_k_is_one_pass(spark):
+    """One job for all k, where the evaluator needs one or more for each."""
+    from areascope.operators import kmeans_batch as KB
+    df = spark.range(300).select("id", (IF.F.col("id") % 7).cast("double").alias("a"))
+    model = KB.MultiKMeans([3, 4, 5], n_init=1).fit(df, ["a"], ["id"])
+    spark.sparkContext.setJobGroup("sil", "silhouettes")
+    got = KB.silhouettes(df, ["a"], model)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("sil")
+    spark.sparkContext.setJobGroup("", "")
+    assert len(got) == 3 and len(jobs) <= 2  # a shuffle stage that AQE submits, and the result
