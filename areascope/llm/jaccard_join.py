@@ -11,9 +11,12 @@ expanded to member sets and verified on the whole texts.
 
 Components need no more links than span them. A first round therefore verifies
 one partner of each group, the member of its buckets whose shingles are most
-common (the centre of a family of near copies). The second round takes, of all
-pairs that pass the filters, those whose ends are not connected yet, so no
-link between different components is lost, and no family is paired out.
+common (the centre of a family of near copies). For the second round, a set is
+first counted against its buckets as a whole: only if it shares enough prefix
+shingles with sets of other components and of a size that can be similar does
+it meet them. Of the pairs that pass the filters, those are verified whose ends
+are not connected yet, so no link between different components is lost, and no
+family is paired out.
 
 Exactness: shingles and sets are known by 64-bit fingerprints; among 10^10
 sets a handful may collide. Frequencies only order the shingles: a shingle
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -46,14 +49,16 @@ WORDS = 5
 PERCENT = 75
 #: Shingles counted together in a task, the least count there that is told, and the largest table of frequent ones.
 STRETCH, TOLD, FREQUENT = 1 << 21, 4, 1 << 20
-#: Percentage of the wanted overlap by which the position filter is eased, to see that many common shingles.
-SLACK = 5
 #: Groups in a bucket from which its shingle counts as frequent.
 LARGE = 16
 #: Buckets of each group that are asked for a centre in the first round.
 VOTES = 8
 #: Of these, how many must name the same centre.
 AGREED = 3
+#: Rounds after the first in which sets that can still meet another component ask one partner.
+ROUNDS = 2
+#: Bands of set sizes for a factor e.
+BANDS = 40
 #: Keys of wanted texts that may be broadcast (8 bytes each); beyond, they are joined by shuffle.
 WANTED = 500_000
 
@@ -262,6 +267,97 @@ def verify(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, perc
     return links
 
 
+def _in_both(n: Column, m: Column, percent: int) -> Column:
+    """The least number of common shingles that similar sets of n and m shingles have in both their prefixes.
+
+    The common ones come in one order in both, so those outside a prefix are outside that of the larger set at most.
+    """
+    overlap = F.ceil((n + m) * percent / (100 + percent))
+    return overlap - F.ceil(F.greatest(n, m) * percent / 100) + 1
+
+
+def _promising(open_: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``open_`` (token, gid, n, pos, sid, root) that can belong to a similar pair, with ``band`` and ``want``.
+
+    A set that is similar to one of another component, of a certain size, shares that many prefix shingles with it; so
+    it must share that many with the sets of about that size and other components taken together. This counts against
+    the buckets, not against their members: a far copy of a large family, most of whose rare shingles nobody shares,
+    goes before it meets the family. Sizes are taken in bands of 2.5 %; ``want`` is a band in which a set may find a
+    partner, ``band`` its own, ``size`` the sets of that band in the bucket, ``probes`` see ``_candidates``. Rows of whole
+    groups (pos -1) stay as they are.
+    """
+    groups = open_.filter("pos < 0").withColumns({"band": F.lit(-1), "want": F.lit(-1)})
+    rows = open_.filter("pos >= 0").withColumn("band", F.floor(F.log(F.col("n").cast("double")) * BANDS).cast("int"))
+    held = (rows.groupBy("token", "band").agg(F.min("root").alias("low"), F.max("root").alias("high"),
+                                              F.count("*").alias("size")).withColumnRenamed("band", "want"))
+    n = F.col("n").cast("double")
+    # The sizes of a band, a little wider; between them the bound first rises, then falls.
+    least = F.greatest(F.floor(F.exp(F.col("want") / BANDS)) - 1, F.floor(n * percent / 100), F.lit(1))
+    most = F.least(F.ceil(F.exp((F.col("want") + 1) / BANDS)) + 1, F.ceil(n * 100 / percent))
+    bound = F.greatest(F.least(_in_both(n, least, percent), _in_both(n, most, percent)), F.lit(1))
+    hits = written(rows.join(held, "token")
+                   .filter((least <= most) & ((F.col("low") != F.col("root")) | (F.col("high") != F.col("root"))))
+                   .select("token", "gid", "n", "pos", "sid", "root", "band", "want", "size", bound.alias("bound")), "bucket-hits")
+    wants = (hits.groupBy("sid", "want").agg((F.count("*") - F.first("bound") + 1).cast("int").alias("probes"))
+             .filter("probes >= 1"))
+    kept = hits.drop("bound").join(wants, ["sid", "want"])
+    columns = ["token", "gid", "n", "pos", "sid", "root", "band", "want", "size", "probes"]
+    groups = groups.withColumns({"size": F.lit(0).cast("long"), "probes": F.lit(0)})
+    return written(kept.select(*columns).unionByName(groups.select(*columns)), "promising")
+
+
+def _candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of promising sets that share enough prefix shingles, and those of one group.
+
+    Of c shingles that a set has in buckets with others, a partner shares ``bound`` at least, so it is met through any
+    c - bound + 1 of them: a set probes with its ``probes`` least crowded ones, the one of a pair that has fewer probes
+    meets the other. What is met is counted over all shared prefix shingles of the two.
+    """
+    single = rows.filter("pos >= 0")
+    turn = F.row_number().over(Window.partitionBy("sid", "want").orderBy("size", "token"))
+    x = single.withColumn("turn", turn).filter("turn <= probes").alias("x")
+    y = single.alias("y")
+    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+    first = ((F.col("x.probes") < F.col("y.probes"))
+             | ((F.col("x.probes") == F.col("y.probes")) & (F.col("x.sid") < F.col("y.sid"))))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.want") == F.col("y.band"))
+                 & (F.col("x.band") == F.col("y.want")) & first & (F.col("x.root") != F.col("y.root"))
+                 & (small * 100 >= large * percent))
+    pairs = written(met.select(F.col("x.sid").alias("x"), F.col("x.want").alias("x_want"), F.col("x.n").alias("x_n"),
+                               F.col("y.sid").alias("y"), F.col("y.want").alias("y_want"), F.col("y.n").alias("y_n"))
+                    .distinct(), "met-pairs")
+    tokens = written(single.groupBy("sid", "want").agg(F.collect_list("token").alias("tokens")), "tokens-of-sets")
+    of = [tokens.select(F.col("sid").alias(c), F.col("want").alias(f"{c}_want"), F.col("tokens").alias(f"{c}_tokens"))
+          for c in ("x", "y")]
+    enough = F.size(F.array_intersect("x_tokens", "y_tokens")) >= _in_both(F.col("x_n"), F.col("y_n"), percent)
+    counted = pairs.join(of[0], ["x", "x_want"]).join(of[1], ["y", "y_want"]).filter(enough).select("x", "y")
+    u, v = rows.filter("pos < 0").alias("u"), rows.filter("pos < 0").alias("v")
+    one_group = u.join(v, (F.col("u.token") == F.col("v.token")) & (F.col("u.sid") < F.col("v.sid"))
+                       & (F.col("u.root") != F.col("v.root"))).select(F.col("u.sid").alias("x"), F.col("v.sid").alias("y"))
+    return counted.unionByName(one_group).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _nominated(rows: DataFrame, weights: DataFrame, percent: int) -> DataFrame:
+    """At most one pair (a, b) for each promising set: it and the set that most of its buckets name.
+
+    A bucket names the member with the most common shingles, to its own component the best of the others.
+    """
+    rows = rows.filter("pos >= 0").join(weights, "gid")
+    told = F.struct("weight", "sid", "root", "n")
+    of_root = rows.groupBy("token", "band", "root").agg(F.max(told).alias("c"))
+    best = of_root.groupBy("token", "band").agg(F.max("c").alias("c1"))
+    second = (of_root.join(best, ["token", "band"]).filter(F.col("root") != F.col("c1.root"))
+              .groupBy("token", "band").agg(F.max("c").alias("c2")))
+    named = best.join(second, ["token", "band"], "left").withColumnRenamed("band", "want")
+    to = F.when(F.col("c1.root") != F.col("root"), F.col("c1")).otherwise(F.col("c2"))
+    votes = (rows.join(named, ["token", "want"]).withColumn("to", to)
+             .filter((F.col("to.weight") > F.col("weight"))
+                     & (F.least("n", "to.n") * 100 >= F.greatest("n", "to.n") * percent))
+             .groupBy("sid", F.col("to.sid").alias("other")).agg(F.count("*").alias("count")))
+    chosen = votes.groupBy("sid").agg(F.max(F.struct("count", "other")).alias("v")).select("sid", F.col("v.other").alias("other"))
+    return chosen.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
+
+
 def _placed(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, t0 (hash of the text), n and root, the component's set or null without words, for every row of ``docs``."""
     spark = docs.sparkSession
@@ -304,31 +400,31 @@ def _placed(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     release(spark)
 
-    # Second round: what the filters let through between components that the first round left apart.
-    placed = written(members.join(roots, members["sid"] == roots["u"], "left")
-                     .select("gid", "sid", F.coalesce("root", "sid").alias("root")), "placed")
+    # Further rounds of this kind, for the sets that can still meet another component: each asks the set whose shingles
+    # are most common among those of other components in its buckets. What can be linked to a family mostly is by then.
+    weights = written(asked.select("gid", "weight").distinct(), "weights")
     whole_groups = first_of.filter("k > 1").select(F.col("gid").alias("token"), "gid").join(
-        members.select("gid", "n").distinct(), "gid").select("token", "gid", "n", F.lit(0).alias("pos"))
-    bucket = shared.select("token", "gid", "n", "pos").unionByName(whole_groups).join(placed, "gid")
-    apart = bucket.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-    open_ = written(bucket.join(apart.select("token"), "token", "left_semi").distinct(), "open-buckets")
-    # Similar sets of n and m shingles have ``overlap`` in common. Behind the k-th common one there are at least
-    # overlap - k more in both sets, so the first ``slack`` + 1 common ones lie where ``rest`` allows it, and all but
-    # need(max) - 1 lie in both prefixes. Pairs that meet less often go before any text is read.
-    x, y = open_.alias("x"), open_.alias("y")
-    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    overlap = F.expr(f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}")
-    slack = F.expr(f"(({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}) * {SLACK} div 100")
-    rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    in_both = overlap - F.expr(f"({percent} * greatest(x.n, y.n) + 99) div 100") + 1
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid"))
-                 & (F.col("x.root") != F.col("y.root")) & (small * 100 >= large * percent) & (rest >= overlap - slack))
-    more = (met.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.least(slack + 1, in_both).alias("least"),
-                       (F.col("x.gid") == F.col("y.gid")).alias("one_group"))
-            .groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("least").alias("least"),
-                                   F.max("one_group").alias("one_group"))
-            .filter(F.col("one_group") | (F.col("shared") >= F.col("least"))).select("a", "b"))
+        members.select("gid", "n").distinct(), "gid").select("token", "gid", "n", F.lit(-1).alias("pos"))
+    every_bucket = shared.select("token", "gid", "n", "pos").unionByName(whole_groups)
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for turn in range(ROUNDS + 1):
+        placed = written(members.join(roots, members["sid"] == roots["u"], "left")
+                         .select("gid", "sid", F.coalesce("root", "sid").alias("root")), "placed")
+        bucket = every_bucket.join(placed, "gid")
+        apart = bucket.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+        open_ = written(bucket.join(apart.select("token"), "token", "left_semi").distinct(), "open-buckets")
+        open_ = _promising(open_, percent)
+        release(spark)
+        if turn == ROUNDS:
+            break
+        asked_now = written(_nominated(open_, weights, percent).join(tried, ["a", "b"], "left_anti"), "more-pairs")
+        links = written(links.unionByName(verify(asked_now, sets, texts, words, percent)), "links-so-far")
+        tried = tried.unionByName(asked_now)
+        roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        release(spark)
+
+    # Last round: what the filters let through between components that are still apart.
+    more = _candidates(open_, percent)
     more = written(more.join(tried, ["a", "b"], "left_anti"), "second-pairs")
     links = links.unionByName(verify(more, sets, texts, words, percent))
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
