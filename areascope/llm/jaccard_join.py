@@ -410,9 +410,12 @@ def _placed(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     for turn in range(ROUNDS + 1):
         placed = written(members.join(roots, members["sid"] == roots["u"], "left")
                          .select("gid", "sid", F.coalesce("root", "sid").alias("root")), "placed")
-        bucket = every_bucket.join(placed, "gid")
+        if turn:  # sets that could not meet another component before cannot do so now
+            bucket = open_.select("token", "gid", "n", "pos", "sid").distinct().join(placed.select("sid", "root"), "sid")
+        else:
+            bucket = every_bucket.join(placed, "gid")
         apart = bucket.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-        open_ = written(bucket.join(apart.select("token"), "token", "left_semi").distinct(), "open-buckets")
+        open_ = written(bucket.join(apart.select("token"), "token", "left_semi"), "open-buckets")
         open_ = _promising(open_, percent)
         release(spark)
         if turn == ROUNDS:
