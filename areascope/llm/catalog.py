@@ -68,7 +68,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of each document by its nearest centroid."""
     docs = table(spark, sf_dir, "documents").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", "lang")
-    model = language.fit(docs, docs.filter(~F.col("held_out")))
+    model = language.fit(docs.filter(~F.col("held_out")))
     return language.identify(docs, model, ["doc_id", "held_out"])
 
 

@@ -8,7 +8,7 @@ all of the centroid's own members did is marked as rejected.
 
 Bounds: at most about ``per_language`` documents of each language are
 clustered, drawn by the hash of the id; frequencies are counted over all
-documents, and all are classified.
+documents that may be learnt from, and all documents are classified.
 
 Defined results: ``und`` with score 0 for texts that are null or without a
 letter, and for all texts if nothing could be learnt; null languages are not
@@ -73,10 +73,10 @@ def cluster(x: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]
     return c, (x @ c.T).argmax(axis=1)
 
 
-def fit(docs: DataFrame, labelled: DataFrame, options: Options = Options()) -> Model:
-    """``docs``: text of all documents; ``labelled``: doc_id, text, lang of those that may be learnt from."""
-    ship_package(docs.sparkSession)
-    idf = document_frequencies(docs, features, DIMS)
+def fit(labelled: DataFrame, options: Options = Options()) -> Model:
+    """``labelled``: doc_id, text, lang of the documents that may be learnt from; no other text has a say in the model."""
+    ship_package(labelled.sparkSession)
+    idf = document_frequencies(labelled.filter(F.col("lang").isNotNull()), features, DIMS)
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     each = cut_lineage(known.groupBy("lang").count().select(F.col("lang").alias("of"), F.col("count").alias("n")))
     each = F.broadcast(each) if small_enough(each, MAX_LANGUAGES) else each  # else texts would meet by language

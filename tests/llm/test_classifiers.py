@@ -55,10 +55,10 @@ def test_edges(spark, docs_of, clash):
         assert len(t) == len(EDGE) and all(0 <= r["p_toxic"] <= 1 for r in t)
     assert N.quality(docs_of([]), some, ["doc_id"]).count() == 0 == X.score(docs_of([]), X.fit(some), ["doc_id"]).count()
     train = docs_of([(1, "the cat and the dog", "en"), (2, "der Hund und die Katze", "de"), (3, None, "fr"), (4, "x y", None)])
-    out = L.identify(docs, L.fit(docs, train), ["doc_id"]).collect()
+    out = L.identify(docs, L.fit(train), ["doc_id"]).collect()
     by = {r["doc_id"]: r for r in out}
     assert len(out) == len(EDGE) and {by[i]["lang_pred"] for i in (1, 2, 3)} == {"und"} and by[4]["lang_pred"] in ("en", "de")
-    nothing = L.fit(docs, train.limit(0))
+    nothing = L.fit(train.limit(0))
     assert {r["lang_pred"] for r in L.identify(docs, nothing, ["doc_id"]).collect()} == {"und"}
 
 
@@ -91,3 +91,13 @@ def test_chain_feeds_earlier_probabilities():
     w = [np.array([2.0, -1.0]), np.array([0.0, 3.0, -2.0])]
     p = X.predict(np.array([[0.0], [1.0]], np.float32), w)
     assert np.allclose(p[:, 1], 1 / (1 + np.exp(-(3 * p[:, 0] - 2))))
+
+
+def test_language_learns_nothing_from_held_out_texts(spark, tmp_path):
+    """Other held-out texts leave the scores of all other documents as they are."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    other = docs.withColumn("text", F.when(C.held_out(F.col("doc_id")), F.lit("zzz qqq " * 40)).otherwise(F.col("text")))
+    other.write.parquet(f"{tmp_path}/documents.parquet")
+    scores = [{r["doc_id"]: (r["lang_pred"], r["score"]) for r in
+               C.op7_language(spark, sf).filter("not held_out").collect()} for sf in (SF, str(tmp_path))]
+    assert scores[0] == scores[1] and len(scores[0]) > 100

@@ -21,7 +21,7 @@ def test_pipeline_against_brute_force(spark):
         if judged[6]:
             rows.append((d, judged[-1]))
     rows = [(d, dict(rows)[d]) for d, _, c in brute.components(rows) if d == c]
-    left = brute.dedup([t for _, t in rows], 400)
+    left = brute.dedup([t for _, t in rows], corpus_pipeline.PASSAGE)
     kept = {d for (d, t), (n, gone, _, _) in zip(rows, left) if gone < n}
     out = corpus_pipeline.run(spark, SF).collect()
     ids = {r["doc_id"] for r in out}
@@ -43,3 +43,19 @@ def test_sql(spark, name):
     assert sorted(want.columns) == sorted(got.columns)
     cols = sorted(want.columns)
     assert sorted(map(str, want.project(", ".join(cols)).fetchall())) == sorted(str(tuple(r)) for r in got.select(cols).collect())
+
+
+def test_passages_of_over_fifty_words_go(spark, docs_of):
+    """A passage of 51 words in two documents goes from both, their own words stay; equal to brute force at that length."""
+    import corpus_pipeline as P
+
+    from . import brute
+    passage = " ".join(f"shared{i % 17}w{i}" for i in range(51))
+    rows = [(i, " ".join(f"own{i}x{j}" for j in range(60)) + f". {passage} " + " ".join(f"end{i}y{j}" for j in range(40)))
+            for i in range(2)] + [(5, " ".join(f"clean{j}" for j in range(90)))]
+    got = {r["doc_id"]: r["text"] for r in P.repeated_passages(spark, docs_of(rows), "").collect()}
+    want = brute.dedup([t for _, t in rows], P.PASSAGE)
+    for (i, _), (n, gone, _, kept) in zip(rows, want):
+        assert brute.sha(got[i].encode()) == kept
+        assert (gone > 0) == (i < 2)
+    assert "shared3w20" not in got[0] and "own0x58" in got[0] and "end1y39" in got[1]
