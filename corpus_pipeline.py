@@ -14,6 +14,10 @@ from areascope.llm import decontaminate, jaccard_join, mixing, quality_rules, su
 from areascope.llm.common import release, table, written
 
 
+#: Bytes from which a repeated passage goes: 50 words of the usual six bytes are over 300.
+PASSAGE = 240
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without the lines that fail them."""
     return quality_rules.clean_documents(docs)
@@ -25,8 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 400-byte strings that also start elsewhere; those with no word left go."""
-    return suffix_dedup.clean_documents(docs)
+    """Documents without the strings of PASSAGE bytes that also start elsewhere; those with no word left go."""
+    return suffix_dedup.clean_documents(docs, length=PASSAGE, gram=64)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
