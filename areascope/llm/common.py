@@ -64,18 +64,12 @@ def schema_of(df: DataFrame, keep: list[str], more: str) -> T.StructType:
 def map_rows(df: DataFrame, fn: Callable[..., tuple], schema: T.StructType) -> DataFrame:
     """``fn`` over the columns of each row, in Arrow batches; one output row for each input row.
 
-    Columns are handed over as Python values, null as ``None``.
+    Columns are handed over as Python values, null as ``None``; a few hundred rows are held as such at a time.
     """
-    ship_package(df.sparkSession)
-    arrow = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [fn(*values) for values in zip(*(c.to_pylist() for c in batch.columns))]
-            columns = list(zip(*rows)) if rows else [()] * len(arrow)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+    def one(*values) -> Iterator[tuple]:
+        yield fn(*values)
 
-    return df.mapInArrow(run, schema)
+    return flat_map_rows(df, one, schema, rows=512)
 
 
 def flat_map_rows(df: DataFrame, fn: Callable[..., Iterator[tuple]], schema: T.StructType, rows: int = 128) -> DataFrame:

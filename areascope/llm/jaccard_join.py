@@ -48,7 +48,7 @@ WORDS = 5
 #: Similarity as a whole percentage: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Shingles counted together in a task, the least count there that is told, and the largest table of frequent ones.
-STRETCH, TOLD, FREQUENT = 1 << 21, 4, 1 << 20
+STRETCH, TOLD, FREQUENT = 1 << 20, 4, 1 << 20
 #: Groups in a bucket from which its shingle counts as frequent.
 LARGE = 16
 #: Buckets of each group that are asked for a centre in the first round.
@@ -127,8 +127,8 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
                  pa.array(np.append(np.zeros(len(t), np.int64), size))], schema=arrow)
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(shingles(text, words))
+            for text in batch.column(0):
+                held.append(shingles(text.as_py(), words))
                 size += len(held[-1])
                 if size > STRETCH:
                     yield tell()
