@@ -56,7 +56,7 @@ VOTES = 8
 #: Of these, how many must name the same centre.
 AGREED = 3
 #: Rounds after the first in which sets that can still meet another component ask one partner.
-ROUNDS = 2
+ROUNDS = 1
 #: Bands of set sizes for a factor e.
 BANDS = 40
 #: Keys of wanted texts that may be broadcast (8 bytes each); beyond, they are joined by shuffle.
@@ -326,7 +326,8 @@ def _candidates(rows: DataFrame, percent: int) -> DataFrame:
     pairs = written(met.select(F.col("x.sid").alias("x"), F.col("x.want").alias("x_want"), F.col("x.n").alias("x_n"),
                                F.col("y.sid").alias("y"), F.col("y.want").alias("y_want"), F.col("y.n").alias("y_n"))
                     .distinct(), "met-pairs")
-    tokens = written(single.groupBy("sid", "want").agg(F.collect_list("token").alias("tokens")), "tokens-of-sets")
+    met_ids = pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct()
+    tokens = written(single.join(met_ids, "sid", "left_semi").groupBy("sid", "want").agg(F.collect_list("token").alias("tokens")), "tokens-of-sets")
     of = [tokens.select(F.col("sid").alias(c), F.col("want").alias(f"{c}_want"), F.col("tokens").alias(f"{c}_tokens"))
           for c in ("x", "y")]
     enough = F.size(F.array_intersect("x_tokens", "y_tokens")) >= _in_both(F.col("x_n"), F.col("y_n"), percent)
