@@ -18,18 +18,26 @@ from areascope.llm.common import release, table, written
 PASSAGE = 240
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python 512 rows at a time: Spark's 10,000 would hold tens of MB in every task, on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without the lines that fail them."""
+    _small_batches(spark)
     return quality_rules.clean_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id."""
+    _small_batches(spark)
     return jaccard_join.representatives(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings of PASSAGE bytes that also start elsewhere; those with no word left go."""
+    _small_batches(spark)
     return suffix_dedup.clean_documents(docs, length=PASSAGE, gram=64)
 
 
