@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import BOILERPLATE
+from .quality_rules import BOILERPLATE, NOTICES
 
 _W = r"[^\x20\x09-\x0D]+"
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -12,7 +12,9 @@ def _quoted(phrase: str) -> str:
     return "".join("\\" + c if c in "().[]*+?^$|" else c for c in phrase).replace("'", "''")
 
 
-_BOILER = "|".join(_quoted(p) for p in BOILERPLATE)
+_BOILER = r"\b(?:" + "|".join(_quoted(p) for p in BOILERPLATE) + r")\b"
+_NOTICE = "^(?:" + "|".join(_quoted(p) for p in NOTICES) + ")"
+_BARE = "trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 JACCARD = f"""
 WITH RECURSIVE w AS (
@@ -43,12 +45,13 @@ ln AS (SELECT doc_id, line, len(regexp_extract_all(line, '{_W}')) AS n,
        FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d)),
 v AS (SELECT doc_id, n, again, again
          OR len(regexp_extract_all(line, '[|»›•·]')) > 0.2::DOUBLE * n
-         OR (n <= 40 AND regexp_matches(line, '(?i){_BOILER}'))
+         OR (n <= 40 AND (regexp_matches(bare, '{_NOTICE}') OR (regexp_matches(bare, '{_BOILER}')
+             AND length(array_to_string(regexp_extract_all(bare, '{_BOILER}'), '')) >= 0.25::DOUBLE * length(bare))))
          OR len(regexp_extract_all(line, '[#*$%&|<>]')) > 0.2::DOUBLE * n
          OR len(regexp_extract_all(line, '[!?]{{2,}}')) > greatest(1, 0.2::DOUBLE * n)
          OR (n > 30 AND NOT regexp_matches(line, '[.!?…,:;。！？、]'))
          OR (n < 4 AND NOT regexp_matches(line, '[.!?…:;。！？][)"''»”’\\]]*[\\x20\\x09-\\x0D]*$')) AS bad
-      FROM ln WHERE n > 0),
+      FROM (SELECT *, {_LOW.format(_BARE.format("line"))} AS bare FROM ln) WHERE n > 0),
 f AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (again) AS n_dup, count(*) FILTER (bad) AS n_bad,
         coalesce(sum(n) FILTER (bad), 0) AS lost FROM v GROUP BY doc_id),
 b AS (SELECT w.doc_id, len(w.w) AS n_words, length(array_to_string(w.w, '')) AS word_chars,

@@ -6,9 +6,15 @@ text that way is rejected. Document-level base figures (word and symbol
 counts, repeated lines, repeated eight-word windows) are reported beside it
 and reject documents of their own.
 
+A boilerplate phrase counts as whole words only, and fails a line only if such
+phrases make up a good share of it: "powered by water from the lake" inside a
+sentence is prose, "Powered by Example" is not.
+
 Defined results: null or empty text has no words and fails the base rule;
-every input row gives one output row, repeated rows included; columns other
-than the id and the text are not looked at, so their names cannot clash.
+an empty table gives an empty result; texts and lines of any length are judged
+whole; every input row gives one output row, repeated rows included, and of
+equal lines of a text the first stays; columns other than the id and the text
+are not looked at, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -28,15 +34,18 @@ _SEPARATORS = re.compile(r"[|»›•·]")
 _END = re.compile(r"""[.!?…:;。！？][)"'»”’\]]*$""")
 _MARK = re.compile(r"[.!?…,:;。！？、]")
 _RUN = re.compile(r"[!?]{2,}")
-# Phrases that mark boilerplate lines.
+# Phrases that mark boilerplate lines if they make up a good share of them.
 BOILERPLATE = [
     "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "terms and conditions",
     "licensed under", "apache license", "mit license", "gnu general public license", "creative commons",
     "subscribe to our newsletter", "sign up for our newsletter", "click here", "read more", "share this",
-    "powered by", "copyright ©", "©", "(c) copyright", "copyright (c)", "lorem ipsum", "javascript is disabled",
+    "powered by", "lorem ipsum", "javascript is disabled",
     "enable javascript", "use of cookies", "uses cookies", "follow us on", "skip to content", "back to top",
 ]
-_BOILERPLATE = re.compile("|".join(re.escape(p) for p in BOILERPLATE), re.IGNORECASE)
+# Marks that make a line a notice if it begins with them.
+NOTICES = ["©", "copyright ©", "(c) copyright", "copyright (c)"]
+_BOILERPLATE = re.compile(r"\b(?:" + "|".join(re.escape(p) for p in BOILERPLATE) + r")\b", re.IGNORECASE | re.ASCII)
+_NOTICE = re.compile("|".join(re.escape(p) for p in NOTICES), re.IGNORECASE | re.ASCII)
 
 
 @dataclass(frozen=True)
@@ -52,6 +61,7 @@ class LineRules:
     max_open_words: int = 30        # punctuation: longer lines need a mark somewhere
     max_separator_share: float = 0.2  # navigation: separators a word
     boilerplate_words: int = 40     # boilerplate: phrases count in lines of at most so many words
+    phrase_share: float = 0.25      # boilerplate: share of the line's characters in such phrases, whole words only
     max_lost: float = 0.5           # document: share of its words lost with its lines
 
 
@@ -59,8 +69,11 @@ def line_verdict(line: str, n: int, rules: LineRules) -> str:
     """'' if the line of ``n`` words stays, else the rule that it fails."""
     if len(_SEPARATORS.findall(line)) > rules.max_separator_share * n:
         return "navigation"
-    if n <= rules.boilerplate_words and _BOILERPLATE.search(line):
-        return "boilerplate"
+    if n <= rules.boilerplate_words:
+        bare = line.strip(_BLANK)
+        in_phrases = sum(len(p) for p in _BOILERPLATE.findall(bare))
+        if _NOTICE.match(bare) or (in_phrases and in_phrases >= rules.phrase_share * len(bare)):
+            return "boilerplate"
     symbols = sum(line.count(c) for c in SYMBOLS)
     if symbols > rules.max_symbol_share * n or len(_RUN.findall(line)) > max(1, rules.max_run_share * n):
         return "punctuation"

@@ -265,3 +265,18 @@ def test_pivot_keeps_words_and_expectations():
         assert abs(full @ size - p @ size) < 1e-9 and set(out) <= {0.0, 1.0}
         total += full
     assert np.allclose(total / 4000, p, atol=0.04)
+
+
+@pytest.mark.parametrize("line, kept", [
+    ("The mill was powered by water from the upper lake, which the monks had dammed for their own use", True),
+    ("She liked to read more than anything else that her brother could think of in the long winter", True),
+    ("He spoke of terms of usefulness and the readmore of old printers", True),  # no whole phrase
+    ("In 1998 the sign © was carved into the door by mistake, and nobody ever took it off again", True),
+    ("Powered by Example Press", False),
+    ("Click here to read more", False),
+    ("  © 2020 Example Press, a company of many names and places", False),
+    ("All rights reserved. Privacy policy. Terms of use.", False),
+    ("", True),
+])
+def test_boilerplate_needs_a_share_of_its_line(line, kept):
+    assert (Q.line_verdict(line, max(4, len(line.split())), Q.LineRules()) != "boilerplate") == kept
