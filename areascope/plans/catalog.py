@@ -26,6 +26,7 @@ from ..operators import trends as TR
 from ..sources import testdata as TD
 from ..sources.files import feed_inventory, file_inventory, scan_feed
 from ..session import checkpoint_dir, cut_lineage
+from . import fixed_labels
 from . import runs as RU
 
 SCALE = 4
@@ -618,6 +619,7 @@ def q_file_inventory(spark, sf_dir):
 
 
 QUERIES["file_inventory"] = q_file_inventory
+fixed_labels.register(QUERIES, master_table, rounded)
 
 
 def flagship(spark, sf_dir):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .. import constants as K
+from .oracle_fixed import fixed_oracles
 from .oracle_sql import _DEMO, _ENROL, RAW_CTES, _count, _state, with_master
 
 R = 4
@@ -398,3 +399,4 @@ ORACLE["events_daily_change"] = (
     "SELECT day, round(events_change, 4) AS events_change, round(value_change, 4) AS value_change FROM c "
     "WHERE events_change IS NOT NULL AND value_change IS NOT NULL")
 ORACLE["list_states"] = with_master("SELECT DISTINCT state FROM master WHERE state IS NOT NULL ORDER BY state")
+ORACLE.update(fixed_oracles(wm("", FEATURES + ZS)))

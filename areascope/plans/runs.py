@@ -61,6 +61,14 @@ def cleaning_run(raw: dict, valid_states=None, aliases=None, path: str | None =
     return out
 
 
+def explain_rows(scored: DataFrame, district_by=("district",), moments: DataFrame | None = None) -> DataFrame:
+    """Rows with a cluster and an anomaly score -> risk levels, trends, profiles and texts: all after the two models."""
+    ranked = RK.rank_pct(scored, "anomaly_score", "risk_percentile")
+    ranked = ranked.withColumn("risk_category", risk_category())
+    trends = TR.analyze_trends(ranked, district_by, moments)
+    return IN.generate_insights(MO.label_profiles(trends, MO.profile_mapping(trends)))
+
+
 def model_run(master: DataFrame, n_init: int = K.KMEANS_N_INIT, k_min: int = K.MIN_CLUSTERS,
               k_max: int = K.MAX_CLUSTERS, seed: int = K.KMEANS_SEED, n_trees: int = K.FOREST_TREES,
               district_by=("district",), kmeans_engine: str = "batched") -> ModelRun:
@@ -103,12 +111,7 @@ def model_run(master: DataFrame, n_init: int = K.KMEANS_N_INIT, k_min: int = K.M
     scored = IF.decision_scores(IF.score_samples(assigned, nodes, psi, SCALED))
     scored = cut_lineage(scored.drop(*SCALED))
     lap("isolation_forest")
-    ranked = RK.rank_pct(scored, "anomaly_score", "risk_percentile")
-    ranked = ranked.withColumn("risk_category", risk_category())
-    trends = TR.analyze_trends(ranked, district_by, moments)
-    mapping = MO.profile_mapping(trends)
-    labelled = MO.label_profiles(trends, mapping)
-    result = cut_lineage(IN.generate_insights(labelled))
+    result = cut_lineage(explain_rows(scored, district_by, moments))
     vectors.unpersist()
     lap("risk_trends_insights")
     return ModelRun(result, best_k, sil, model, nodes, scaler, stages)
