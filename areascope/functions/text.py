@@ -26,6 +26,11 @@ def _squash(c) -> Column:
     return F.trim(c)
 
 
+def strip(c) -> Column:
+    """Without blanks at either end, Unicode blanks (tab, NBSP) included."""
+    return F.regexp_replace(_col(c), _EDGE_BLANKS, "")
+
+
 def normalise_state(c) -> Column:
     """Lower, strip, collapse blanks, then ' & ' -> ' and ' and '&' -> 'and'."""
     c = _squash(c)
@@ -50,7 +55,7 @@ def normalise_district(c, final_trim: bool = False) -> Column:
     """
     c = F.replace(_squash(c), F.lit("*"), F.lit(""))
     if final_trim:
-        c = F.regexp_replace(c, _EDGE_BLANKS, "")
+        c = strip(c)
     return c
 
 
@@ -77,9 +82,9 @@ def title_case(c) -> Column:
 
 
 def whitespace_issue(c) -> Column:
-    """Double blank inside or blanks at either end."""
+    """Double blank inside or blanks (Unicode ones too) at either end."""
     col = _col(c)
-    return col.contains("  ") | (col != F.trim(col))
+    return col.contains("  ") | (col != strip(col))
 
 
 def visible_blanks(c) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Dimension / lookup tables broadcast to every task must stay below this.
@@ -11,6 +11,16 @@ MAX_BROADCAST_ROWS = 100_000
 SALTS = 32
 
 
+def fingerprint(*cols: str) -> Column:
+    """128 bits of the columns' values: two hashes over the values in either order, with other beginnings.
+
+    Missing values are marked, so that a null in one column is not one in the next. Equal values have equal
+    fingerprints; n different ones share one with a chance of about n * n / 2 ** 129 (1e-15 for 1e12 rows).
+    """
+    cells = [x for c in cols for x in (F.col(c), F.col(c).isNull())]
+    return F.struct(F.xxhash64(*cells).alias("a"), F.xxhash64(F.lit("other"), *reversed(cells)).alias("b"))
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a lookup table whose size is checked first.
 

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions import parse_date, pincode_region, visible_blanks, whitespace_issue
-from ._util import with_scalars
+from ..functions import parse_date, pincode_region, strip, visible_blanks, whitespace_issue
+from ._util import fingerprint, with_scalars
 from .order_stats import counted_quantiles, value_counts
 
 PERCENTILES = [0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
@@ -73,33 +73,33 @@ def coverage(df: DataFrame, cols=("state", "district", "pincode"), approx_rsd: f
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows minus distinct rows (all columns)."""
-    g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    """Rows minus distinct rows (all columns), counted by 128-bit fingerprint: narrow shuffles however wide the rows."""
+    g = df.select(fingerprint(*df.columns).alias("_row")).groupBy("_row").agg(F.count(F.lit(1)).alias("_n"))
     return g.agg(F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("distinct_rows"),
                  F.sum(F.col("_n") - 1).alias("duplicate_rows"))
 
 
 def key_duplicates(df: DataFrame, keys) -> DataFrame:
-    """A8 + A9: rows whose key repeats (all copies), groups with >1 rows, and the largest group."""
-    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    """A8 + A9: rows whose key repeats (all copies), groups with >1 rows, and the largest group; by fingerprint."""
+    g = df.select(fingerprint(*keys).alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     return g.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("duplicated_rows"),
                  F.count(F.lit(1)).alias("duplicated_groups"),
                  F.max("_n").alias("max_occurrences"))
 
 
 def column_duplicates(df: DataFrame, cols=None) -> DataFrame:
-    """A10: per column, rows whose value occurs more than once (all copies); one scan, values compared as text."""
-    cols = cols or df.columns
-    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
-                                          for c in cols])).alias("x")).select("x.*")
-    often = cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("column", "n")
-    none = df.sparkSession.createDataFrame([(c, 0) for c in cols], "column string, n long")
-    return often.unionByName(none).groupBy("column").agg(F.sum("n").alias("duplicated_rows"))
+    """A10: per column, rows whose value occurs more than once (all copies); one scan, cells compared by fingerprint."""
+    cols = list(cols or df.columns)
+    cells = F.array(*[F.struct(F.lit(i).alias("at"), fingerprint(c).alias("cell")) for i, c in enumerate(cols)])
+    often = (df.select(F.explode(cells).alias("x")).groupBy("x.at", "x.cell").agg(F.count(F.lit(1)).alias("n"))
+             .filter("n > 1").groupBy("at").agg(F.sum("n").alias("duplicated_rows")))
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "at int, column string")
+    return names.join(often, "at", "left").fillna(0, ["duplicated_rows"]).select("column", "duplicated_rows")
 
 
 def case_variants(df: DataFrame, col: str) -> DataFrame:
     """Spellings that differ only by case or edge blanks (groups with > 1 spelling)."""
-    g = df.filter(F.col(col).isNotNull()).groupBy(F.lower(F.trim(F.col(col))).alias("canonical")).agg(
+    g = df.filter(F.col(col).isNotNull()).groupBy(strip(F.lower(F.col(col))).alias("canonical")).agg(
         F.sort_array(F.collect_set(col)).alias("variations"))
     return g.filter(F.size("variations") > 1)
 

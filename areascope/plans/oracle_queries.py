@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .. import constants as K
 from .oracle_fixed import fixed_oracles
-from .oracle_sql import _DEMO, _ENROL, RAW_CTES, _count, _state, with_master
+from .oracle_sql import _DEMO, _ENROL, RAW_CTES, _count, _state, strip, with_master
 
 R = 4
 
@@ -169,7 +169,7 @@ ORACLE = {
         f"SELECT '{c}' AS column, COALESCE(sum(n), 0) AS duplicated_rows FROM "
         f"(SELECT count(*) AS n FROM bio_raw GROUP BY {c} HAVING count(*) > 1)"
         for c in ("date", "state", "district", "pincode", "bio_age_5_17", "bio_age_17_")) + ")"),
-    "case_variants": raw_only(" SELECT lower(trim(state)) AS canonical, list_sort(list(DISTINCT state)) AS variations "
+    "case_variants": raw_only(f" SELECT {strip('lower(state)')} AS canonical, list_sort(list(DISTINCT state)) AS variations "
                               "FROM bio_raw WHERE state IS NOT NULL GROUP BY 1 HAVING count(DISTINCT state) > 1"),
     "area_pairs": raw_only(" SELECT state, district, count(*) AS count FROM bio_raw GROUP BY ALL"),
     "date_coverage": raw_only(", d AS (SELECT CAST(try_strptime(date, '%d-%m-%Y') AS DATE) AS d FROM bio_raw) "
@@ -195,7 +195,7 @@ ORACLE = {
         "list_sort(list(DISTINCT TRY_CAST(pincode AS BIGINT)) FILTER (WHERE TRY_CAST(pincode AS BIGINT) < 100000 "
         "OR TRY_CAST(pincode AS BIGINT) > 999999))[1:10] AS out_of_range_examples FROM bio_raw"),
     "whitespace_issues": raw_only(" SELECT state, count(*) AS records, replace(state, ' ', '·') AS visible FROM bio_raw "
-                                  "WHERE state IS NOT NULL AND (contains(state, '  ') OR state <> trim(state)) GROUP BY state"),
+                                  f"WHERE state IS NOT NULL AND (contains(state, '  ') OR state <> {strip('state')}) GROUP BY state"),
     "suspicious_states": raw_only(" SELECT state, count(*) AS records FROM demo_raw WHERE "
                                   + " OR ".join(f"contains(state, '{p}')" for p in K.SUSPICIOUS_PLACES)
                                   + " GROUP BY state"),

@@ -14,8 +14,16 @@ _ALIAS_CASE = "CASE {x} " + " ".join(
     f"WHEN '{a}' THEN '{b}'" for a, b in K.STATE_ALIASES.items()) + " ELSE {x} END"
 
 
+# White space as Unicode has it.
+BLANK = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{BLANK}+|{BLANK}+$', '', 'g')"
+
+
 def _squash(x: str) -> str:
-    return (f"regexp_replace(regexp_replace(lower({x}), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')")
+    return f"regexp_replace({strip(f'lower({x})')}, '{BLANK}+', ' ', 'g')"
 
 
 def _state(x: str) -> str:
@@ -34,8 +42,9 @@ def _count(x: str) -> str:
 def _keys(ts: str) -> str:
     return f"""
       CASE WHEN v = 9 THEN '31-02-' || CAST(year({ts}) AS VARCHAR) ELSE strftime({ts}, '%d-%m-%Y') END AS date,
-      CASE WHEN v = 0 THEN lower(nation) WHEN v = 1 THEN '  ' || nation || ' '
-           WHEN v = 2 THEN replace(nation, ' ', '  ') WHEN v = 3 THEN 'Unknown Place'
+      CASE WHEN v = 0 THEN lower(nation) WHEN v = 1 THEN edge || edge || nation || edge
+           WHEN v = 2 THEN replace(nation, ' ', '  ')
+           WHEN v = 3 THEN CASE u WHEN 0 THEN 'Orissa' WHEN 1 THEN 'Pondicherry' WHEN 2 THEN 'Nagpur City' ELSE 'Unknown Place' END
            WHEN v = 4 THEN NULL ELSE nation END AS state,
       CASE WHEN v = 5 THEN c_mktsegment || '  *' WHEN v = 6 THEN lower(c_mktsegment)
            WHEN v = 7 THEN NULL ELSE c_mktsegment END AS district,
@@ -53,9 +62,11 @@ bio_raw AS (
   SELECT {_keys('o_orderdate')},
     CASE WHEN v = 10 THEN 'x' WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN '1' ELSE '0' END AS bio_age_5_17,
     CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN '0' ELSE '1' END AS bio_age_17_
-  FROM (SELECT *, o_orderkey % 20 AS v FROM orders JOIN cust ON o_custkey = c_custkey)),
+  FROM (SELECT *, o_orderkey % 20 AS v, o_orderkey // 20 % 5 AS u, CASE u WHEN 0 THEN chr(160) WHEN 1 THEN chr(9) ELSE ' ' END AS edge
+        FROM orders JOIN cust ON o_custkey = c_custkey)),
 lines AS (
-  SELECT *, (l_orderkey + l_linenumber) % 20 AS v
+  SELECT *, (l_orderkey + l_linenumber) % 20 AS v, (l_orderkey + l_linenumber) // 20 % 5 AS u,
+    CASE u WHEN 0 THEN chr(160) WHEN 1 THEN chr(9) ELSE ' ' END AS edge
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN cust ON o_custkey = c_custkey),
 demo_raw AS (
   SELECT {_keys('l_shipdate')},

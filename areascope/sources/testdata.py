@@ -5,7 +5,8 @@ by shipment, and "enrol", dated by order) becomes one raw feed row of text
 columns, exactly as a CSV part would deliver it. State = nation, district =
 market segment, pincode = 100000 + customer key mod 900000. A deterministic
 variant number (key mod 20) injects the dirt the cleaner must handle: case,
-blanks, starred districts, unknown and null names, short pincodes, impossible
+blanks (tabs and no-break spaces too), starred districts, unknown, outdated and
+null names, city names, short pincodes, impossible
 dates and unparsable or fractional counts. No row is filtered here: the work
 grows with the tables.
 """
@@ -29,11 +30,14 @@ def valid_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.lower(_nation_name(F.col("n_name"))).alias("state"))
 
 
-def _dirty_keys(v: Column, name: Column, segment: Column, custkey: Column, ts: Column) -> list:
+def _dirty_keys(key: Column, name: Column, segment: Column, custkey: Column, ts: Column) -> list:
+    v, u = key % 20, F.floor(key / 20) % 5
+    edge = F.when(u == 0, F.lit("\u00a0")).when(u == 1, F.lit("\t")).otherwise(F.lit(" "))
     state = (F.when(v == 0, F.lower(name))
-             .when(v == 1, F.concat(F.lit("  "), name, F.lit(" ")))
+             .when(v == 1, F.concat(edge, edge, name, edge))
              .when(v == 2, F.replace(name, F.lit(" "), F.lit("  ")))
-             .when(v == 3, F.lit("Unknown Place"))
+             .when(v == 3, F.when(u == 0, F.lit("Orissa")).when(u == 1, F.lit("Pondicherry"))
+                   .when(u == 2, F.lit("Nagpur City")).otherwise(F.lit("Unknown Place")))
              .when(v == 4, F.lit(None).cast("string"))
              .otherwise(name))
     district = (F.when(v == 5, F.concat(segment, F.lit("  *")))
@@ -67,7 +71,7 @@ def bio_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("o_orderkey") % 20
     urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
     return j.select(
-        *_dirty_keys(v, F.col("nation"), F.col("c_mktsegment"), F.col("o_custkey"), F.col("o_orderdate")),
+        *_dirty_keys(F.col("o_orderkey"), F.col("nation"), F.col("c_mktsegment"), F.col("o_custkey"), F.col("o_orderdate")),
         F.when(v == 10, F.lit("x")).when(urgent, F.lit("1")).otherwise(F.lit("0")).alias("bio_age_5_17"),
         F.when(urgent, F.lit("0")).otherwise(F.lit("1")).alias("bio_age_17_"),
     )
@@ -83,10 +87,11 @@ def _line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def demo_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = _line_rows(spark, sf_dir)
-    v = (F.col("l_orderkey") + F.col("l_linenumber")) % 20
+    key = F.col("l_orderkey") + F.col("l_linenumber")
+    v = key % 20
     q = F.col("l_quantity")
     return j.select(
-        *_dirty_keys(v, F.col("nation"), F.col("c_mktsegment"), F.col("o_custkey"), F.col("l_shipdate")),
+        *_dirty_keys(key, F.col("nation"), F.col("c_mktsegment"), F.col("o_custkey"), F.col("l_shipdate")),
         _qty_text(v, F.col("l_linestatus") == "F", q, ".7").alias("demo_age_5_17"),
         F.when(F.col("l_linestatus") == "O", q.cast("bigint").cast("string")).otherwise(F.lit("0"))
          .alias("demo_age_17_"),
@@ -95,11 +100,12 @@ def demo_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def enrol_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = _line_rows(spark, sf_dir)
-    v = (F.col("l_orderkey") + F.col("l_linenumber")) % 20
+    key = F.col("l_orderkey") + F.col("l_linenumber")
+    v = key % 20
     q = F.col("l_quantity")
     flag = F.col("l_returnflag")
     return j.select(
-        *_dirty_keys(v, F.col("nation"), F.col("c_mktsegment"), F.col("o_custkey"), F.col("o_orderdate")),
+        *_dirty_keys(key, F.col("nation"), F.col("c_mktsegment"), F.col("o_custkey"), F.col("o_orderdate")),
         _qty_text(v, flag == "A", q, "x").alias("age_0_5"),
         F.when(flag == "N", q.cast("bigint").cast("string")).otherwise(F.lit("0")).alias("age_5_17"),
         F.when(flag == "R", q.cast("bigint").cast("string")).otherwise(F.lit("0")).alias("age_18_greater"),

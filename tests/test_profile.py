@@ -53,3 +53,28 @@ def test_numeric_profile_percentiles(spark):
     df = spark.createDataFrame([(float(x),) for x in range(1, 11)], "v double")
     p = PR.numeric_profile(df, ["v"]).first()
     assert p.median == 5.5 and abs(p.p99 - 9.91) < 1e-9 and p.zeros == 0 and p.nulls == 0
+
+
+def test_duplicates_by_fingerprint_tell_nulls_and_columns_apart(spark):
+    rows = [("a", None), (None, "a"), ("a", None), (None, None), ("", None), (None, "")]
+    df = spark.createDataFrame(rows, "x string, y string")
+    r = PR.duplicate_rows(df).first()
+    assert (r["rows"], r["distinct_rows"], r["duplicate_rows"]) == (6, 5, 1)
+    assert PR.key_duplicates(df, ["x"]).first()["duplicated_rows"] == 5
+    got = {r["column"]: r["duplicated_rows"] for r in PR.column_duplicates(df).collect()}
+    assert got == {"x": 5, "y": 4}
+    assert {r["duplicated_rows"] for r in PR.column_duplicates(df.limit(0)).collect()} == {0}
+
+
+def test_duplicates_shuffle_no_values(spark):
+    df = spark.createDataFrame([("a", "b", 1)], "x string, y string, z int")
+    for out in (PR.duplicate_rows(df), PR.key_duplicates(df, ["x", "y"]), PR.column_duplicates(df)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert dealt and not any(f"({c}#" in line or f" {c}#" in line for line in dealt for c in "xyz")
+
+
+def test_unicode_edges(spark):
+    df = spark.createDataFrame([("Goa",), (" Goa",), ("goa\t",), ("Bihar",)], "state string")
+    assert PR.case_variants(df, "state").first()["variations"] == ["Goa", "goa\t", " Goa"]
+    assert {r["state"] for r in PR.whitespace_issues(df, "state").collect()} == {" Goa", "goa\t"}
