@@ -58,13 +58,18 @@ def standardise_feed(raw: DataFrame, feed: str, valid_states=None, aliases=None,
                      "state_original", "district_original", "valid_state")
 
 
-def cap_at_percentile(df: DataFrame, cols, p: float = K.CAP_PERCENTILE) -> DataFrame:
-    """Cap each column at its own p-th percentile (exact, linear interpolation).
+def percentile_caps(df: DataFrame, cols, p: float = K.CAP_PERCENTILE) -> dict:
+    """column -> its p-th percentile (exact, linear interpolation), from one scan; columns without values are left out."""
+    return {c: q[0] for c, q in quantile_values(df, cols, [p]).items()}
 
-    One scan counts the values of all columns; the caps (a number a column) become literals, nulls stay null.
+
+def cap_at_percentile(df: DataFrame, cols, p: float = K.CAP_PERCENTILE, caps: dict | None = None) -> DataFrame:
+    """Cap each column at its own p-th percentile, or at the ``caps`` of an earlier run.
+
+    The caps (a number a column) become literals, nulls stay null.
     """
-    caps = quantile_values(df, cols, [p])
-    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.least(F.col(c).cast("double"), F.lit(caps[c][0])))
+    caps = percentile_caps(df, cols, p) if caps is None else caps
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.least(F.col(c).cast("double"), F.lit(caps[c])))
                            if c in caps else F.col(c).cast("double") for c in cols})
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .clean import cap_at_percentile, measures_of, quality_metrics, standardise_feed
+from .clean import cap_at_percentile, measures_of, percentile_caps, quality_metrics, rollup_period, standardise_feed
 
 FEEDS = ["bio", "demo", "enrol"]
 # Block suffix of each feed in the master; the last merge has no collision.
@@ -22,6 +22,10 @@ def master_columns() -> list:
     return cols
 
 
+def master_measures() -> list:
+    return [m + SUFFIX[f] for f in FEEDS for m in measures_of(f)]
+
+
 def fill_master(df: DataFrame) -> DataFrame:
     """Nulls -> 0 only in measure and quality-score columns; totals and
     completeness of a missing feed stay null."""
@@ -30,7 +34,7 @@ def fill_master(df: DataFrame) -> DataFrame:
 
 
 def build_master(raw: dict, valid_states=None, aliases=None, final_trim: bool = False,
-                 daily_hook=None) -> DataFrame:
+                 daily_hook=None, caps: dict | None = None) -> DataFrame:
     """Raw feeds -> master table with ONE shuffle of the rows.
 
     Equivalent to cleaning each feed, rolling each up to months and joining the
@@ -41,7 +45,7 @@ def build_master(raw: dict, valid_states=None, aliases=None, final_trim: bool =
     summed per (month, area) in a single partially-aggregated group-by: a hot
     key is combined map-side before the shuffle.
     """
-    all_measures = [m + SUFFIX[f] for f in FEEDS for m in measures_of(f)]
+    all_measures = master_measures()
     parts = []
     for f in FEEDS:
         daily = standardise_feed(raw[f], f, valid_states, aliases, final_trim)
@@ -52,7 +56,7 @@ def build_master(raw: dict, valid_states=None, aliases=None, final_trim: bool =
     daily = parts[0].unionByName(parts[1]).unionByName(parts[2])
     if daily_hook is not None:
         daily = daily_hook(daily)
-    capped = cap_at_percentile(daily, all_measures)
+    capped = cap_at_percentile(daily, all_measures, caps=caps)
     capped = capped.filter(" AND ".join(f"{k} IS NOT NULL" for k in K.KEYS))
     monthly = capped.groupBy(*K.KEYS).agg(*[F.sum(c).alias(c) for c in all_measures])
     for f in FEEDS:
@@ -90,6 +94,96 @@ def write_master(raw: dict, path: str, valid_states=None, aliases=None, final_tr
     return path
 
 
+def write_master_by_month(raw: dict, path: str, valid_states=None, aliases=None, final_trim: bool = False) -> str:
+    """The master as Parquet, a folder for each month, with the caps it was built with beside it (``<path>-caps``)."""
+    from pyspark import StorageLevel
+    held, caps = [], {}
+
+    def keep(df):
+        held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        caps.update(percentile_caps(held[-1], master_measures()))
+        return held[-1]
+
+    master = build_master(raw, valid_states, aliases, final_trim, daily_hook=keep, caps=caps)
+    master.write.mode("overwrite").partitionBy("year_month").parquet(path)
+    for df in held:
+        df.unpersist()
+    spark = master.sparkSession
+    (spark.createDataFrame(sorted(caps.items()), "measure string, cap double").coalesce(1)
+     .write.mode("overwrite").parquet(f"{path}-caps"))
+    return path
+
+
+def refresh_months(raw: dict, path: str, months: list, valid_states=None, aliases=None,
+                   final_trim: bool = False) -> str:
+    """Rebuilds the given months of a master by month; the folders of all other months stay as they are.
+
+    ``raw`` holds every raw row of these months (more may be there). The caps are those of the last whole build: a
+    p99 over all months would change months that got no new rows; ``write_master_by_month`` takes it anew. A month
+    left without valid rows keeps its old folder.
+    """
+    spark = next(iter(raw.values())).sparkSession
+    caps = {r["measure"]: r["cap"] for r in spark.read.parquet(f"{path}-caps").collect()}  # a row for each measure
+    wanted = F.col("year_month").isin(list(months))
+    master = build_master(raw, valid_states, aliases, final_trim, daily_hook=lambda df: df.filter(wanted), caps=caps)
+    (master.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("year_month").parquet(path))
+    return path
+
+
+def read_master(spark, path: str) -> DataFrame:
+    """A master by month; the months stay text whatever Spark would make of the folder names."""
+    doubles = ", ".join(f"`{c}` double" for c in master_columns() if c not in K.KEYS)
+    schema = f"state string, district string, pincode int, {doubles}, year_month string"
+    return spark.read.schema(schema).parquet(path).select(*master_columns())
+
+
+def write_feeds(raw: dict, folder: str, name: str, valid_states=None, aliases=None, final_trim: bool = False,
+                buckets: int | None = None) -> dict:
+    """Cleans the three feeds and writes them as tables bucketed and sorted by the four keys, each raw feed parsed once.
+
+    Returns feed -> table name, and ``keys`` -> the table of all keys, dealt alike. Each (month, area) is one row of a
+    feed, so buckets are even whatever the rows of an area; ``buckets`` (the shuffle partitions unless given) fits
+    the monthly rows.
+    """
+    from pyspark import StorageLevel
+    spark = next(iter(raw.values())).sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def write(df: DataFrame, kind: str) -> str:
+        (df.write.mode("overwrite").format("parquet").bucketBy(buckets, *K.KEYS).sortBy(*K.KEYS)
+         .option("path", f"{folder.rstrip('/')}/{name}_{kind}").saveAsTable(f"{name}_{kind}"))
+        return f"{name}_{kind}"
+
+    tables = {}
+    for f in FEEDS:
+        daily = standardise_feed(raw[f], f, valid_states, aliases, final_trim).persist(StorageLevel.MEMORY_AND_DISK)
+        ms = measures_of(f)
+        monthly = quality_metrics(rollup_period(cap_at_percentile(daily, ms), ms), ms)
+        tables[f] = write(monthly.repartition(buckets, *K.KEYS), f)
+        daily.unpersist()
+    # Read as plain files: a union of bucketed scans claims a partitioning that it need not have when it runs.
+    keys = [spark.read.schema(spark.table(t).schema).parquet(f"{folder.rstrip('/')}/{t}").select(*K.KEYS)
+            for t in tables.values()]
+    every = keys[0].unionByName(keys[1]).unionByName(keys[2])
+    tables["keys"] = write(every.repartition(buckets, *K.KEYS).distinct(), "keys")
+    return tables
+
+
+def merge_written(spark, tables: dict) -> DataFrame:
+    """J1 + J2 + P14 over the tables of ``write_feeds``: outer joins bucket by bucket, without a shuffle.
+
+    A full outer join leaves no known partitioning, so a second one would shuffle again; left joins onto the table
+    of all keys give the same rows and keep the buckets.
+    """
+    m = spark.table(tables["keys"])
+    for f in FEEDS:
+        df = spark.table(tables[f])
+        m = m.join(df.select(*K.KEYS, *[F.col(c).alias(c + SUFFIX[f]) for c in df.columns if c not in K.KEYS]),
+                   K.KEYS, "left")
+    return fill_master(m.select(*master_columns()))
+
+
 def merge_feeds(bio: DataFrame, demo: DataFrame, enrol: DataFrame) -> DataFrame:
     """J1 + J2 + P14 on already cleaned monthly feeds: full outer joins on the
     four keys, suffixing the colliding bio/demo columns first."""

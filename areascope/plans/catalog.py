@@ -8,6 +8,8 @@ Model-run queries share one materialised run per session and data folder.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +26,7 @@ from ..operators import ranking as RK
 from ..operators import reports as RE
 from ..operators import trends as TR
 from ..sources import testdata as TD
-from ..sources.files import feed_inventory, file_inventory, scan_feed
+from ..sources.files import feed_inventory, file_inventory, files_version, scan_feed
 from ..session import checkpoint_dir, cut_lineage
 from . import fixed_labels
 from . import runs as RU
@@ -61,18 +63,30 @@ def fresh_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MA.build_master(raw(spark, sf_dir), valid_states=valid(spark, sf_dir))
 
 
+#: Tables that the feeds are derived from.
+FEED_TABLES = ["nation", "customer", "orders", "lineitem"]
 _MASTERS: dict = {}
 
 
+def data_version(spark: SparkSession, sf_dir: str) -> tuple:
+    """Session, folder and listing (names, sizes, times) of the feeds' files: new files under the same path are new data."""
+    return (spark.sparkContext.applicationId, sf_dir,
+            files_version(spark, [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in FEED_TABLES]))
+
+
+def scratch_name(kind: str) -> str:
+    return f"{kind}_{uuid.uuid4().hex[:12]}"
+
+
 def master_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The master as the cleaning run leaves it: built once per session and
-    data folder, written as Parquet to the shared checkpoint folder and read
+    version of the data, written as Parquet to the shared checkpoint folder and read
     back, so downstream queries prune columns and push filters into that scan
     instead of re-running the cleaning (the original's reports likewise read
     the cleaning run's output file)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = data_version(spark, sf_dir)
     if key not in _MASTERS:
-        path = f"{checkpoint_dir(spark).rstrip('/')}/master-{len(_MASTERS)}"
+        path = f"{checkpoint_dir(spark).rstrip('/')}/{scratch_name('master')}"
         MA.write_master(raw(spark, sf_dir), path, valid_states=valid(spark, sf_dir))
         _MASTERS[key] = path
     return spark.read.parquet(_MASTERS[key])
@@ -93,8 +107,8 @@ _RUNS: dict = {}
 
 
 def model_result(spark, sf_dir) -> RU.ModelRun:
-    """One model run per session and folder; later queries read its checkpoint."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """One model run per session and version of the data; later queries read its checkpoint."""
+    key = data_version(spark, sf_dir)
     if key not in _RUNS:
         _RUNS[key] = RU.model_run(master_table(spark, sf_dir))
     return _RUNS[key]
@@ -111,10 +125,9 @@ def q_build_master(spark, sf_dir):
 
 @query("merge_feeds")
 def q_merge_feeds(spark, sf_dir):
-    """Per-feed cleaning, then two full outer joins on the four keys."""
-    r, v = raw(spark, sf_dir), valid(spark, sf_dir)
-    feeds = {f: CL.clean_feed(r[f], f, v) for f in MA.FEEDS}
-    return MA.merge_feeds(feeds["bio"], feeds["demo"], feeds["enrol"])
+    """Per-feed cleaning, written bucketed by the four keys, then outer joins on them without a shuffle."""
+    tables = MA.write_feeds(raw(spark, sf_dir), checkpoint_dir(spark), scratch_name("feeds"), valid(spark, sf_dir))
+    return MA.merge_written(spark, tables)
 
 
 @query("clean_feed_bio")
@@ -619,7 +632,7 @@ def q_file_inventory(spark, sf_dir):
 
 
 QUERIES["file_inventory"] = q_file_inventory
-fixed_labels.register(QUERIES, master_table, rounded)
+fixed_labels.register(QUERIES, master_table, data_version, rounded)
 
 
 def flagship(spark, sf_dir):

@@ -63,10 +63,10 @@ def labelled(master: DataFrame) -> DataFrame:
     return cut_lineage(RU.explain_rows(IF.decision_scores(rows), moments=moments))
 
 
-def register(queries: dict, master_table: Callable, rounded: Callable) -> None:
-    """Adds the queries; they share one labelled table per session and folder."""
+def register(queries: dict, master_table: Callable, data_version: Callable, rounded: Callable) -> None:
+    """Adds the queries; they share one labelled table per session and version of the data."""
     def result(spark, sf_dir):
-        key = (spark.sparkContext.applicationId, sf_dir)
+        key = data_version(spark, sf_dir)
         if key not in _RESULTS:
             _RESULTS[key] = labelled(master_table(spark, sf_dir))
         return _RESULTS[key]
