@@ -267,6 +267,52 @@ def test_pivot_keeps_words_and_expectations():
     assert np.allclose(total / 4000, p, atol=0.04)
 
 
+def test_pivot_of_one_fraction():
+    size = np.array([50.0, 20.0, 9.0, 4.0, 3.0, 1.0])
+    for b in (0.0, 0.2, 0.5, 0.85, 1.0):
+        total = np.zeros(len(size))
+        for seed in range(4000):
+            out, hold, rest = M.pivot_shared(b, size, np.random.default_rng(seed))
+            full = out.copy()
+            if hold >= 0:
+                full[hold] = rest
+            assert abs(full @ size - b * size.sum()) < 1e-6 and set(out) <= {0.0, 1.0}
+            total += full
+        assert np.allclose(total / 4000, b, atol=0.04)
+    # one long document among short ones: the open one is short on average, the long one when pairs meet in turn
+    size = np.append(5000.0, np.arange(400.0, 200, -4))
+    shared = np.mean([size[M.pivot_shared(0.4, size, np.random.default_rng(s))[1]] for s in range(200)])
+    pairs = np.mean([size[M.pivot(np.full(len(size), 0.4), size, np.random.default_rng(s))[1]] for s in range(200)])
+    assert shared < 300 and 4 * shared < pairs
+    assert M.pivot_shared(0.3, np.array([7.0]), np.random.default_rng(0))[1:] == (0, 0.3)
+
+
+def test_mix_of_equal_rows(spark, docs_of):
+    """A third of the rows have neither id nor text, another third are one document again and again."""
+    rows = spark.range(9000).selectExpr(
+        "case when id % 3 = 2 then id when id % 3 = 1 then -1L end as doc_id",
+        "case when id % 3 = 2 then repeat('w ', cast(id % 40 as int)) when id % 3 = 1 then 'one two three' end as text",
+        "case when id % 3 = 0 then null when id % 2 = 0 then 'a' else 'b' end as source")
+    out = M.mix(rows, M.word_size(), block_rows=300)
+    got = out.collect()
+    assert len(got) == 9000 and sorted(map(str, got)) == sorted(map(str, M.mix(rows.repartition(5), M.word_size(), block_rows=300).collect()))
+    for s in ("a", "b"):
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) < 39 and all(r["taken"] <= 2 * r["size"] for r in mine)
+    assert all(r["taken"] == 0 and r["target"] == 0 for r in got if r["source"] is None)
+
+
+@pytest.mark.parametrize("sf, misses", [("0.01", lambda miss, target: miss < 500), ("0.1", lambda miss, target: miss < 0.02 * target)])
+def test_mix_targets_met(spark, sf, misses):
+    """Totals of every source against the targets: within a short document, within 2 % where sources are larger."""
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    sums = {}
+    for r in M.mix(docs, M.word_size()).collect():
+        target, taken = sums.get(r["source"], (r["target"], 0))
+        sums[r["source"]] = (target, taken + r["taken"])
+    assert all(misses(abs(taken - target), target) for target, taken in sums.values()), sums
+
+
 @pytest.mark.parametrize("line, kept", [
     ("The mill was powered by water from the upper lake, which the monks had dammed for their own use", True),
     ("She liked to read more than anything else that her brother could think of in the long winter", True),
