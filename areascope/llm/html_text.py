@@ -33,7 +33,8 @@ from .common import map_rows, schema_of
 
 # Element names by their role in a page.
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
-RAW = ["script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas"]
+RAW = ["script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "annotation", "annotation-xml", "object",
+       "canvas"]
 BLOCKS = ["address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt",
           "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup",
           "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "select", "summary",
@@ -45,7 +46,7 @@ REFUSED_NAMES = ["ad", "ads", "advert", "adverts", "advertisement", "advertising
                  "footer", "gdpr", "hidden", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter",
                  "notice", "notification", "pagination", "popup", "promo", "promotion", "related", "replies", "reply", "search",
                  "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar",
-                 "widget", "respond"]
+                 "widget", "respond", "adsbygoogle"]
 # Words that a refused name may have before and behind it in one class or id ("site-footer", "ad-slot-2").
 # With any other word a name says nothing of the element itself ("overflow-hidden", "has-sidebar", "search-result").
 NAME_BEFORE = ["article", "blog", "bottom", "entry", "footer", "global", "header", "main", "page", "post", "primary", "secondary",
@@ -57,6 +58,14 @@ NAME_BEHIND = ["area", "articles", "bar", "block", "body", "bottom", "box", "btn
 # Names that stand for the element only alone or with these words.
 NARROW_NAMES = {"hidden": (["is", "visually"], []), "skip": ([], ["link", "links", "nav"]),
                 "search": (["header", "site"], ["bar", "box", "btn", "button", "form", "icon", "input", "toggle"])}
+# Names that stand for the element as the first or last part of a class with any other words
+# ("left-sidebar", "user-comments"), and words that turn such a class into a state of something else ("has-sidebar").
+OUTRIGHT_NAMES = ["ad", "ads", "advert", "adverts", "advertisement", "advertising", "breadcrumb", "breadcrumbs", "comment",
+                  "comments", "cookie", "cookies", "disqus", "gdpr", "menu", "nav", "navbar", "navigation", "newsletter",
+                  "pagination", "replies", "sidebar", "sponsor", "sponsored"]
+STATE_WORDS = ["active", "closed", "collapsed", "disabled", "enabled", "expanded", "has", "hide", "is", "no", "not", "open", "overflow",
+               "show", "visible", "with", "without"]
+HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 # Names of what follows an article and may itself be made of articles.
 AFTER_NAMES = ["comment", "comments", "disqus", "related", "replies", "reply", "respond"]
 # Frequent words of the languages that pages come in.
@@ -68,6 +77,7 @@ el los las por con para una su al lo como más o pero sus este ya entre cuando m
 
 _VOID, _RAW, _BLOCK, _STOP = frozenset(VOID), frozenset(RAW), frozenset(BLOCKS), frozenset(STOP_WORDS)
 _REFUSED, _NAMES, _AFTER = frozenset(REFUSED), frozenset(REFUSED_NAMES), frozenset(AFTER_NAMES)
+_OUTRIGHT, _STATES, _HEADINGS = frozenset(OUTRIGHT_NAMES), frozenset(STATE_WORDS), frozenset(HEADINGS)
 _WIDE = (frozenset(NAME_BEFORE), frozenset(NAME_BEHIND))
 _NARROW = {name: tuple(map(frozenset, sides)) for name, sides in NARROW_NAMES.items()}
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|$)|<(?![a-zA-Z/])|[^<]++",
@@ -75,7 +85,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[
 _BROKEN = re.compile(r"<(/?)([a-zA-Z]?[^\s/>]*)([^>]*)(?:>|$)")
 # One attribute after the other, so that nothing is found inside the value of another.
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_PIECES = re.compile(r"[-_]+")
+_PIECES = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
+_RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved)", re.IGNORECASE)
 _SHOWN = re.compile(r"(?:^|\s)\w+:(?:block|flex|grid|inline|inline-block|inline-flex|table|contents)(?=\s|$)")
 _SPACE = re.compile(r"\s+")
 _SENTENCE = re.compile(r"[.!?…](?=[\s\"')»”’\]]|$)")
@@ -91,6 +102,9 @@ class Block:
     inside: bool = False
     parts: list = field(default_factory=list)
     named: tuple = ()
+    place: tuple = ("", 0, 0, 0)  # element, its number, that of the element around it and of the list it is in
+    links: int = 0
+    only_links: bool = False
 
 
 @dataclass(frozen=True)
@@ -98,6 +112,7 @@ class Limits:
     """Of the first pass: characters, words and densities."""
 
     max_link_density: float = 0.33
+    only_links: float = 0.9  # share of a list's characters in links from which it has no text of its own
     short: int = 60
     long: int = 160
     low_stop: float = 0.12
@@ -113,12 +128,23 @@ class Named:
     holds: bool = False
 
 
+def _unglued(piece: str) -> list[str]:
+    """A part of a class or id, cut in two where it is a refused name and a known word without a sign between them."""
+    for i in range(2, len(piece) - 1):
+        if piece[:i] in _NAMES and piece[i:] in _WIDE[1] or piece[:i] in _WIDE[0] and piece[i:] in _NAMES:
+            return [piece[:i], piece[i:]]
+    return [piece]
+
+
 @lru_cache(maxsize=10_000)
-def _refused_name(token: str) -> str | None:
-    """The refused name that a class or id stands for, alone or with words that names are known to have."""
-    if token in _NAMES:
-        return token
-    pieces = [p for p in _PIECES.split(token) if p]
+def _refused_name(token: str, outright: bool = True) -> str | None:
+    """The refused name that a class or id stands for, alone or with words that names are known to have.
+
+    With ``outright``, names that say enough as its first or last part may stand with any words.
+    """
+    if token.lower() in _NAMES:
+        return token.lower()
+    pieces = [q for p in _PIECES.split(token) if p for q in ([p.lower()] if p.lower() in _NAMES else _unglued(p.lower()))]
     names = [i for i, p in enumerate(pieces) if p in _NAMES]
     if not names:
         return None
@@ -127,6 +153,7 @@ def _refused_name(token: str) -> str | None:
     fits = (all(p in before for p in pieces[:first]) and all(p in _NAMES or p in _WIDE[1] for p in pieces[first:last])
             and all(p in behind or p[0].isdigit() for p in pieces[last + 1:])
             and (first == last or "hidden" not in (pieces[first], pieces[last])))
+    fits = fits or (outright and _STATES.isdisjoint(pieces) and not _OUTRIGHT.isdisjoint((pieces[0], pieces[-1])))
     return next((pieces[i] for i in names if pieces[i] in _AFTER), pieces[first]) if fits else None
 
 
@@ -135,10 +162,14 @@ def _hidden(attributes: dict) -> bool:
             or "display:none" in attributes.get("style", "").replace(" ", ""))
 
 
-def _names(attributes: dict) -> list[str]:
-    """Refused names of the element, from whole words of class, id and role."""
-    found = [n for key in ("class", "id") for n in map(_refused_name, attributes.get(key, "").split()) if n]
-    if "hidden" in found and _SHOWN.search(attributes["class"] if "class" in attributes else ""):
+def _names(attributes: dict, slug: bool) -> list[str]:
+    """Refused names of the element, from whole words of class, id and role.
+
+    ``slug``: an id made from a heading or a section of the article ("market-share-of-ads") says what it is about.
+    """
+    found = [n for n in map(_refused_name, attributes.get("class", "").split()) if n]
+    found += [n for n in (_refused_name(i, not slug) for i in attributes.get("id", "").split()) if n]
+    if "hidden" in found and _SHOWN.search(attributes.get("class", "").lower()):
         found = [n for n in found if n != "hidden"]  # hidden on small screens alone
     return found + [r for r in attributes.get("role", "").split() if r in _NAMES]
 
@@ -146,16 +177,18 @@ def _names(attributes: dict) -> list[str]:
 def _attributes(text: str) -> dict:
     out: dict = {}
     for name, a, b, c in _ATTR.findall(text):
-        out.setdefault(name.lower(), (a or b or c).lower())
+        name, value = name.lower(), a or b or c
+        out.setdefault(name, value if name in ("class", "id") else value.lower())
     return out
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks with text, in page order."""
     out: list[Block] = []
-    stack: list[tuple] = []  # (element, refused from here on, inside an article, inside a link, refused by name)
-    refused = inside = linked = False
-    named: tuple = ()
+    stack: list[tuple] = []  # (element, refused from here on, inside an article, inside a link, refused by name, place)
+    root = (False, False, False, (), ("", 0, 0, 0))
+    refused, inside, linked, named, place = root
+    serial = 0
     had_article = False
     block = Block()
 
@@ -165,7 +198,7 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             block.text = text
             out.append(block)
-        block = Block(refused=refused, inside=inside, named=named)
+        block = Block(refused=refused, inside=inside, named=named, place=place)
 
     at, size = 0, len(page)
     while at < size:
@@ -194,7 +227,7 @@ def blocks_of(page: str) -> list[Block]:
                     del stack[depth:]
                     break
             was = (refused, inside, named)
-            refused, inside, linked, named = stack[-1][1:] if stack else (False, False, False, ())
+            refused, inside, linked, named, place = stack[-1][1:] if stack else root
             if name in _BLOCK or was != (refused, inside, named):
                 close()
             continue
@@ -216,13 +249,13 @@ def blocks_of(page: str) -> list[Block]:
                 stack.pop()
             if stack and (name == stack[-1][0] in ("p", "li", "dd", "dt", "option", "tr", "td", "th") or stack[-1][0] == "p"):
                 stack.pop()
-            refused, inside, linked, named = stack[-1][1:] if stack else (False, False, False, ())
+            refused, inside, linked, named, place = stack[-1][1:] if stack else root
         main = name in ("article", "main")
         found = _attributes(attributes) if attributes else {}
         # A header is the page's own unless it stands in the article.
         out_here = (name in _REFUSED or name == "header" and not inside
                     or name not in ("html", "body") and _hidden(found))
-        names = _names(found) if found and name not in ("html", "body") else []
+        names = _names(found, inside or name in _HEADINGS) if found and name not in ("html", "body") else []
         after = not _AFTER.isdisjoint(names)
         here = named
         if main:
@@ -235,9 +268,15 @@ def blocks_of(page: str) -> list[Block]:
                 had_article = had_article or name == "article" and not refused and not out_here
         elif names:
             here = (*named, Named(after))
-        stack.append((name, refused or out_here, inside or main, linked or name == "a", here))
+        spot = place
+        if name in _BLOCK:
+            serial += 1
+            spot = (name, serial, place[1], serial if name in ("ul", "ol", "dl") else place[3])
+        elif name == "a":
+            block.links += 1
+        stack.append((name, refused or out_here, inside or main, linked or name == "a", here, spot))
         changed = (refused, inside, named) != (stack[-1][1], stack[-1][2], here)
-        refused, inside, linked, named = stack[-1][1:]
+        refused, inside, linked, named, place = stack[-1][1:]
         if name in _BLOCK or changed:
             close()
     close()
@@ -264,8 +303,23 @@ def _other_script(text: str) -> bool:
     return 2 * sum(c > "\u024f" and not "\u1e00" <= c <= "\u1eff" for c in letters) > len(letters)
 
 
+def mark_links(blocks: list[Block], limits: Limits) -> None:
+    """Marks what is a list of links without text of its own: all items of such a list, or a block of several links."""
+    lists: dict = {}
+    for b in blocks:
+        if b.place[3]:
+            linked, size = lists.get(b.place[3], (0, 0))
+            lists[b.place[3]] = (linked + b.linked, size + len(b.text))
+    for b in blocks:
+        between = max(b.links - 1, 0)  # blanks between links are not text
+        linked, size = lists[b.place[3]] if b.place[3] else (b.linked, len(b.text) - between)
+        b.only_links = (b.linked >= limits.only_links * (len(b.text) - between) and linked >= limits.only_links * size
+                        and (b.place[3] > 0 or b.links > 1) and b.place[0] not in _HEADINGS)
+
+
 def _linked_out(block: Block, limits: Limits) -> bool:
-    return block.refused or block.linked > limits.max_link_density * len(block.text)
+    """Inside an article a link more or less says nothing; only lists of links stay out."""
+    return block.refused or (block.only_links if block.inside else block.linked > limits.max_link_density * len(block.text))
 
 
 def words_known(blocks: list[Block], limits: Limits) -> bool:
@@ -282,6 +336,8 @@ def first_pass(block: Block, limits: Limits, known: bool = True) -> str:
     size = _size(block.text)
     if _linked_out(block, limits):
         return "bad"
+    if block.place[0] in _HEADINGS and not block.inside and size <= limits.long:
+        return "head"
     if size < limits.short:
         return "short"
     found, n = _stop_words(block.text)
@@ -294,7 +350,7 @@ def first_pass(block: Block, limits: Limits, known: bool = True) -> str:
         return "good" if size > limits.long else "near"
     if size <= limits.long:
         return "short"
-    return "near" if len(_SENTENCE.findall(block.text)) * limits.sentence >= size else "bad"
+    return "near" if block.place[0] == "pre" or len(_SENTENCE.findall(block.text)) * limits.sentence >= size else "bad"
 
 
 def _decided(blocks: list[Block], classes: list[str]) -> list[str | None]:
@@ -313,13 +369,19 @@ def second_pass(blocks: list[Block], classes: list[str]) -> list[str]:
     """Ambiguous blocks inherit from their nearest decided neighbours.
 
     ``near`` needs one good neighbour, ``short`` two; in an article one is enough, and where an article has no
-    decided block its own mark decides.
+    decided block its own mark decides. ``head`` needs a good one behind it, and a short paragraph one if it stands
+    beside a good one in the same element, unless it is a copyright line.
     """
+    good_in = {b.place[2] for b, k in zip(blocks, classes) if k == "good"}
+    classes = ["near" if k == "short" and b.place[0] == "p" and b.place[2] in good_in and not _RIGHTS.match(b.text) else k
+               for b, k in zip(blocks, classes)]
     before = _decided(blocks, classes)
     behind = _decided(blocks[::-1], classes[::-1])[::-1]
     final = []
     for block, kind, around in zip(blocks, classes, zip(before, behind)):
-        if kind in ("near", "short"):
+        if kind == "head":
+            kind = "good" if around[1] == "good" else "bad"
+        elif kind in ("near", "short"):
             good = around.count("good")
             if block.inside:
                 kind = "good" if good or around == (None, None) else "bad"
@@ -327,12 +389,13 @@ def second_pass(blocks: list[Block], classes: list[str]) -> list[str]:
                 kind = "good" if good == 2 or good and kind == "near" else "bad"
         final.append(kind)
     if "good" not in final:  # nothing is long enough to decide by: the undecided blocks are all there is
-        final = ["good" if k in ("near", "short") else k for k in classes]
+        final = ["good" if k in ("near", "short", "head") else k for k in classes]
     return final
 
 
 def main_blocks(page: str | None, limits: Limits = Limits()) -> list[str]:
     blocks = blocks_of(page or "")
+    mark_links(blocks, limits)
     # Words are asked only where they can turn a block away: outside articles.
     known = all(b.inside for b in blocks) or words_known(blocks, limits)
     classes = second_pass(blocks, [first_pass(b, limits, known) for b in blocks])

@@ -180,6 +180,37 @@ def test_html_refused_names(attribute):
         assert H.main_blocks(f"<article><p>{LAKE}</p><div {hidden}><p>{LAKE} No.</p></div></article>") == [LAKE]
 
 
+@pytest.mark.parametrize("attribute", [
+    'class="user-comments"', 'class="commentlist"', 'class="comment-thread"', 'id="disqus_thread"', 'class="adsbygoogle"',
+    'class="google-ads"', 'class="dfp-ad"', 'class="AdBox"', 'class="cookiebar"', 'class="left-sidebar"', 'class="sidebar-left"',
+    'class="topnav"'])
+def test_html_refused_as_a_part(attribute):
+    for page in ("<article><p>{0}</p></article><div {1}><p>{0} No. {0}</p></div>", "<div><p>{0} {0} {0} {0}</p></div><div {1}><p>{0} No. {0}</p></div>"):
+        assert "No." not in " ".join(H.main_blocks(page.format(LAKE, attribute)))
+
+
+@pytest.mark.parametrize("attribute", ['class="elementor-widget"', 'class="nav-open"', 'id="history-of-advertising"', 'class="blockquote-footer"'])
+def test_html_names_that_say_nothing(attribute):
+    assert H.main_blocks(f"<article><p>{LAKE}</p><div {attribute}><p>{LAKE} Yes.</p></div></article>") == [LAKE, LAKE + " Yes."]
+
+
+def test_html_links_inside_articles():
+    page = (f"<article><h2><a href='#'>A linked heading</a></h2><p>{LAKE}</p><p>Read <a href='/r'>the full report of the council</a> here.</p>"
+            "<ul><li><a href='/a'>The lake</a> is deep</li><li><a href='/b'>The hill</a></li></ul>"
+            f"<p>So <math><mi>x</mi><annotation>x_tex</annotation></math> it is.</p><ul><li><a href='/c'>Next</a></li><li><a href='/d'>Last</a></li></ul>"
+            f"<div><a href='/e'>tag</a> <a href='/f'>tag</a></div><p>{LAKE}</p></article>")
+    assert H.main_blocks(page) == ["A linked heading", LAKE, "Read the full report of the council here.", "The lake is deep", "The hill",
+                                   "So x it is.", LAKE]
+
+
+def test_html_edges_of_pages_without_article():
+    long = "It was the best of the times and it was the worst of all of them for us. " * 4
+    code = "for i in range(10): total[i] = left[i] * right[i] # rows; " * 6
+    page = (f"<div><a href='/'>Home</a></div><div><h1>The title</h1><p>{long}</p><h2>Code</h2><pre><code>{code}</code></pre><p>{long}</p>"
+            "<p>So it went.</p><p>© 2020 Press</p></div><h3>More</h3><ul><li><a href='/x'>One</a></li><li><a href='/y'>Two</a></li></ul>")
+    assert H.main_blocks(page) == ["The title", long.strip(), "Code", code.strip(), long.strip(), "So it went."]
+
+
 def test_html_comments_made_of_articles():
     page = '<main><article><p>{0}</p></article><div id="comments"><article class="comment"><p>{0} No.</p></article></div></main>'
     assert H.main_blocks(page.format(LAKE)) == [LAKE]
