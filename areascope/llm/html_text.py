@@ -7,7 +7,9 @@ stop-word density and length give ``good``, ``bad``, ``near`` or ``short``.
 Second pass: ``near`` and ``short`` blocks inherit the class of the nearest
 decided neighbours before and behind them. The text is the good blocks in page
 order; blocks of an ``<article>`` or ``<main>`` that no rule refuses outright
-count as decided, since the page itself names them.
+count as decided, since the page itself names them, and inside them links mark
+only lists of links without text of their own. Outside, a heading goes with the
+good text behind it, and a short paragraph with a good one beside it.
 
 Stop words are known for a few languages only. Where a page as a whole has
 hardly any of them, and in blocks of another script, words say nothing: length
@@ -15,8 +17,10 @@ and link density alone decide there. Long blocks without them that read as
 sentences are ``near`` on any page, so none is lost beside good text.
 
 Defined results: null and empty html give an empty text; broken or cut-off
-markup is read as far as it goes; every input row gives one row; other columns
-are not looked at.
+markup is read as far as it goes; every input row gives one row, equal rows
+equal ones; an empty table gives an empty one; very long and deeply nested
+pages are read whole, with a stack of the open elements; other columns, whatever
+their names, are not looked at.
 """
 
 from __future__ import annotations
