@@ -134,6 +134,26 @@ def test_lloyd_pass_matches_numpy_step(spark):
         assert got[r][1] == pytest.approx(d.min(1).sum())
 
 
+def test_rows_of_equal_distance_count_once_for_the_first_centre():
+    """Runs are marked a group of equal size at a time: ties and repeated centres as by argmin, run by run."""
+    from areascope.operators import kmeans_batch as KB
+    rng = np.random.default_rng(3)
+    X = rng.integers(-2, 3, size=(400, 3)).astype(float)  # many equal distances
+    centers = {4: X[:3], 0: np.array([[0.0, 0, 0], [0, 0, 0], [1, 1, 1]]), 7: X[5:7], 2: X[9:12]}
+    groups = KB._alike([0, 2, 4, 7], centers)
+    assert groups == [(2, [7]), (3, [0, 2, 4])]
+    stack = np.vstack([centers[r][j] for k, runs in groups for j in range(k) for r in runs])
+    weights = np.hstack([-2.0 * stack, (stack * stack).sum(1)[:, None]])
+    rows = np.hstack([X, np.ones((400, 1)), (X * X).sum(1)[:, None]])
+    got, at = KB._nearest_sums(weights, [(k, len(runs)) for k, runs in groups], rows), 0
+    for k, runs in groups:
+        for i, r in enumerate(runs):
+            lab = ((X[:, None, :] - centers[r][None, :, :]) ** 2).sum(-1).argmin(1)
+            want = np.array([rows[lab == j].sum(0) for j in range(k)])
+            assert np.allclose(got[at + i + np.arange(k) * len(runs)], want)
+        at += k * len(runs)
+
+
 def _kept(df):
     return sorted((r["tree"], r["key"], r["row"], tuple(r["x"])) for r in df.collect())
 
