@@ -76,3 +76,12 @@ def test_box_stats_from_counted_values(spark):
     a = rows["a"]
     assert (a["q1"], a["median"], a["q3"], a["min"], a["max"], a["whisker_low"], a["whisker_high"]) == (2.25, 3.5, 4.75, 1, 100, 1, 5)
     assert rows[None]["median"] == 8.0
+
+
+def test_quantiles_do_not_count_missing_values(spark):
+    """Rows that lack a column's value (of other feeds, say) are dropped ahead of the count; the quantiles stay."""
+    rows = [(float(i), None if i % 5 else float(i), float("nan")) for i in range(50)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    counts = OS.value_counts(df, ["a", "b", "c"], missing=False)
+    assert counts.filter("value is null").count() == 0 and counts.agg({"n": "sum"}).first()[0] == 60
+    assert OS.quantile_values(df, ["a", "b", "c"], [0.5]) == {"a": [24.5], "b": [22.5]}
