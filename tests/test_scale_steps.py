@@ -88,3 +88,21 @@ def test_dates_read_without_the_pattern_parser_equal_it(spark):
     assert got[0]["d"] == "2020-02-01" and got[2]["d"] is None
     plan = df.select(parse_date("t").alias("d"))._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" in plan
+
+
+def test_cleaning_parses_each_value_once(spark):
+    """The date is parsed and the state looked up where their columns are made, not again in a filter or a join."""
+    from areascope.operators.clean import standardise_feed
+    rows = [("01-03-2025", " GOA ", "North  *", "403001", "5", "1.9"), ("31-02-2025", "Goa", "X", "403001", "1", "1"),
+            ("2-3-2025", "\u00a0Goa\t", None, "403002", "x", " 12 "), (None, "Goa", "X", "403001", "1", "1"),
+            ("02-03-2025", "Orissa", "a\x0bb", "751001", "7f", "123456789012345")]
+    raw = spark.createDataFrame(rows, "date string, state string, district string, pincode string, "
+                                      "bio_age_5_17 string, bio_age_17_ string")
+    made = raw.withColumn("date", F.concat("date", F.lit("")))  # as an adapter makes it: not a plain column
+    out = standardise_feed(made, "bio", ["goa", "odisha"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("gettimestamp") == 1 and plan.count("uttaranchal") == 1 and plan.count("concat(date") == 1
+    got = sorted((str(r["date"]), r["state"], r["district"], r["pincode"], r["updates_age_5_17"], r["updates_age_18_plus"])
+                 for r in out.collect())
+    assert got == [("2025-03-01", "goa", "north ", 403001, 5, 1), ("2025-03-02", "goa", None, 403002, 0, 12),
+                   ("2025-03-02", "odisha", "a b", 751001, 0, 123456789012345)]
