@@ -106,3 +106,32 @@ def test_cleaning_parses_each_value_once(spark):
                  for r in out.collect())
     assert got == [("2025-03-01", "goa", "north ", 403001, 5, 1), ("2025-03-02", "goa", None, 403002, 0, 12),
                    ("2025-03-02", "odisha", "a b", 751001, 0, 123456789012345)]
+
+
+def test_seeding_draws_the_rows_of_the_smallest_keys_with_few_distances(spark, monkeypatch):
+    """Rows that cannot be drawn are left out by a bound; the rows drawn are those of all keys, worked out plainly."""
+    rng = np.random.default_rng(5)
+    X = np.vstack([rng.normal(c, 1.0, (3000, 3)) for c in (0.0, 4.0, 30.0)] + [np.zeros((500, 3)), [[500.0, 0.0, 0.0]]])
+    h = rng.integers(-(1 << 62), 1 << 62, len(X))
+    logged = []
+    log = np.log
+    monkeypatch.setattr(KB.np, "log", lambda u: (logged.append(u.size), log(u))[1])
+
+    class Rows:  # one task over many small blocks, run here so that the distances are counted
+        def mapInPandas(self, fn, schema):
+            import pandas as pd
+            out = fn(iter([pd.DataFrame({"_h": h[i:i + 500], **{c: X[i:i + 500, j] for j, c in enumerate("abc")}})
+                           for i in range(0, len(X), 500)]))
+            return spark.createDataFrame(pd.concat(list(out)), schema)
+
+    m = KB.MultiKMeans([2, 4], 3, 7)
+    centers = {r: [] for r in range(6)}
+    for step in range(4):
+        drawn = m._seed_pass(Rows(), list("abc"), centers, step)
+        for r in (r for r, (k, _) in enumerate(m.runs) if k > step):
+            u = KB._uniform(h, 7 * 1_000_003 + r * 101 + step)
+            w = np.min([((X - c) ** 2).sum(1) for c in centers[r]], axis=0) if step else np.ones(len(X))
+            with np.errstate(divide="ignore"):
+                assert np.array_equal(drawn[r], X[np.argmin(np.where(w > 1e-9, -log(u) / w, np.inf))])
+            centers[r].append(drawn[r])
+    assert sum(logged) < 0.5 * len(X) * 18  # 18 draws; before, all rows were worked out for each
