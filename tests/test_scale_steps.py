@@ -108,6 +108,30 @@ def test_cleaning_parses_each_value_once(spark):
                    ("2025-03-02", "odisha", "a b", 751001, 0, 123456789012345)]
 
 
+def test_kmeans_passes_read_small_pieces_from_the_shared_folder_and_leave_no_files(spark, monkeypatch):
+    """No pass depends on cached partitions, whose size is that of the input's partitions; block sums stay the same."""
+    import os
+    from areascope.session import checkpoint_dir
+    monkeypatch.setattr(KB, "_PIECE_ROWS", 64)
+    monkeypatch.setattr(KB, "_BLOCK_ROWS", 256)
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 13)) for i in range(1000)], "id int, a double, b double").coalesce(1)
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    cached, before, seen = set(spark.sparkContext._jsc.getPersistentRDDs()), set(os.listdir(folder)), []
+
+    def look(self, data, cols, scale):
+        rows = data.collect()
+        seen.append(set(spark.sparkContext._jsc.getPersistentRDDs()) - cached)
+        seen.append([len(r["_hashes"]) // 8 for r in rows])
+        seen.append([len(h) for h, _ in KB._unpacked([data.toPandas()], cols)])
+        seen.append(set(os.listdir(folder)) - before)
+
+    monkeypatch.setattr(KB.MultiKMeans, "_fit", look)
+    KB.MultiKMeans([2], n_init=1).fit(df, ["a", "b"], ["id"])
+    held, pieces, blocks, files = seen
+    assert not held and max(pieces) == 64 and sum(pieces) == 1000 and blocks == [256, 256, 256, 232]
+    assert files and set(os.listdir(folder)) == before
+
+
 def test_seeding_draws_the_rows_of_the_smallest_keys_with_few_distances(spark, monkeypatch):
     """Rows that cannot be drawn are left out by a bound; the rows drawn are those of all keys, worked out plainly."""
     rng = np.random.default_rng(5)
