@@ -132,6 +132,41 @@ def test_kmeans_passes_read_small_pieces_from_the_shared_folder_and_leave_no_fil
     assert files and set(os.listdir(folder)) == before
 
 
+def test_ranks_of_few_values_meet_the_rows_where_they_are(spark, monkeypatch, tmp_path):
+    """No row is shuffled or read twice for them; many values are joined, with and without missing ones alike."""
+    from areascope.operators import ranking as RK
+    rows = [(i, None if i % 11 == 0 else float(i * 7 % 23)) for i in range(400)]
+    spark.createDataFrame(rows, "id int, v double").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    few = RK.rank_pct(df, "v", "p")
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("parquet") == 1 and "broadcast" in plan
+    want = sorted((r["id"], r["p"]) for r in few.collect())
+    known = sorted(v for _, v in rows if v is not None)
+    assert want == [(i, None if v is None else (known.index(v) + (known.count(v) + 1) / 2) / len(known)) for i, v in rows]
+    monkeypatch.setattr(RK, "MAX_BROADCAST_ROWS", 5)
+    assert sorted((r["id"], r["p"]) for r in RK.rank_pct(df, "v", "p").collect()) == want
+    whole = RK.rank_pct(df.filter("v is not null"), "v", "p")
+    assert "Union" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["id"], r["p"]) for r in whole.collect()) == [x for x in want if x[1] is not None]
+
+
+def test_result_table_holds_levels_and_readers_make_the_texts(spark):
+    from areascope.operators import outputs as OU
+    rows = [(f"2025-0{1 + i % 3}", "goa", f"d{i % 4}", 403000 + i // 3, float(i % 50), 1.0, 1.0, 1.0, 0.2, 0.3, 0.5, float(i % 3),
+             1.0, 20.0, -0.4 if i % 5 == 0 else 0.1, float(i % 7), i % 3, -0.1 + i / 500, int(i < 30)) for i in range(90)]
+    names = [*RU.KEPT, "cluster_id", "anomaly_score", "is_anomaly"]
+    df = spark.createDataFrame(rows, names)
+    kept = RU.explain_rows(df, kept="result")
+    files = [f for f in kept.inputFiles() if "/result_" in f]
+    stored = spark.read.parquet(files[0].rpartition("/")[0])
+    texts = {"risk_explanation", "risk_reason", "insight_summary", "cluster_description", "policy_recommendation"}
+    assert not texts & set(stored.columns) and {"risk_category", "trend_status", "cluster_profile_id"} <= set(stored.columns)
+    plain = RU.explain_rows(df)
+    assert kept.columns == plain.columns and stored.count() == 90
+    assert sorted(map(tuple, OU.full_output(kept).collect())) == sorted(map(tuple, OU.full_output(plain).collect()))
+
+
 def test_seeding_draws_the_rows_of_the_smallest_keys_with_few_distances(spark, monkeypatch):
     """Rows that cannot be drawn are left out by a bound; the rows drawn are those of all keys, worked out plainly."""
     rng = np.random.default_rng(5)
