@@ -132,6 +132,24 @@ def test_kmeans_passes_read_small_pieces_from_the_shared_folder_and_leave_no_fil
     assert files and set(os.listdir(folder)) == before
 
 
+def test_slices_of_a_pass_share_their_room(monkeypatch):
+    """What a slice leaves in the shared arrays changes nothing in the next, shorter or with equal centres."""
+    rng = np.random.default_rng(8)
+    weights, groups = rng.normal(size=(5, 4)), [(2, 1), (3, 1)]
+    weights[3] = weights[2]
+    room = np.full((2, 5 * 40), np.nan)
+    made = []
+    empty = np.empty
+    monkeypatch.setattr(KB.np, "empty", lambda *a, **k: (made.append(a), empty(*a, **k))[1])
+    for n in (40, 7, 40, 1):
+        x = rng.normal(size=(n, 3))
+        rows = np.hstack([x, np.ones((n, 1)), (x * x).sum(1)[:, None]])
+        del made[:]
+        got = KB._nearest_sums(weights, groups, rows, room)
+        assert not made and np.array_equal(got, KB._nearest_sums(weights, groups, rows))
+        assert got[:2, 3].sum() == got[2:, 3].sum() == n and got[3, 3] == 0
+
+
 def test_ranks_of_few_values_meet_the_rows_where_they_are(spark, monkeypatch, tmp_path):
     """No row is shuffled or read twice for them; many values are joined, with and without missing ones alike."""
     from areascope.operators import ranking as RK
